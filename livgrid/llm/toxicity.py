@@ -171,7 +171,8 @@ def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
     share = lambda k, most: min(1.0, most / max(1, n.get(k, 0)))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
     y = y.filter(draw <= F.when(F.col("toxic") == 1, share(1, MOST_POSITIVE)).otherwise(share(0, MOST_NEGATIVE)))
-    return documents.select("doc_id", "text").join(y, "doc_id").select("text", F.col("toxic").cast("int"))
+    # the sample's ids are bounded by the two parameters, whatever the corpus: broadcast them, and no text is shuffled
+    return documents.select("doc_id", "text").join(F.broadcast(y), "doc_id").select("text", F.col("toxic").cast("int"))
 
 
 def learn(documents: DataFrame, labels: DataFrame) -> Lexicon:
