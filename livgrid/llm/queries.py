@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from livgrid.llm import arc_warc, bpe, decontaminate, html_text, jaccard_join, secret_scan, toxicity
+from livgrid.llm import arc_warc, bpe, decontaminate, html_text, jaccard_join, passage_dedup, secret_scan, toxicity
 from livgrid.llm.storage import Work
 from livgrid.sources.tables import table
 
@@ -32,6 +32,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest_rows(secret_scan.scan(documents, Work(spark, "secrets")))
 
 
+def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that lose passages; those that aren't listed stay as they are."""
+    return passage_dedup.removed(table(spark, sf_dir, "documents").select("doc_id", "text"), Work(spark, "passages"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -52,6 +57,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_passage_dedup": op3_passage_dedup,
     "op4_html_text": op4_html_text,
     "op5_decontamination": op5_decontamination,
     "op6_jaccard_join": op6_jaccard_join,
