@@ -1,8 +1,7 @@
 """Connected components of a graph of pairs, over written tables: alternating large-star and small-star steps.
 
-Each round first contracts the pairs of every partition to a spanning forest (union-find, memory in
-proportion to the partition), then joins each node to its least neighbour. No pair reaches the driver;
-it learns counts alone.
+Each round first contracts the pairs of every partition, of about TASK_PAIRS, to a spanning forest (union-find), then
+joins each node to its least neighbour. No pair reaches the driver; it learns counts alone.
 """
 
 from __future__ import annotations
@@ -16,6 +15,8 @@ from pyspark.sql import functions as F
 from livgrid.llm.storage import Work
 
 MOST_ROUNDS = 60
+#: Pairs that a task contracts at once (some 100 MB of Python).
+TASK_PAIRS = 250_000
 
 
 class Forest:
@@ -65,7 +66,10 @@ def _least(pairs: DataFrame) -> DataFrame:
 def components(pairs: DataFrame, work: Work, name: str = "components") -> DataFrame:
     """node, component: the least node of its component, for each node of the pairs (a, b) but the least ones."""
     now = work.write(contracted(pairs), f"{name}-0")
-    for k in range(1, MOST_ROUNDS):
+    tasks = -(-now.count() // TASK_PAIRS) or 1
+    now = work.write(contracted(now.repartition(tasks)), f"{name}-1")
+    work.drop(f"{name}-0")
+    for k in range(2, MOST_ROUNDS):
         # done when every node has one parent, and no parent has one
         open_nodes = now.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("c")).filter("b < c").select("a").limit(1).count() or now.join(now.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
         if not open_nodes:
@@ -74,7 +78,7 @@ def components(pairs: DataFrame, work: Work, name: str = "components") -> DataFr
         large = _least(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = _least(large)
         stars = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        now = work.write(contracted(stars), f"{name}-{k}")
+        now = work.write(contracted(stars.repartition(tasks)), f"{name}-{k}")
         work.drop(f"{name}-{k - 1}")
     else:
         raise RuntimeError("no fixpoint")

@@ -12,10 +12,12 @@ a set with more empty parts than there are to spare is listed again under furthe
 shingle. A list holds sets that agree on a whole part, some five shingles from all over the text: a frequent
 shingle, line or passage alone makes no list. The boundary is that with the least rows by the sizes found.
 
-Lists are read as a stream of sorted rows. Each member is verified against the list's least member (one shuffled set a
-pair, hot centres salted); lists whose members are then in several components have all their pairs across
-components verified, in blocks of BLOCK sets, by counting overlaps along inverted lists of shingles. So
-groups of copies cost their rows, never their pairs, and no link between different sets is lost.
+Lists are read as a stream of sorted rows. Each set is first verified against the least member of its lists (one
+shuffled set each, hot centres salted). Lists whose members are then in several components, and lists of two not
+verified yet, are joined to groups by common members; in each group the sets outside its largest component are
+compared with each other and with it, in blocks of BLOCK sets, by counting overlaps along inverted lists
+of shingles. (Where that would ship more sets than going list by list, the group's lists are compared one by
+one.) So groups of copies cost their rows, never their pairs, and no link between different sets is lost.
 
 Defined cases: a null or empty text, or a null id, links with nothing and is its own component; fewer words than k make
 one shingle of the whole sequence; every row gives a row, repeated ones too.
@@ -31,7 +33,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from livgrid.llm import wordhash
@@ -40,8 +42,8 @@ from livgrid.llm.storage import Work
 from livgrid.llm.wordhash import mix
 
 BLOCK = 512
-#: Members of one centre that a task verifies; ids that are broadcast at most (16 MB).
-STAR, BROADCAST_IDS = 5_000, 1_000_000
+#: Members of one centre that a task verifies; ids that are broadcast at most (some 20 MB).
+STAR, BROADCAST_IDS = 5_000, 250_000
 SEEDS = 4
 #: Sets whose keys a task has listed already and doesn't list again.
 REMEMBERED = 500_000
@@ -247,22 +249,22 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame, measure: Measure, doc_id: str, text: str) -> DataFrame:
-    """The rows of wanted (doc_id, d, to: array of long), one for each of `to`, with the sets: to, d, shingles."""
+    """The rows of wanted (doc_id, d, tag, to: array of long), one for each of `to`, with the sets: to, d, tag, shingles."""
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     few = wanted.count() <= BROADCAST_IDS and wanted.agg(F.coalesce(F.sum(F.size("to")), F.lit(0))).first()[0] <= 2 * BROADCAST_IDS
-    joined = texts.join(F.broadcast(wanted) if few else wanted, "doc_id").select("text", "d", "to")
+    joined = texts.join(F.broadcast(wanted) if few else wanted, "doc_id").select("text", "d", "tag", "to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in wordhash.chunks(batches, "text"):
             value, first, digest = _sets(batch, "text", measure.k)
-            wanted_d = np.asarray(batch.column(1))
-            to, rows = batch.column(2), []
+            wanted_d, tag = np.asarray(batch.column(1)), np.asarray(batch.column(2))
+            to, rows = batch.column(3), []
             ends = [0]
             parts: list[np.ndarray] = []
             for i in np.flatnonzero(digest.view(np.int64) == wanted_d):
                 own = value[first[i] : first[i + 1]].view(np.int64)
                 for target in to[int(i)].as_py():
-                    rows.append((target, int(wanted_d[i])))
+                    rows.append((target, int(wanted_d[i]), int(tag[i])))
                     parts.append(own)
                     ends.append(ends[-1] + len(own))
                     if ends[-1] > 1 << 20:
@@ -271,12 +273,12 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, measure: Measure, doc_id: str
             if rows:
                 yield _rows(rows, parts, ends)
 
-    return joined.mapInArrow(run, "to long, d long, shingles array<long>")
+    return joined.mapInArrow(run, "to long, d long, tag long, shingles array<long>")
 
 
-def _rows(rows: list[tuple[int, int]], parts: list[np.ndarray], ends: list[int]) -> pa.RecordBatch:
+def _rows(rows: list[tuple[int, int, int]], parts: list[np.ndarray], ends: list[int]) -> pa.RecordBatch:
     sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), sets], ["to", "d", "shingles"])
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), sets], ["to", "d", "tag", "shingles"])
 
 
 def _list_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -311,7 +313,7 @@ def _stars(measure: Measure):
     return run
 
 
-def block_pairs(measure: Measure, sets: list[np.ndarray], comps: list[int], names: list[int], sides: list[int]) -> list[tuple[int, int]]:
+def block_pairs(measure: Measure, sets: list[np.ndarray], comps: list[int], names: list[int]) -> list[tuple[int, int]]:
     """A spanning forest of the links across components of a block's sets: overlaps are counted along inverted lists."""
     size = np.array([len(s) for s in sets])
     value = np.concatenate(sets)
@@ -341,7 +343,7 @@ def block_pairs(measure: Measure, sets: list[np.ndarray], comps: list[int], name
 
 
 def _blocks(measure: Measure):
-    """Of rows (to, d, comp, shingles) sorted by block: the pairs that join components."""
+    """Of rows (to, d, component, shingles) sorted by block: the pairs that join components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, int]] = {}
@@ -350,7 +352,7 @@ def _blocks(measure: Measure):
         def pairs() -> Iterator[pa.RecordBatch]:
             if len(held) > 1:
                 names = list(held)
-                found = block_pairs(measure, [held[n][0] for n in names], [held[n][1] for n in names], names, [])
+                found = block_pairs(measure, [held[n][0] for n in names], [held[n][1] for n in names], names)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
@@ -368,22 +370,50 @@ def _blocks(measure: Measure):
     return run
 
 
-def _across(docs: DataFrame, postings: DataFrame, named: DataFrame, comp: DataFrame, work: Work, measure: Measure, doc_id: str, text: str) -> DataFrame | None:
-    """The links across components within lists; None if no list has members in several components left to compare."""
-    rows = postings.select("key", "d").join(comp.select(F.col("node").alias("d"), "component"), "d", "left").withColumn("component", F.coalesce("component", "d"))
-    rows = work.write(rows, "members")
-    # a list of two was verified as a star; lists with equal members are one
-    lists = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("d").cast("decimal(38,0)")).alias("content"))
-    lists = work.write(lists.filter("lo < hi AND n > 2").groupBy("n", "content").agg(F.min("key").alias("key")).withColumn("blocks", F.ceil(F.col("n") / BLOCK)), "open")
-    if lists.isEmpty():
+def _targets(i: str, j_count: str, name: str, ordered: bool) -> Column:
+    """The blocks where block i of one side meets each of the other side's."""
+
+    def one(j: Column) -> Column:
+        pair = (F.least(F.col(i), j), F.greatest(F.col(i), j)) if ordered else (F.col(i), j) if i == "minor_block" else (j, F.col(i))
+        return F.xxhash64("target", F.lit(name), *pair)
+
+    return F.when(F.col(j_count) > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col(j_count) - 1), one)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _meeting(rows: DataFrame, target: str) -> DataFrame:
+    """d, to: where each row's set (target, d, component) goes, so that sets outside the target's largest component meet all others of it."""
+    rows = rows.select(F.col(target).alias("target"), "d", "component").distinct()
+    sizes = rows.groupBy("target", "component").agg(F.count("*").alias("n")).groupBy("target").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"))
+    sizes = sizes.select("target", F.col("most.component").alias("major"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("minors"), F.ceil(F.col("most.n") / BLOCK).alias("majors"))
+    block = lambda n: F.pmod(F.xxhash64("d", F.lit(1)), F.col(n))
+    one = (F.col("minors") == 1) & (F.col("majors") == 1)
+    rows = rows.join(sizes, "target").withColumn("minor_block", F.when(F.col("minors") > 0, block("minors"))).withColumn("major_block", block("majors"))
+    to = F.when(one, F.array(F.xxhash64("target"))).when(F.col("component") == F.col("major"), _targets("major_block", "minors", "x", False))
+    to = to.otherwise(F.concat(_targets("minor_block", "minors", "m", True), _targets("minor_block", "majors", "x", False)))
+    return rows.select("target", "d", F.explode(to).alias("to"))
+
+
+def _across(docs: DataFrame, postings: DataFrame, named: DataFrame, chosen: DataFrame, comp: DataFrame, work: Work, measure: Measure, doc_id: str, text: str) -> DataFrame | None:
+    """The links across components within lists; None if no list has pairs left to compare."""
+    of = chosen.select("d", F.col("centre").alias("chosen")).join(comp.select(F.col("node").alias("d"), "component"), "d", "full")
+    rows = work.write(postings.join(of, "d", "left").withColumn("component", F.coalesce("component", "d")), "members")
+    seen = F.min((F.col("d") == F.col("centre")) | F.coalesce(F.col("centre") == F.col("chosen"), F.lit(False)))
+    lists = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), seen.alias("seen"))
+    rows = work.write(rows.join(lists.filter("lo < hi AND (n > 2 OR NOT seen)").select("key"), "key").select("key", "d", "centre", "component"), "open")
+    if rows.isEmpty():
         return None
-    block = F.pmod(F.xxhash64("d", F.lit(1)), F.col("blocks"))
-    # every block meets itself and every other one, so every pair meets
-    meets = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda j: F.xxhash64("key", F.least(block, j), F.greatest(block, j)))
-    target = rows.join(lists.select("key", "blocks"), "key").select("d", F.explode(meets).alias("to"))
-    wanted = target.groupBy("d").agg(F.collect_set("to").alias("to")).join(named, "d").select("doc_id", "d", "to")
+    pairs = rows.filter("d <> centre").select(F.greatest("d", "centre").alias("a"), F.least("d", "centre").alias("b")).distinct()
+    group = components(pairs, work, "groups").select(F.col("node").alias("d"), F.col("component").alias("group"))
+    rows = work.write(rows.join(group, "d", "left").withColumn("group", F.coalesce("group", "d")), "grouped")
+    by_group = work.write(_meeting(rows, "group"), "by-group")
+    by_list = _meeting(rows, "key").join(rows.select(F.col("key").alias("target"), "group").distinct(), "target").groupBy("group").agg(F.count("*").alias("n"))
+    dear = by_group.groupBy(F.col("target").alias("group")).agg(F.count("*").alias("m")).filter(F.col("m") > 4 * BLOCK).join(by_list, "group").filter("m > n").select("group")
+    dear = work.write(dear, "dear")
+    target = by_group.select("target", "d", "to")
+    if not dear.isEmpty():
+        target = target.join(dear.select(F.col("group").alias("target")), "target", "left_anti").union(_meeting(rows.join(dear, "group", "left_semi"), "key"))
+    wanted = target.groupBy("d").agg(F.collect_set("to").alias("to")).join(named, "d").join(rows.select("d", F.col("component").alias("tag")).distinct(), "d").select("doc_id", "d", "tag", "to")
     sets = _with_sets(docs, work.write(wanted, "open-wanted"), measure, doc_id, text)
-    sets = sets.join(rows.select("d", "component").distinct(), "d").select("to", "d", "component", "shingles")
     return sets.repartition("to").sortWithinPartitions("to", "d").mapInArrow(_blocks(measure), "a long, b long")
 
 
@@ -397,20 +427,20 @@ def join(docs: DataFrame, work: Work, measure: Measure = Measure(), doc_id: str
     rows = listed(docs, measure, boundary, doc_id, text).repartition("key").sortWithinPartitions("key", "d")
     postings = work.write(rows.mapInArrow(_lists, "key long, d long, centre long"), "lists")
 
-    pairs = postings.filter("d <> centre").select("centre", "d").distinct()
-    salts = work.write(pairs.groupBy("centre").agg(F.ceil(F.count("*") / STAR).alias("salts")), "stars")
+    chosen = work.write(postings.filter("d <> centre").groupBy("d").agg(F.min("centre").alias("centre")), "chosen")
+    salts = work.write(chosen.groupBy("centre").agg(F.ceil(F.count("*") / STAR).alias("salts")), "stars")
     star = lambda salt: F.xxhash64("centre", salt)
-    member = pairs.join(salts, "centre").select("d", star(F.pmod(F.xxhash64("d", F.lit(2)), F.col("salts"))).alias("star"), F.lit(False).alias("own"))
+    member = chosen.join(salts, "centre").select("d", star(F.pmod(F.xxhash64("d", F.lit(2)), F.col("salts"))).alias("star"), F.lit(False).alias("own"))
     own = salts.select(F.col("centre").alias("d"), F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1), star)).alias("star"), F.lit(True).alias("own"))
-    # the sign of the lowest bit tells centres from members, so a target is one number
+    # the lowest bit tells centres from members, so a target is one number
     target = member.union(own).select("d", (F.shiftleft("star", 1) + F.col("own").cast("int")).alias("to"))
-    wanted = work.write(target.groupBy("d").agg(F.collect_set("to").alias("to")).join(named, "d").select("doc_id", "d", "to"), "wanted")
+    wanted = work.write(target.groupBy("d").agg(F.collect_set("to").alias("to")).join(named, "d").select("doc_id", "d", F.lit(0).cast("bigint").alias("tag"), "to"), "wanted")
     stars = _with_sets(docs, wanted, measure, doc_id, text).select(F.shiftrightunsigned("to", 1).alias("to"), "d", (F.col("to") % 2 != 0).alias("own"), "shingles")
     stars = stars.repartition("to").sortWithinPartitions("to", F.desc("own"), "d")
     links = work.write(stars.mapInArrow(_stars(measure), "a long, b long"), "links")
     comp = components(links, work, "near")
 
-    more = _across(docs, postings, named, comp, work, measure, doc_id, text)
+    more = _across(docs, postings, named, chosen, comp, work, measure, doc_id, text)
     if more is not None:
         more = work.write(more, "links-across")
         if not more.isEmpty():

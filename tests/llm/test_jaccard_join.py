@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from livgrid.llm import components as C
 from livgrid.llm import jaccard_join as J
 from livgrid.llm.components import components
 from livgrid.llm.storage import Work
@@ -100,7 +101,9 @@ def test_linking_sets_share_a_key():
                 assert set(key[owner == 0].tolist()) & set(key[owner == 1].tolist()), (boundary, size, drop, most)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task", [250_000, 40])
+def test_components(spark, task, monkeypatch):
+    monkeypatch.setattr(C, "TASK_PAIRS", task)
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 200)] + [(1000 + rng.randrange(300), 1000 + rng.randrange(300)) for _ in range(200)] + [(5000, x) for x in range(5001, 5300)]
     up = {}
