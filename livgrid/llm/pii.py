@@ -1,0 +1,293 @@
+"""Surrogates for personal data, in DataFrame expressions alone.
+
+One alternation finds e-mail addresses, phone numbers, IPv4 addresses, payment cards (with a right check digit), social
+security numbers, IBANs and names after a title. Each entity has a canonical form (an address in lower
+case, a number's digits, a name's words one by one), and its surrogate is derived from SHA-256 of key, kind, canonical form and an
+attempt: so the same entity gets the same surrogate everywhere, in whatever format it is written. Surrogates keep the
+type: separators, country codes and digit counts stay; cards keep their network digit and IBANs their
+country, with right check digits; private IP addresses stay private; given names follow the title's gender, and
+names the script (Latin, Cyrillic, Greek) and case. Addresses of one domain keep a common one.
+
+Collision check: the distinct entities of the corpus (pre-aggregated) form a dictionary. Where two of a kind have the
+same surrogate, or one is an entity of the corpus, all but the first try again, until none is left. Only the
+entities with an attempt above 0 are looked up when the texts are rewritten.
+
+Defined cases: a null text stays null, an empty one empty; every row gives a row, repeated ones too, and rows with equal or null
+ids are treated alike; columns of the output's names are replaced.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from livgrid.llm.native import spans
+from livgrid.llm.storage import Work
+
+#: Documents with entities of a later attempt: that many are broadcast at most; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+MOST_ATTEMPTS = 100
+#: Titles by gender.
+MALE, FEMALE, NEUTRAL = ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "г-н", "Г-н", "господин", "κ", "κύριος"), ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Srta", "Doña", "г-жа", "Г-жа", "госпожа", "κα", "κυρία"), ("Mx", "Dr", "Prof")
+_WORD = r"\p{Lu}[\p{L}\p{M}'’-]+"
+_TITLES = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: Kinds in the order tried; the first that matches the whole of an entity is its kind.
+KINDS = {
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])",
+    "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "phone": r"(?<![\w+.-])(?:(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|(?:\+?\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5})(?![\w-])",
+    "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
+    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "name": rf"(?<![\p{{L}}\d])(?:{_TITLES}|M(?=\.))\.?\x20{_WORD}(?:\x20{_WORD}){{0,2}}",
+}
+PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+#: A quick test that every text with an entity passes.
+HINT = rf"@|\d[\d.() +-]{{6}}|[A-Z]{{2}}\d\d|(?:{_TITLES}|M)\.?\x20\p{{Lu}}"
+#: Syllables that names are made of, by script; endings of given names by gender, and of surnames.
+SYLLABLES = {
+    "latin": ("al", "ben", "cor", "da", "el", "fen", "gar", "hal", "is", "jo", "kel", "lor", "mar", "nor", "ol", "per", "quin", "ro", "sel", "tam", "ur", "vel", "wes", "yor", "zan", "bri", "cla", "dri", "gre", "tra", "ste", "pla"),
+    "cyrillic": ("ал", "бор", "вер", "гри", "дан", "ел", "жан", "зор", "ил", "кор", "лев", "мар", "ник", "ол", "пет", "рад", "сав", "тим", "ур", "фил", "хар", "цве", "чер", "шар", "юр", "яр", "бла", "дра", "гле", "кра", "ста", "тро"),
+    "greek": ("αλ", "βερ", "γαρ", "δημ", "ελ", "ζαν", "ηλ", "θεο", "ιον", "καλ", "λεο", "μαρ", "νικ", "ξεν", "ολ", "πετ", "ροδ", "σοφ", "τιμ", "υλ", "φιλ", "χαρ", "ψαλ", "ων", "βασ", "γρη", "δρα", "κλε", "μελ", "παν", "στα", "τρι"),
+}
+GIVEN = {
+    "latin": {"m": ("us", "an", "or", "ard"), "f": ("a", "ia", "ina", "elle"), "n": ("en", "y", "is", "ey")},
+    "cyrillic": {"m": ("ан", "ий", "ор", "ей"), "f": ("а", "ия", "ина", "ена"), "n": ("а", "я", "ь", "ик")},
+    "greek": {"m": ("ος", "ης", "ας", "ων"), "f": ("α", "η", "ια", "ω"), "n": ("ι", "ις", "ω", "υ")},
+}
+SURNAME = {
+    "latin": {g: ("son", "berg", "ley", "man") for g in "mfn"},
+    "cyrillic": {"m": ("ов", "ев", "ин", "ский"), "f": ("ова", "ева", "ина", "ская"), "n": ("ко", "ук", "ян", "дзе")},
+    "greek": {"m": ("ίδης", "άκης", "όπουλος", "ιάδης"), "f": ("ίδου", "άκη", "οπούλου", "ιάδου"), "n": ("ίδη", "άκη", "έα", "ού")},
+}
+
+
+def _pick(values: tuple[str, ...], n: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(n, F.lit(len(values))) + 1).cast("int"))
+
+
+def _number(h: Column, i: int, digits: int = 10) -> Column:
+    """The i-th number that a hex digest of 64 digits holds, of so many hex digits."""
+    return F.conv(F.substring(h, 1 + i * digits, digits), 16, 10).cast("bigint")
+
+
+def _digits(h: Column) -> Column:
+    """36 decimal digits of a digest."""
+    part = lambda i: F.right(F.lpad(F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10), 18, "0"), F.lit(12))
+    return F.concat(*(part(i) for i in range(3)))
+
+
+def _luhn(digits: Column) -> Column:
+    return F.call_function("luhn_check", digits)
+
+
+def digits_of(x: Column) -> Column:
+    return F.regexp_replace(x, r"\D", "")
+
+
+def kind_of(match: Column) -> Column:
+    """The kind of a match, null if it is none after all (a number without a right check digit)."""
+    tests = [(k, match.rlike(f"^(?:{p})$")) for k, p in KINDS.items()]
+    out = F.when(tests[0][1], F.lit(tests[0][0]))
+    for k, test in tests[1:]:
+        out = out.when(test & (_luhn(digits_of(match)) if k == "card" else F.lit(True)), F.lit(k))
+    return out
+
+
+def _gender(title: Column) -> Column:
+    plain = F.regexp_replace(title, r"\.", "")
+    return F.when(plain.isin(*MALE, "M"), "m").when(plain.isin(*FEMALE), "f").otherwise("n")
+
+
+def _script(word: Column) -> Column:
+    return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+
+
+def entities(match: Column, kind: Column) -> Column:
+    """An array of structs (kind, canon) that a match holds: one, or one for each word of a name."""
+    one = lambda canon: F.array(F.struct(kind.alias("kind"), canon.alias("canon")))
+    words = F.split(match, r"\x20")
+    gender = _gender(F.element_at(words, 1))
+    last = F.size(words) - 1
+    named = F.transform(F.slice(words, 2, F.greatest(last, F.lit(0))), lambda w, i: F.struct(F.concat(F.when(i + 1 == last, "surname").otherwise("given"), F.lit("_"), gender, F.lit("_"), _script(w)).alias("kind"), F.lower(w).alias("canon")))
+    return (
+        F.when(kind == "name", named)
+        .when(kind == "email", one(F.lower(match)))
+        .when(kind == "ip", one(match))
+        .when(kind == "iban", one(F.regexp_replace(match, " ", "")))
+        .when(kind == "phone", one(F.right(digits_of(match), F.lit(10))))
+        .otherwise(one(digits_of(match)))
+    )
+
+
+def _names(kind: Column) -> tuple[Column, Column]:
+    """The syllables and endings of a kind of name."""
+    syllables = endings = None
+    for script, values in SYLLABLES.items():
+        array = F.array(*map(F.lit, values))
+        syllables = F.when(kind.endswith(script), array) if syllables is None else syllables.when(kind.endswith(script), array)
+        for g in "mfn":
+            for part, by_script in (("given", GIVEN), ("surname", SURNAME)):
+                test, array = kind == f"{part}_{g}_{script}", F.array(*map(F.lit, by_script[script][g]))
+                endings = F.when(test, array) if endings is None else endings.when(test, array)
+    return syllables, endings
+
+
+def surrogates(found: Column, key: str) -> Column:
+    """The canonical forms of the surrogates of an array of structs (kind, canon, attempt). In steps, so that digests are computed once."""
+
+    def digested(e: Column) -> Column:
+        # a surname's stem doesn't depend on the gender: a family shares it
+        h = F.sha2(F.concat_ws("\x1f", F.lit(key), F.regexp_replace(e["kind"], "^surname_[mfn]", "surname"), e["canon"], e["attempt"].cast("string")), 256)
+        domain = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), F.substring_index(e["canon"], "@", -1)), 256)
+        return F.struct(e["kind"].alias("kind"), e["canon"].alias("canon"), e["attempt"].alias("attempt"), h.alias("h"), F.when(e["kind"] == "email", domain).alias("domain"))
+
+    def numbered(e: Column) -> Column:
+        named = e["kind"].contains("_")
+        syllables, endings = _names(e["kind"])
+        return F.struct(*(e[f].alias(f) for f in ("kind", "canon", "attempt", "h", "domain")), _digits(e["h"]).alias("new"), F.when(named, syllables).alias("syllables"), F.when(named, endings).alias("endings"))
+
+    return F.transform(F.transform(F.transform(found, digested), numbered), _surrogate)
+
+
+def _surrogate(e: Column) -> Column:
+    kind, canon, attempt, h, new = e["kind"], e["canon"], e["attempt"], e["h"], e["new"]
+    n = F.length(canon)
+    return (
+        F.when(kind == "email", _email(canon, attempt, h, new, e["domain"]))
+        .when(kind == "ip", _ip(canon, h))
+        .when(kind == "ssn", F.concat((F.pmod(_number(h, 0), F.lit(560)) + 100).cast("string"), F.lpad((F.pmod(_number(h, 1), F.lit(99)) + 1).cast("string"), 2, "0"), F.lpad((F.pmod(_number(h, 2), F.lit(9999)) + 1).cast("string"), 4, "0")))
+        .when(kind == "phone", F.concat((F.pmod(_number(h, 5), F.lit(8)) + 2).cast("string"), F.substr(new, F.lit(2), F.lit(2)), F.when(n >= 10, (F.pmod(_number(h, 4), F.lit(8)) + 2).cast("string")).otherwise(F.substr(new, F.lit(30), F.lit(1))), F.substr(new, F.lit(5), n - 4)))
+        .when(kind == "card", _card(F.concat(F.substring(canon, 1, 1), F.substr(new, F.lit(1), n - 2))))
+        .when(kind == "iban", _iban(F.substring(canon, 1, 2), _classes(F.substr(canon, F.lit(5)), h, new, True)))
+        .otherwise(_name(attempt, h, e["syllables"], e["endings"]))
+    )
+
+
+def _letter(digest: Column, i: Column) -> Column:
+    return F.chr(F.lit(97) + F.pmod(F.conv(F.substr(digest, F.pmod(i * 2, F.lit(62)) + 1, F.lit(2)), 16, 10).cast("bigint"), F.lit(26)))
+
+
+def _classes(old: Column, h: Column, new: Column, upper: bool) -> Column:
+    """Other letters for the letters and other digits for the digits of old."""
+    letter = lambda i: F.upper(_letter(h, i)) if upper else _letter(h, i)
+    return F.array_join(F.transform(F.split(old, ""), lambda c, i: F.when(c.rlike("[A-Za-z]"), letter(i)).when(c.rlike(r"\d"), F.substr(new, F.pmod(i, F.lit(36)) + 1, F.lit(1))).otherwise(c)), "")
+
+
+def _email(canon: Column, attempt: Column, h: Column, new: Column, domain: Column) -> Column:
+    local = F.concat(F.substring_index(canon, "@", 1), F.when(attempt > 8, F.repeat(F.lit("x"), attempt - 8)).otherwise(""))  # short local parts can run out
+    return F.concat(_classes(local, h, new, False), F.lit("@"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: _letter(domain, i)), ""), F.lit(".example"))
+
+
+def _ip(canon: Column, h: Column) -> Column:
+    octet = lambda i: (F.pmod(_number(h, i), F.lit(254)) + 1).cast("string")
+    public = F.pmod(_number(h, 4), F.lit(100)) + 20  # first octets 20 to 119: none of them special
+    return (
+        F.when(canon.rlike(r"^(?:10|127)\."), F.concat_ws(".", F.substring_index(canon, ".", 1), octet(0), octet(1), octet(2)))
+        .when(canon.rlike(r"^(?:192\.168|172\.(?:1[6-9]|2\d|3[01]))\."), F.concat_ws(".", F.substring_index(canon, ".", 2), octet(1), octet(2)))
+        .otherwise(F.concat_ws(".", public.cast("string"), octet(0), octet(1), octet(2)))
+    )
+
+
+def _card(body: Column) -> Column:
+    """body and its check digit."""
+    tried = F.transform(F.array(*(F.lit(str(d)) for d in range(10))), lambda d: F.concat(body, d))
+    return F.element_at(F.filter(tried, _luhn), 1)
+
+
+def _iban(country: Column, bban: Column) -> Column:
+    value = lambda acc, c: F.when(c.rlike(r"\d"), (acc * 10 + F.try_to_number(c, F.lit("9")).cast("int")) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
+    made = F.transform(F.array(bban), lambda b: F.concat(country, F.lpad((98 - F.aggregate(F.split(F.concat(b, country, F.lit("00")), ""), F.lit(0), value)).cast("string"), 2, "0"), b))
+    return F.element_at(made, 1)
+
+
+def _name(attempt: Column, h: Column, syllables: Column, endings: Column) -> Column:
+    """Two syllables, one more for each attempt (so there is always room), and an ending."""
+    one = lambda n: F.element_at(syllables, (F.pmod(n, F.lit(32)) + 1).cast("int"))
+    more = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt, F.lit(1))), lambda i: F.when(i <= attempt, one(_number(h, 2) + i * 7)).otherwise("")), "")
+    return F.concat(one(_number(h, 0)), one(_number(h, 1)), more, F.element_at(endings, (F.pmod(_number(h, 3), F.lit(4)) + 1).cast("int")))
+
+
+def _cased(new: Column, old: Column) -> Column:
+    return F.when((F.length(old) > 1) & (F.upper(old) == old), F.upper(new)).otherwise(F.concat(F.upper(F.substring(new, 1, 1)), F.substr(new, F.lit(2))))
+
+
+def _placed(match: Column, new: Column) -> Column:
+    """match with its last digits replaced by the digits of new."""
+    skip = F.length(digits_of(match)) - F.length(new)
+
+    def one(c: Column, i: Column) -> Column:
+        at = F.length(digits_of(F.substr(match, F.lit(1), i + 1))) - skip
+        return F.when(c.rlike(r"\d") & (at >= 1), F.substr(new, at, F.lit(1))).otherwise(c)
+
+    return F.array_join(F.transform(F.split(match, ""), one), "")
+
+
+def _spaced(match: Column, new: Column) -> Column:
+    """new with the blanks of match."""
+    return F.array_join(F.transform(F.split(match, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substr(new, F.length(F.regexp_replace(F.substr(match, F.lit(1), i + 1), " ", "")), F.lit(1)))), "")
+
+
+def _replacement(m: Column) -> Column:
+    """What stands in the text instead of a match: its words' or its own surrogate in the match's format."""
+    match, kind, first = m["g0"], m["kind"], F.element_at(m["new"], 1)
+    words = F.split(match, r"\x20")
+    name = F.concat_ws(" ", F.element_at(words, 1), F.array_join(F.zip_with(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), m["new"], lambda w, x: _cased(x, w)), " "))
+    return F.when(kind == "name", name).when(kind.isin("card", "phone", "ssn"), _placed(match, first)).when(kind == "iban", _spaced(match, first)).otherwise(first)
+
+
+def matches(text: Column) -> Column:
+    """start, end, g0, kind, parts (kind, canon) of the entities of a text."""
+    found = F.when(text.rlike(HINT), spans(text, PATTERN))
+    kinds = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["g0"].alias("g0"), kind_of(x["g0"]).alias("kind")))
+    parts = F.transform(F.filter(kinds, lambda x: x["kind"].isNotNull()), lambda x: F.struct(*(x[f].alias(f) for f in ("start", "end", "g0", "kind")), entities(x["g0"], x["kind"]).alias("parts")))
+    return F.coalesce(parts, F.array().cast("array<struct<start:int,end:int,g0:string,kind:string,parts:array<struct<kind:string,canon:string>>>>"))
+
+
+def _each(texts: DataFrame) -> DataFrame:
+    """row, kind, canon of every entity."""
+    return texts.select("row", F.explode(matches(F.col("text"))).alias("m")).select("row", F.explode("m.parts").alias("e")).select("row", "e.kind", "e.canon")
+
+
+def dictionary(texts: DataFrame, work: Work, key: str) -> DataFrame:
+    """kind, canon, attempt, out of the distinct entities of the corpus; no two of a kind share an out, and none is a canon."""
+    now = work.write(_each(texts).select("kind", "canon").distinct().withColumn("attempt", F.lit(0)), "entities-0")
+    originals = now.select("kind", F.col("canon").alias("out"), F.lit(1).alias("real"))
+    for k in range(1, MOST_ATTEMPTS):
+        made = work.write(now.withColumn("out", F.element_at(surrogates(F.array(F.struct("kind", "canon", "attempt")), key), 1)), f"made-{k}")
+        first = made.groupBy("kind", "out").agg(F.min(F.struct(-F.col("attempt"), "canon"))["canon"].alias("first"))
+        judged = made.join(first, ["kind", "out"]).join(originals, ["kind", "out"], "left")
+        again = (F.col("canon") != F.col("first")) | F.col("real").isNotNull()
+        judged = work.write(judged.select("kind", "canon", "attempt", "out", again.alias("again")), f"judged-{k}")
+        if judged.filter("again").isEmpty():
+            return judged.drop("again")
+        now = judged.select("kind", "canon", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
+    raise RuntimeError("surrogates still collide")
+
+
+def replace(df: DataFrame, work: Work, key: str, doc_id: str = "doc_id", text: str = "text", found: str = "entities") -> DataFrame:
+    """df with its texts rewritten, and `found`: structs (kind, start, end in the original text, surrogate)."""
+    # a digest of id and text names a row's exceptions
+    named = F.sha2(F.concat_ws("\x1f", F.col(doc_id).cast("string"), F.col(text)), 256)
+    texts = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), named.alias("row"))
+    later = work.write(dictionary(texts, work, key).filter("attempt > 0").select(F.concat_ws("\x1f", "kind", "canon").alias("name"), "attempt"), "later")
+    attempts = F.lit(None).cast("map<string,int>")
+    kept = [c for c in df.columns if c not in (text, found)]
+    if not later.isEmpty():
+        rows = _each(texts).select("row", F.concat_ws("\x1f", "kind", "canon").alias("name")).distinct().join(later, "name").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("name", "attempt"))).alias("__attempts"))
+        rows = work.write(rows.withColumnRenamed("row", "__row"), "exceptions")
+        few = rows.count() <= BROADCAST_ROWS
+        df = df.withColumn("__row", named).join(F.broadcast(rows) if few else rows, "__row", "left")
+        attempts = F.col("__attempts")
+    attempt = lambda e: F.coalesce(F.try_element_at(attempts, F.concat_ws("\x1f", e["kind"], e["canon"])), F.lit(0))
+    tried = lambda m: F.transform(m["parts"], lambda e: F.struct(e["kind"].alias("kind"), e["canon"].alias("canon"), attempt(e).alias("attempt")))
+    renewed = F.transform(matches(F.col(text)), lambda m: F.struct(*(m[f].alias(f) for f in ("start", "end", "g0", "kind")), surrogates(tried(m), key).alias("new")))
+    made = F.transform(renewed, lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"), _replacement(m).alias("surrogate")))
+    out = df.select(*kept, F.col(text).alias("__text"), made.alias("__found"))
+    # the stretch before each entity and its surrogate, then what follows the last one
+    since = lambda i: F.coalesce(F.get(F.col("__found"), i - 1)["end"], F.lit(0))
+    pieces = F.transform("__found", lambda m, i: F.concat(F.substr("__text", since(i) + 1, m["start"] - since(i)), m["surrogate"]))
+    rest = F.substr("__text", F.element_at("__found", -1)["end"] + 1, F.length("__text"))
+    new = F.when(F.size("__found") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("__text"))
+    return out.select(*(new.alias(c) if c == text else F.col(c) for c in df.columns if c == text or c in kept and not c.startswith("__")), F.col("__found").alias(found))

@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from livgrid.llm import arc_warc, bpe, decontaminate, embedding_dedup, html_text, jaccard_join, passage_dedup, secret_scan, toxicity
+from livgrid.llm import arc_warc, bpe, decontaminate, embedding_dedup, html_text, jaccard_join, passage_dedup, pii, secret_scan, toxicity
 from livgrid.llm.storage import Work
 from livgrid.sources.tables import table
 
+#: The key of the surrogates. A production run passes its own secret.
+PII_KEY = "livgrid surrogates 1"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -36,6 +38,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest_rows(secret_scan.scan(documents, Work(spark, "secrets")))
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(documents, Work(spark, "pii"), PII_KEY).select("doc_id", "text", F.size("entities").cast("bigint").alias("n_entities"), "entities")
+
+
 def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that lose passages; those that aren't listed stay as they are."""
     return passage_dedup.removed(table(spark, sf_dir, "documents").select("doc_id", "text"), Work(spark, "passages"))
@@ -61,6 +68,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_passage_dedup": op3_passage_dedup,
     "op4_html_text": op4_html_text,
     "op5_decontamination": op5_decontamination,
