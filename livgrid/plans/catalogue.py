@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from livgrid.plans import scalars, zones
+from livgrid.plans import sales, scalars, zones
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (zones, scalars):
+for _module in (zones, scalars, sales):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
