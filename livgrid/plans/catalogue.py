@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from livgrid.plans import graphs, lookups, places, rasters, sales, scalars, timetables, zones
+from livgrid.plans import graphs, lookups, places, projects, rasters, sales, scalars, timetables, zones
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (zones, scalars, sales, timetables, places, rasters, graphs, lookups):
+for _module in (zones, scalars, sales, timetables, places, rasters, graphs, lookups, projects):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
