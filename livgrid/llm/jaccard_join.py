@@ -7,17 +7,19 @@ Light sets, up to a boundary, enumerate their subsets of every size that a partn
 link share the subset that is their overlap. Heavy sets go into inverted lists: classes of sizes (a partner is
 in the same class or the next) have a number of parts, one more than the shingles in which two linking sets
 of the class can differ, and some to spare; shingles are dealt to parts by hash, and a set is listed under each part's
-content. By the pigeonhole principle two linking sets share a part; one that is empty in both doesn't count, so
-a set with more empty parts than there are to spare is listed again under further seeds, and in the end under each
-shingle. A list holds sets that agree on a whole part, some five shingles from all over the text: a frequent
-shingle, line or passage alone makes no list. The boundary is that with the least rows by the sizes found.
+content. By the pigeonhole principle two linking sets share more parts than there are to spare. Weak parts (of no or
+one shingle; of none where sets are small) aren't listed; a set with more of them than there are to spare is listed
+again under further seeds, and in the end under each shingle. A list holds sets that agree on a whole part,
+several shingles from all over the text: a frequent shingle, line or passage alone makes hardly any list.
+The boundary is that with the least rows by the sizes found.
 
 Lists are read as a stream of sorted rows. Each set is first verified against the least member of its lists (one
 shuffled set each, hot centres salted). Lists whose members are then in several components, and lists of two not
 verified yet, are joined to groups by common members; in each group the sets outside its largest component are
 compared with each other and with it, in blocks of BLOCK sets, by counting overlaps along inverted lists
-of shingles. (Where that would ship more sets than going list by list, the group's lists are compared one by
-one.) So groups of copies cost their rows, never their pairs, and no link between different sets is lost.
+of shingles. (Where that would ship more sets than going by the lists' least members, lists with one least member are compared on
+their own.) Bitmaps of the sets go first, an exact bound of how much two sets differ; whole sets follow where it leaves a link
+possible. So groups of copies cost their rows, never their pairs, and no link between different sets is lost.
 
 Defined cases: a null or empty text, or a null id, links with nothing and is its own component; fewer words than k make
 one shingle of the whole sequence; every row gives a row, repeated ones too.
@@ -80,6 +82,7 @@ class Instance(NamedTuple):
     most: int
     parts: int
     spare: int
+    strong: int
 
 
 @lru_cache(64)
@@ -90,13 +93,14 @@ def instance(measure: Measure, boundary: int, number: int) -> Instance:
         before, least = least, measure.partner(least) + 1
     most = measure.partner(least)
     differ = measure.differ(most)
-    spare = 1
-    while True:  # enough that a set of the smallest size that uses it rarely has more empty parts
-        parts = differ + 1 + spare
-        empty = parts * math.exp(-before / parts)
-        if spare >= empty + 4 * math.sqrt(empty) + 1 or spare > differ + 8:
-            return Instance(number, least, most, parts, spare)
-        spare += 1
+    for strong in (2, 1):
+        for spare in range(1, 2 * differ + 9):  # enough that most sets of the smallest size that uses it have no more weak parts
+            parts = differ + 1 + spare
+            mean = before / parts
+            weak = parts * math.exp(-mean) * (1 + mean * (strong == 2))
+            if spare >= weak + 1.5 * math.sqrt(weak):
+                return Instance(number, least, most, parts, spare, strong)
+    return Instance(number, least, most, differ + 4, 3, 1)
 
 
 def class_of(measure: Measure, boundary: int, sizes: np.ndarray) -> np.ndarray:
@@ -157,13 +161,15 @@ def _light_keys(measure: Measure, value: np.ndarray) -> np.ndarray:
 
 
 def _part_keys(value: np.ndarray, text: np.ndarray, which: np.ndarray, of: Instance, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the parts that aren't empty, their texts, and the number of such parts of each text."""
+    """Keys of the strong parts, their texts, and the number of such parts of each text."""
     part = (mix(value, 20_000 + 16 * of.number + seed) % np.uint64(of.parts)).astype(np.int64)
     place = text * of.parts + part
     order = np.argsort(place, kind="stable")
     place = place[order]
     starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
     content = np.add.reduceat(mix(value, 12)[order], starts) if len(starts) else np.zeros(0, np.uint64)
+    strong = np.diff(np.append(starts, len(place))) >= of.strong
+    starts, content = starts[strong], content[strong]
     place = place[starts]
     key = mix(content ^ mix((place % of.parts).astype(np.uint64), 1_000 + 16 * of.number + seed), 13)
     return key, place // of.parts, np.bincount(place // of.parts, minlength=len(which))
@@ -190,7 +196,7 @@ def list_keys(measure: Measure, boundary: int, value: np.ndarray, first: np.ndar
             keys.append(key)
             owners.append(which[owner])
             which = which[of.parts - full > of.spare]
-        for i in which:  # too many empty parts under every seed: each shingle is a key
+        for i in which:  # too many weak parts under every seed: each shingle is a key
             keys.append(own := mix(value[first[i] : first[i + 1]], 50_000 + number))
             owners.append(np.full(len(own), i))
     return np.concatenate(keys), np.concatenate(owners)
@@ -248,8 +254,16 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(out_key), pa.array(out_d), pa.array(out_c)], ["key", "d", "centre"])
 
 
-def _with_sets(docs: DataFrame, wanted: DataFrame, measure: Measure, doc_id: str, text: str) -> DataFrame:
-    """The rows of wanted (doc_id, d, tag, to: array of long), one for each of `to`, with the sets: to, d, tag, shingles."""
+def outline(values: np.ndarray) -> np.ndarray:
+    """A set's size and a bitmap of its values, of the next power of two of bits. Bits that two bitmaps differ in are values that the sets differ in."""
+    bits = max(64, 1 << (len(values) - 1).bit_length())
+    there = np.zeros(bits, bool)
+    there[(mix(values, 71) & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.concatenate([np.array([len(values)], np.uint64), np.packbits(there).view(np.uint64)])
+
+
+def _with_sets(docs: DataFrame, wanted: DataFrame, measure: Measure, doc_id: str, text: str, outlines: bool = False) -> DataFrame:
+    """The rows of wanted (doc_id, d, tag, to: array of long), one for each of `to`, with the sets or their outlines: to, d, tag, shingles."""
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     few = wanted.count() <= BROADCAST_IDS and wanted.agg(F.coalesce(F.sum(F.size("to")), F.lit(0))).first()[0] <= 2 * BROADCAST_IDS
     joined = texts.join(F.broadcast(wanted) if few else wanted, "doc_id").select("text", "d", "tag", "to")
@@ -262,7 +276,8 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, measure: Measure, doc_id: str
             ends = [0]
             parts: list[np.ndarray] = []
             for i in np.flatnonzero(digest.view(np.int64) == wanted_d):
-                own = value[first[i] : first[i + 1]].view(np.int64)
+                own = value[first[i] : first[i + 1]]
+                own = (outline(own) if outlines else own).view(np.int64)
                 for target in to[int(i)].as_py():
                     rows.append((target, int(wanted_d[i]), int(tag[i])))
                     parts.append(own)
@@ -342,32 +357,67 @@ def block_pairs(measure: Measure, sets: list[np.ndarray], comps: list[int], name
     return out
 
 
-def _blocks(measure: Measure):
-    """Of rows (to, d, component, shingles) sorted by block: the pairs that join components."""
+def may_link(measure: Measure, outlines: list[np.ndarray], comps: list[int]) -> np.ndarray:
+    """Which sets have one of another component that they may link with, by their outlines. No set that links is left out."""
+    comp, alive = np.array(comps), np.zeros(len(outlines), bool)
+    by_length: dict[int, list[int]] = {}
+    for i, o in enumerate(outlines):
+        by_length.setdefault(len(o) - 1, []).append(i)
+    for length, own in by_length.items():
+        rows = np.stack([outlines[i][1:] for i in own])
+        sizes = np.array([int(outlines[i][0]) for i in own])
+        for other in (length, 2 * length):
+            if other not in by_length:
+                continue
+            theirs = by_length[other]
+            bits = rows if other == length else np.stack([outlines[i][1:] for i in theirs])
+            n = sizes if other == length else np.array([int(outlines[i][0]) for i in theirs])
+            if other != length:  # folded to the shorter length
+                bits = bits[:, :length] | bits[:, length:]
+            at = np.array(theirs)
+            for k, i in enumerate(own):
+                start = k + 1 if other == length else 0
+                total = n[start:] + sizes[k]
+                most = total - 2 * -(-measure.percent * total // (100 + measure.percent))
+                apart = np.bitwise_count(bits[start:] ^ rows[k]).sum(1, dtype=np.int64)
+                hits = at[start:][(apart <= most) & (comp[at[start:]] != comp[i])]
+                if len(hits):
+                    alive[i] = True
+                    alive[hits] = True
+    return alive
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
+    """make(block, names, components, sets) of each block of rows (to, d, component, shingles) sorted by block."""
+    held: dict[int, tuple[np.ndarray, int]] = {}
+    now = None
+
+    def made() -> Iterator[pa.RecordBatch]:
+        if len(held) > 1:
+            names = list(held)
+            if rows := make(now, names, [held[n][1] for n in names], [held[n][0] for n in names]):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, int]] = {}
-        now = None
+    for batch in batches:
+        to, ds, comps = (batch.column(i).to_pylist() for i in range(3))
+        value, offsets = _list_rows(batch.column(3))
+        for i, (t, d, c) in enumerate(zip(to, ds, comps, strict=True)):
+            if t != now:
+                yield from made()
+                held.clear()
+                now = t
+            held[d] = (value[offsets[i] : offsets[i + 1]].copy(), c)
+    yield from made()
 
-        def pairs() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                names = list(held)
-                found = block_pairs(measure, [held[n][0] for n in names], [held[n][1] for n in names], names)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
-        for batch in batches:
-            to, ds, comps = (batch.column(i).to_pylist() for i in range(3))
-            value, offsets = _list_rows(batch.column(3))
-            for i, (t, d, c) in enumerate(zip(to, ds, comps, strict=True)):
-                if t != now:
-                    yield from pairs()
-                    held.clear()
-                    now = t
-                held[d] = (value[offsets[i] : offsets[i + 1]].copy(), c)
-        yield from pairs()
+def _blocks(measure: Measure):
+    """The pairs (a, b) that join components."""
+    return lambda batches: _grouped(batches, lambda _, names, comps, sets: block_pairs(measure, sets, comps, names))
 
-    return run
+
+def _alive(measure: Measure):
+    """The rows (block, set) that may link across components."""
+    return lambda batches: _grouped(batches, lambda block, names, comps, outlines: [(block, names[i]) for i in np.flatnonzero(may_link(measure, outlines, comps)).tolist()])
 
 
 def _targets(i: str, j_count: str, name: str, ordered: bool) -> Column:
@@ -380,41 +430,56 @@ def _targets(i: str, j_count: str, name: str, ordered: bool) -> Column:
     return F.when(F.col(j_count) > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col(j_count) - 1), one)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _meeting(rows: DataFrame, target: str) -> DataFrame:
-    """d, to: where each row's set (target, d, component) goes, so that sets outside the target's largest component meet all others of it."""
-    rows = rows.select(F.col(target).alias("target"), "d", "component").distinct()
-    sizes = rows.groupBy("target", "component").agg(F.count("*").alias("n")).groupBy("target").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"))
-    sizes = sizes.select("target", F.col("most.component").alias("major"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("minors"), F.ceil(F.col("most.n") / BLOCK).alias("majors"))
+def _sizes(rows: DataFrame) -> DataFrame:
+    """Of rows (target, d, component): each target's largest component, the blocks of its members outside and inside it, and the rows that meeting ships."""
+    by = rows.groupBy("target", "component").agg(F.count("*").alias("n")).groupBy("target").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"))
+    by = by.select("target", F.col("most.component").alias("major"), F.col("most.n").alias("inside"), (F.col("n") - F.col("most.n")).alias("outside"))
+    by = by.withColumn("minors", F.ceil(F.col("outside") / BLOCK)).withColumn("majors", F.ceil(F.col("inside") / BLOCK))
+    return by.withColumn("rows", F.when((F.col("minors") == 1) & (F.col("majors") == 1), F.col("inside") + F.col("outside")).otherwise(F.col("outside") * (F.col("minors") + F.col("majors")) + F.col("inside") * F.col("minors")))
+
+
+def _meeting(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """d, to: where each row's set goes, so that sets outside the target's largest component meet all others of it."""
     block = lambda n: F.pmod(F.xxhash64("d", F.lit(1)), F.col(n))
     one = (F.col("minors") == 1) & (F.col("majors") == 1)
     rows = rows.join(sizes, "target").withColumn("minor_block", F.when(F.col("minors") > 0, block("minors"))).withColumn("major_block", block("majors"))
     to = F.when(one, F.array(F.xxhash64("target"))).when(F.col("component") == F.col("major"), _targets("major_block", "minors", "x", False))
     to = to.otherwise(F.concat(_targets("minor_block", "minors", "m", True), _targets("minor_block", "majors", "x", False)))
-    return rows.select("target", "d", F.explode(to).alias("to"))
+    return rows.select("d", F.explode(to).alias("to"))
 
 
 def _across(docs: DataFrame, postings: DataFrame, named: DataFrame, chosen: DataFrame, comp: DataFrame, work: Work, measure: Measure, doc_id: str, text: str) -> DataFrame | None:
     """The links across components within lists; None if no list has pairs left to compare."""
     of = chosen.select("d", F.col("centre").alias("chosen")).join(comp.select(F.col("node").alias("d"), "component"), "d", "full")
-    rows = work.write(postings.join(of, "d", "left").withColumn("component", F.coalesce("component", "d")), "members")
-    seen = F.min((F.col("d") == F.col("centre")) | F.coalesce(F.col("centre") == F.col("chosen"), F.lit(False)))
-    lists = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), seen.alias("seen"))
-    rows = work.write(rows.join(lists.filter("lo < hi AND (n > 2 OR NOT seen)").select("key"), "key").select("key", "d", "centre", "component"), "open")
+    rows = postings.join(of, "d", "left").withColumn("component", F.coalesce("component", "d"))
+    seen = (F.col("d") == F.col("centre")) | F.coalesce(F.col("centre") == F.col("chosen"), F.lit(False))
+    rows = work.write(rows.select("key", "d", "centre", "component", seen.alias("seen")), "members")
+    lists = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.min("seen").alias("seen"))
+    # lists with one least member are one from here on
+    rows = rows.join(lists.filter("lo < hi AND (n > 2 OR NOT seen)").select("key"), "key").select("d", "centre", "component").distinct()
+    rows = work.write(rows, "open")
+    work.drop("members")
     if rows.isEmpty():
         return None
-    pairs = rows.filter("d <> centre").select(F.greatest("d", "centre").alias("a"), F.least("d", "centre").alias("b")).distinct()
+    pairs = rows.filter("d <> centre").select(F.greatest("d", "centre").alias("a"), F.least("d", "centre").alias("b"))
     group = components(pairs, work, "groups").select(F.col("node").alias("d"), F.col("component").alias("group"))
     rows = work.write(rows.join(group, "d", "left").withColumn("group", F.coalesce("group", "d")), "grouped")
-    by_group = work.write(_meeting(rows, "group"), "by-group")
-    by_list = _meeting(rows, "key").join(rows.select(F.col("key").alias("target"), "group").distinct(), "target").groupBy("group").agg(F.count("*").alias("n"))
-    dear = by_group.groupBy(F.col("target").alias("group")).agg(F.count("*").alias("m")).filter(F.col("m") > 4 * BLOCK).join(by_list, "group").filter("m > n").select("group")
-    dear = work.write(dear, "dear")
-    target = by_group.select("target", "d", "to")
-    if not dear.isEmpty():
-        target = target.join(dear.select(F.col("group").alias("target")), "target", "left_anti").union(_meeting(rows.join(dear, "group", "left_semi"), "key"))
-    wanted = target.groupBy("d").agg(F.collect_set("to").alias("to")).join(named, "d").join(rows.select("d", F.col("component").alias("tag")).distinct(), "d").select("doc_id", "d", "tag", "to")
-    sets = _with_sets(docs, work.write(wanted, "open-wanted"), measure, doc_id, text)
-    return sets.repartition("to").sortWithinPartitions("to", "d").mapInArrow(_blocks(measure), "a long, b long")
+    by_group, by_centre = rows.select(F.col("group").alias("target"), "d", "component").distinct(), rows.select(F.col("centre").alias("target"), "d", "component", "group")
+    group_sizes, centre_sizes = work.write(_sizes(by_group), "group-sizes"), work.write(_sizes(by_centre), "centre-sizes")
+    centre_group = by_centre.select("target", "group").distinct()
+    shipped_by_centre = centre_sizes.join(centre_group, "target").groupBy("group").agg(F.sum("rows").alias("by_centre"))
+    dear = work.write(group_sizes.join(shipped_by_centre, F.col("target") == F.col("group")).filter("rows > by_centre").select("group"), "dear")
+    target = _meeting(by_group, group_sizes.join(dear.select(F.col("group").alias("target")), "target", "left_anti"))
+    target = target.union(_meeting(by_centre.join(dear, "group", "left_semi").select("target", "d", "component"), centre_sizes))
+    tags = named.join(rows.select("d", F.col("component").alias("tag")).distinct(), "d")
+
+    def shipped(target: DataFrame, name: str, outlines: bool) -> DataFrame:
+        wanted = work.write(target.groupBy("d").agg(F.collect_set("to").alias("to")).join(tags, "d").select("doc_id", "d", "tag", "to"), name)
+        return _with_sets(docs, wanted, measure, doc_id, text, outlines).repartition("to").sortWithinPartitions("to", "d")
+
+    # outlines go first, and whole sets only where outlines leave a link possible
+    alive = work.write(shipped(target, "open-wanted", True).mapInArrow(_alive(measure), "a long, b long"), "alive")
+    return shipped(alive.select(F.col("a").alias("to"), F.col("b").alias("d")), "alive-wanted", False).mapInArrow(_blocks(measure), "a long, b long")
 
 
 def join(docs: DataFrame, work: Work, measure: Measure = Measure(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:

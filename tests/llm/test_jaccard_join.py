@@ -120,3 +120,20 @@ def test_components(spark, task, monkeypatch):
     got = {r["node"]: r["component"] for r in components(df, Work(spark, "t")).collect()}
     assert got == {x: find(x) for x in up if find(x) != x}
     assert components(df.limit(0), Work(spark, "t")).count() == 0
+
+
+def test_outlines_never_rule_out_a_link():
+    rng = np.random.default_rng(2)
+    for percent in (80, 85):
+        measure = J.Measure(5, percent)
+        for size in (1, 2, 5, 9, 40, 63, 64, 65, 127, 130, 500, 1025):
+            a = np.unique(rng.integers(1, 1 << 62, size, dtype=np.uint64))
+            for drop in range(measure.deletions(size) + 1):
+                more = max((x for x in range(size) if 100 * (size - drop) >= percent * (size + x)), default=-1)
+                if more < 0:
+                    continue
+                b = np.concatenate([a[drop:], rng.integers(1, 1 << 62, more, dtype=np.uint64)])
+                assert J.may_link(measure, [J.outline(a), J.outline(b)], [1, 2]).all()
+                assert not J.may_link(measure, [J.outline(a), J.outline(b)], [1, 1]).any()
+    far = [J.outline(rng.integers(1, 1 << 62, 600, dtype=np.uint64)) for _ in range(50)]
+    assert not J.may_link(J.Measure(5, 80), far, list(range(50))).any()
