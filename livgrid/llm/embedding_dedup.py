@@ -91,6 +91,8 @@ def _search(least: float):
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal shard
+            if asking and shard is None:  # hashing left the shard without vectors
+                held.clear()
             if not held:
                 return
             ids, raw, counts = stacked()
@@ -102,7 +104,7 @@ def _search(least: float):
                 yield from answers(ids, raw)
             held.clear()
 
-        own = True
+        own, asking = True, False
         for batch in batches:
             tasks, roles, nodes, copies = (np.asarray(batch.column(i)).tolist() for i in range(4))
             value, offsets = np.asarray(batch.column(4).values), np.asarray(batch.column(4).offsets)
@@ -112,8 +114,11 @@ def _search(least: float):
                     if forest.parent:
                         yield rows(list(forest.parent), [forest.find(x) for x in list(forest.parent)], [0] * len(forest.parent))
                     task, shard, forest = tasks[k], None, Forest()
-                    own = roles[k] == 0
-                elif roles[k] == 2 and shard is None or shard is not None and len(held) >= BLOCK:
+                    own, asking = roles[k] == 0, roles[k] == 2
+                elif roles[k] == 2 and not asking:
+                    yield from flush()
+                    asking = True
+                elif asking and len(held) >= BLOCK:
                     yield from flush()
                 held.append((nodes[k], copies[k], value[offsets[k] : offsets[k + 1]].copy()))
         yield from flush()

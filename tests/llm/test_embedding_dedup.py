@@ -52,6 +52,14 @@ def test_links_equal_comparing_all_pairs(spark, shard, queries, monkeypatch):
     assert len(got) == len(rows) and all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_shards_without_vectors(spark, monkeypatch):
+    monkeypatch.setattr(E, "SHARD", 1)
+    monkeypatch.setattr(E, "QUERIES", 3)
+    rows = clusters(2, (12,))
+    got = E.links(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA), Work(spark, "t")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == plain(rows)
+
+
 def test_vectors_that_link_with_nothing(spark):
     ok = [1.0, 2.0, 3.0]
     rows = [(1, ok, 0), (2, ok, None), (3, None, 0), (4, [0.0] * 3, 0), (5, [1.0, None, 3.0], 0), (6, [1.0, math.nan, 3.0], 0), (7, [1.0, math.inf, 3.0], 0), (8, [], 0), (None, ok, 0), (9, ok, 1), (10, [1.0, 2.0], 0), (1, ok, 0), (12, ok, 0)]
