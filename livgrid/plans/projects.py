@@ -15,8 +15,8 @@ from livgrid.streaming.areas import area_stream
 
 
 def section_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers as stops of one line a nation, three operations each, neighbours sharing a stop."""
-    s = table(spark, d, "supplier").select(F.when(F.col("s_nationkey") % 2 == 0, "métro").otherwise("tram").alias("mode"), F.col("s_nationkey").cast("string").alias("line"), F.col("s_suppkey").cast("string").alias("stop"),
+    """Suppliers as stops, ten a line, of two operations each that share stops."""
+    s = table(spark, d, "supplier").select(F.when(F.floor(F.col("s_suppkey") / 10) % 2 == 0, "métro").otherwise("tram").alias("mode"), F.floor(F.col("s_suppkey") / 10).cast("string").alias("line"), F.col("s_suppkey").cast("string").alias("stop"),
         ((F.col("s_suppkey") * 6101) % 1000).cast("double").alias("x"), ((F.col("s_suppkey") * 3571) % 1000).cast("double").alias("y"), (F.col("s_suppkey") % 4 == 0).alias("terminus"), F.col("s_suppkey").alias("k"))
     parts = F.when(F.col("k") % 5 == 0, F.array(F.lit("a"), F.lit("b"))).when(F.col("k") % 2 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("b")))
     return sections.routes(s.withColumn("operation", F.explode(parts)).withColumn("phase", F.lit(None).cast("string")))

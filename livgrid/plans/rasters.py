@@ -60,13 +60,13 @@ def bilinear_samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contour_segments(spark: SparkSession, d: str) -> DataFrame:
-    s = raster.crossings(_dense(spark, d).withColumn("v", F.col("v").cast("double")), [], "v", 900.5)
+    s = raster.crossings(_dense(spark, d).withColumn("v", (F.col("v") % 97).cast("double")), [], "v", 48.5)
     return s.select("p.row", "p.col", "p.vertical").union(s.select("q.row", "q.col", "q.vertical")).groupBy("row", "col", "vertical").agg(F.count("*").alias("n"))
 
 
 def contour_rings(spark: SparkSession, d: str) -> DataFrame:
-    f = _dense(spark, d).withColumn("zone", F.lit(1).cast("bigint")).withColumn("v", F.col("v").cast("double"))
-    return raster.contours(f, ["zone"], "v", 900.5, 0.35, 2)
+    f = _dense(spark, d).withColumn("zone", F.lit(1).cast("bigint")).withColumn("v", (F.col("v") % 97).cast("double"))
+    return raster.contours(f, ["zone"], "v", 48.5, 0.35, 2)
 
 
 QUERIES = {f.__name__: f for f in (nearest_palette, majority_cell, gap_fill, gap_levels, block_sums, box_blur, bilinear_samples, contour_segments, contour_rings)}
@@ -91,7 +91,7 @@ ORACLES = {
     "bilinear_samples": f"""WITH {_DENSE}, p AS (SELECT p_partkey, p_partkey * 7 % 156 AS y4, p_partkey * 11 % 156 AS x4 FROM part)
   SELECT p_partkey, CAST(sum(v * (CASE WHEN row = y4 // 4 THEN 4 - y4 % 4 ELSE y4 % 4 END) * (CASE WHEN col = x4 // 4 THEN 4 - x4 % 4 ELSE x4 % 4 END)) AS BIGINT) AS v16
   FROM p JOIN g ON row BETWEEN y4 // 4 AND y4 // 4 + 1 AND col BETWEEN x4 // 4 AND x4 // 4 + 1 GROUP BY ALL""",
-    "contour_segments": f"""WITH {_DENSE}, h AS (SELECT a.row, a.col, false AS vertical FROM g a JOIN g b ON b.row = a.row AND b.col = a.col + 1 WHERE (a.v > 900.5) <> (b.v > 900.5)),
-  v AS (SELECT a.row, a.col, true AS vertical FROM g a JOIN g b ON b.col = a.col AND b.row = a.row + 1 WHERE (a.v > 900.5) <> (b.v > 900.5))
+    "contour_segments": f"""WITH {_DENSE}, h AS (SELECT a.row, a.col, false AS vertical FROM g a JOIN g b ON b.row = a.row AND b.col = a.col + 1 WHERE (a.v % 97 > 48.5) <> (b.v % 97 > 48.5)),
+  v AS (SELECT a.row, a.col, true AS vertical FROM g a JOIN g b ON b.col = a.col AND b.row = a.row + 1 WHERE (a.v % 97 > 48.5) <> (b.v % 97 > 48.5))
   SELECT row, col, vertical, CAST(CASE WHEN vertical THEN (col > 0)::INT + (col < 39)::INT ELSE (row > 0)::INT + (row < 39)::INT END AS BIGINT) AS n FROM (SELECT * FROM h UNION ALL SELECT * FROM v)""",
 }
