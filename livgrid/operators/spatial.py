@@ -227,3 +227,41 @@ def nearest_places(points: list[tuple], limit: int, same: float, same_project: f
             if len(places) < limit:
                 places.append([p])
     return [[p[0] for p in place] for place in places]
+
+
+def distance2(polygon: Column, x: Column, y: Column) -> Column:
+    """The squared distance of a point to a polygon; 0 inside."""
+
+    def to_edge(e: Column) -> Column:
+        a, dx, dy = e["a"], e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+        length = dx * dx + dy * dy
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - a["x"]) * dx + (y - a["y"]) * dy) / F.when(length == 0, 1.0).otherwise(length)))
+        px, py = x - a["x"] - t * dx, y - a["y"] - t * dy
+        return px * px + py * py
+
+    nearest_edge = F.array_min(F.transform(F.flatten(F.transform(polygon, _edges)), to_edge))
+    return F.when(inside(polygon, x, y), 0.0).otherwise(nearest_edge)
+
+
+def within_buffer(points: DataFrame, zones: DataFrame, x: str, y: str, polygon: str, radius: float) -> DataFrame:
+    """Every point with every zone (columns left, bottom, right, top) that it is within the radius of: the box first, then the distance."""
+    box = (F.col(x) >= F.col("left") - radius) & (F.col(x) <= F.col("right") + radius) & (F.col(y) >= F.col("bottom") - radius) & (F.col(y) <= F.col("top") + radius)
+    return points.join(zones, box & (distance2(F.col(polygon), F.col(x).cast("double"), F.col(y).cast("double")) <= radius * radius))
+
+
+#: Margin around a place and size of a cell, in Mercator metres.
+GRID_MARGIN_M, CELL_M = 300.0, 15.0
+
+
+def grid_of(places: DataFrame) -> DataFrame:
+    """places (left, bottom, right, top in Mercator metres) with their grid: grid_left, grid_top, width, height."""
+    left, top = F.col("left") - GRID_MARGIN_M, F.col("top") + GRID_MARGIN_M
+    size = lambda a, b: F.ceil((F.col(b) - F.col(a) + 2 * GRID_MARGIN_M) / CELL_M)
+    return places.withColumn("grid_left", left).withColumn("grid_top", top).withColumn("width", size("left", "right")).withColumn("height", size("bottom", "top"))
+
+
+def grid_cells(grids: DataFrame, key: str) -> DataFrame:
+    """key, row, col, x, y (centres) of every cell of the grids."""
+    rows = grids.select(key, "grid_left", "grid_top", "width", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("height") - 1)).alias("row"))
+    cells = rows.select(key, "grid_left", "grid_top", "row", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("width") - 1)).alias("col"))
+    return cells.select(key, "row", "col", (F.col("grid_left") + (F.col("col") + 0.5) * CELL_M).alias("x"), (F.col("grid_top") - (F.col("row") + 0.5) * CELL_M).alias("y"))
