@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from livgrid.llm.wordhash import chunks
 
 #: Pre-tokens remembered by a worker (its memory bound), and the longest in characters that is remembered.
-MEMO, MEMO_CHARS = 400_000, 40
+MEMO, MEMO_CHARS = 200_000, 40
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -187,6 +187,20 @@ def decode(df: DataFrame, coder: Encoder, ids: str = "ids", out: str = "decoded"
     return _map(df, df.sparkSession, coder, ids, {out: (T.BinaryType(), pa.binary())}, lambda coder, column: ([coder.decode(x) for x in column.to_pylist()],))
 
 
+def encode_checked(df: DataFrame, coder: Encoder, text: str = "text", ids: str = "ids", count: str = "n_tokens", intact: str = "intact") -> DataFrame:
+    """df without the texts, with each one's ids, their number, and whether they decode to the text's bytes: one pass and one worker a task."""
+
+    def make(coder, column):
+        rows, same = [], []
+        for t in column.to_pylist():
+            rows.append(coder.encode(t))
+            same.append(coder.decode(rows[-1]) == (t or "").encode("utf-8"))
+        return _lists(rows), [len(r) for r in rows], same
+
+    kinds = {ids: (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), count: (T.LongType(), pa.int64()), intact: (T.BooleanType(), pa.bool_())}
+    return _map(df.withColumnRenamed(text, "__text"), df.sparkSession, coder, "__text", kinds, make).drop("__text")
+
+
 def round_trip(df: DataFrame, coder: Encoder, text: str = "text") -> DataFrame:
     """Each text encoded and decoded again in one pass: the number of ids, and SHA-256 of the ids and of the decoded bytes."""
 

@@ -14,8 +14,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 20
-CHUNK = 2 << 20
+SEGMENT = 1 << 19
+CHUNK = 1 << 20
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _LETTER = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)

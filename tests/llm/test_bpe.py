@@ -42,6 +42,8 @@ def test_frames(spark):
     assert [f.name for f in made.schema] == ["doc_id", "text", "ids", "n_tokens"]
     back = bpe.decode(made, CODER).collect()
     assert sorted((r["text"] or "").encode() for r in back) == sorted(bytes(r["decoded"]) for r in back)
+    checked = bpe.encode_checked(df, CODER).collect()
+    assert sorted(r["n_tokens"] for r in checked) == sorted(r["n_tokens"] for r in made.collect()) and all(r["intact"] for r in checked)
     digests = bpe.round_trip(df.select("doc_id", "text"), CODER).collect()
     assert len(digests) == 5
     for r, (_, text, _) in zip(digests, rows, strict=True):
