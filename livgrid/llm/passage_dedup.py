@@ -28,7 +28,7 @@ from livgrid.llm.wordhash import mix
 WINDOW, UNIT, LEAST_WORDS = 4, 4, 36
 #: Rows of spans that are broadcast at most (about 20 MB); beyond, texts and spans are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-_WORDS_BITS = 20
+_WORDS_BITS = 28
 
 
 def cuts(w: wordhash.Words) -> np.ndarray:
@@ -78,11 +78,16 @@ def units(w: wordhash.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """digest, doc_id, at (first word, number of words) of every unit of every text."""
+    """digest, doc_id, at (first word, number of words) of every unit of every text; equal units in a row are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in wordhash.chunks(batches, "text"):
             digest, owner, start, n = units(wordhash.words(*wordhash.text_buffer(batch.column(1))))
+            if len(digest):  # a text that repeats a word over and over gives one row for the stretch
+                begins = np.append(True, (digest[1:] != digest[:-1]) | (owner[1:] != owner[:-1]))
+                last = np.append(np.flatnonzero(begins)[1:], len(digest)) - 1
+                n = start[last] + n[last] - start[begins]
+                digest, owner, start = digest[begins], owner[begins], start[begins]
             ids = np.asarray(batch.column(0))[owner]
             yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(ids), pa.array((start << _WORDS_BITS) + n)], ["digest", "doc_id", "at"])
 
