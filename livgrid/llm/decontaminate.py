@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from livgrid.llm import wordhash
+from livgrid.llm.storage import bound_batches
 from livgrid.llm.wordhash import mix
 
 K, PERCENT = 5, 80
@@ -114,6 +115,7 @@ class Index:
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, k: int) -> Iterator[list[Item]]:
     """The items, in blocks of a bounded number of shingles."""
+    bound_batches(benchmark.sparkSession)
     items = benchmark.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // (4 * BLOCK_SHINGLES)))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from livgrid.llm.storage import bound_batches
 from livgrid.llm.wordhash import chunks
 
 #: HTML's elements by role.
@@ -264,6 +265,7 @@ def extract(page: str | None) -> str:
 
 def main_text(df: DataFrame, page: str = "html", out: str = "text", length: str = "n_chars") -> DataFrame:
     """df without the pages, with each one's main text and its code points; columns of those names are replaced."""
+    bound_batches(df.sparkSession)
     kept = [f for f in df.schema.fields if f.name not in (page, out, length)]
     schema = T.StructType([*kept, T.StructField(out, T.StringType()), T.StructField(length, T.LongType())])
 

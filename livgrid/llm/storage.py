@@ -8,6 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch that a Python worker gets at once, where the session leaves Spark's default.
+BATCH = "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Texts can be long: batches are bounded by bytes, so that memory doesn't grow with them."""
+    if spark.conf.get(key := "spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "67108864b"):
+        spark.conf.set(key, BATCH)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
@@ -24,6 +34,7 @@ class Work:
     """A folder of written tables of one run of an operator."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from livgrid.llm.storage import bound_batches
 from livgrid.llm.wordhash import chunks
 
 MOST_POSITIVE, MOST_NEGATIVE, MOST_ENTRIES = 4_000, 8_000, 5_000
@@ -177,6 +178,7 @@ def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def learn(documents: DataFrame, labels: DataFrame) -> Lexicon:
     """A lexicon from the seeds and the sample of labelled rows. What reaches the driver: MOST_ENTRIES entries and three numbers a sampled row."""
+    bound_batches(documents.sparkSession)
     lexicon = Lexicon()
     sample = training_rows(documents, labels).persist()
     try:
@@ -226,6 +228,7 @@ def learn(documents: DataFrame, labels: DataFrame) -> Lexicon:
 
 def score(df: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "score", matches: str = "n_matches") -> DataFrame:
     """df with the score of each text and the number of lexicon matches; columns of those names are replaced."""
+    bound_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(lexicon)  # MOST_ENTRIES entries at most
     kept = [f for f in df.schema.fields if f.name not in (out, matches)]
     schema = T.StructType([*kept, T.StructField(out, T.DoubleType()), T.StructField(matches, T.LongType())])
