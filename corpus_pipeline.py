@@ -59,7 +59,8 @@ def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every text, decoded again to check them: doc_id, lang, source, n_tokens, ids, intact."""
-    coder = bpe.encoder(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    # other stages' workers stand beside this one's: a smaller memo
+    coder = bpe.encoder(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, memo_size=200_000)
     return bpe.encode_checked(docs.select("doc_id", "lang", "source", "text"), coder).select("doc_id", "lang", "source", "n_tokens", "ids", "intact")
 
 

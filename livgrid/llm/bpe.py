@@ -26,10 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from livgrid.llm.storage import bound_batches
 from livgrid.llm.wordhash import chunks
 
-#: Pre-tokens remembered by a worker (its memory bound), and the longest in characters that is remembered.
-MEMO, MEMO_CHARS = 200_000, 40
+#: Pre-tokens remembered by a worker (some 100 MB; half of it is the older generation), and the longest in characters that is remembered.
+MEMO, MEMO_CHARS = 400_000, 40
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -75,8 +76,8 @@ class PerfectHash:
 class Encoder:
     """Encodes and decodes texts. Picklable; the memo stays with the process."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.table, self.ranks, self.pattern = PerfectHash(ranks), ranks, pattern
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_size: int = MEMO):
+        self.table, self.ranks, self.pattern, self.memo_size = PerfectHash(ranks), ranks, pattern, memo_size
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
         self.token = {rank: token for token, rank in ranks.items()}
@@ -86,7 +87,7 @@ class Encoder:
         self.split, self.memo = regex.compile(self.pattern).findall, _Memo(self)
 
     def __getstate__(self):
-        return {k: getattr(self, k) for k in ("table", "ranks", "pattern", "token")}
+        return {k: getattr(self, k) for k in ("table", "ranks", "pattern", "memo_size", "token")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -126,8 +127,8 @@ class Encoder:
 
     def encode(self, text: str | None) -> array:
         memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
+        if len(memo) > self.memo_size // 2:
+            memo.age()
         return array("I", chain.from_iterable(map(memo.__getitem__, self.split(text)))) if text else array("I")
 
     def decode(self, ids) -> bytes:
@@ -135,22 +136,29 @@ class Encoder:
 
 
 class _Memo(dict):
+    """Pre-tokens and their ids in two generations: what isn't used while a new one fills goes with the old one."""
+
     def __init__(self, encoder: Encoder):
-        self.encoder = encoder
+        self.encoder, self.old = encoder, {}
+
+    def age(self) -> None:
+        self.old = dict(self)
+        self.clear()
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        found = self.encoder.piece(piece)
+        found = self.old.get(piece) or self.encoder.piece(piece)
         if len(piece) <= MEMO_CHARS:
             self[piece] = found
         return found
 
 
-def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(read_ranks(path), pattern)
+def encoder(path: str, pattern: str, memo_size: int = MEMO) -> Encoder:
+    return Encoder(read_ranks(path), pattern, memo_size)
 
 
 def _map(df: DataFrame, spark: SparkSession, coder: Encoder, column: str, outputs: dict[str, tuple[T.DataType, pa.DataType]], make) -> DataFrame:
     """df with the columns `outputs` (name: its Spark and Arrow types) that `make(coder, array)` gives for each batch of `column`."""
+    bound_batches(spark)
     held = spark.sparkContext.broadcast(coder)  # the vocabulary: a fixed size
     df = df.drop(*(c for c in outputs if c != column))
     kept = [f for f in df.schema.fields if f.name not in outputs]
