@@ -38,6 +38,19 @@ def test_weighted_paths_equal_a_heap_search(spark, sf):
     assert a == {tuple(r) for r in catalogue.QUERIES["shortest_path_grouped"](spark, sf).collect()}
 
 
+def test_profiles_cover_every_day(spark, sf):
+    from livgrid.plans import timetables
+
+    got = catalogue.QUERIES["csa_profile"](spark, sf).toPandas()
+    c = timetables._connections(spark, sf).toPandas()
+    # a ride straight to the destination is a way there, so some listed departure is as late and arrives as early
+    for dest in ("purchase", "view"):
+        direct = c[c.to_stop == dest]
+        assert direct.dep.max() - direct.dep.min() > 2 * timetables.DAY
+        for stop, dep, arr in direct[["from_stop", "dep", "arr"]].itertuples(index=False):
+            assert ((got.dest == dest) & (got.stop == stop) & (got.dep >= dep) & (got.arr <= arr)).any()
+
+
 def test_plans_push_down_and_prune(spark, sf):
     plan = catalogue.QUERIES["zone_stats"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     scan = next(x for x in plan.split("\n") if "FileScan parquet" in x and "l_partkey" in x)
