@@ -4,12 +4,13 @@ Whole lines would miss passages that stand inside longer lines, so lines are cut
 themselves choose (winnowing: a word pair whose hash is the least of WINDOW neighbours), and a unit is UNIT such
 pieces. Words are normalised as wordhash does; white space and case don't matter. A passage has the same
 cuts wherever it stands, but for the first and last few words of it. Unit digests are grouped globally as one
-stream of sorted rows; an occurrence is a repeat if a document ranked before it (by doc_id) has the unit. Runs of
-overlapping repeats of LEAST_WORDS words or more are removed: with WINDOW 4, every passage of more than 50 words that a
-document shares with an earlier one leaves at least that many, and none of fewer than LEAST_WORDS does.
+stream of sorted rows, ranked by doc_id and first word; an occurrence is a repeat if an earlier document has the unit, and with
+`within` (as the query asks) also if it stands earlier in the same text. Runs of overlapping repeats of LEAST_WORDS words or more are removed: with WINDOW 4,
+every passage of more than 50 words that stands earlier leaves at least that many, and none of fewer than LEAST_WORDS does.
 
-Defined cases: a null or empty text has no units; rows with a null id can't be ranked and stay as they are; repetition inside
-one document, and rows with the same id, aren't repeats of each other; other columns aren't read.
+Defined cases: a null or empty text has no units; rows with a null id can't be ranked and stay as they are; rows with the same
+id aren't repeats of each other, and each one's runs are applied to its own text alone; a stretch of equal units in a row (a word
+over and over) gives one row, or two with `within`: its first unit and the rest; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -77,71 +78,92 @@ def units(w: wordhash.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return digest, text[keep], start - w.first[text[keep]], end - start
 
 
-def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """digest, doc_id, at (first word, number of words) of every unit of every text; equal units in a row are one."""
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("row"))
+
+
+def occurrences(docs: DataFrame, doc_id: str, text: str, within: bool = False) -> DataFrame:
+    """digest, doc_id, row (a hash of the text: rows with one id can differ), at (first word, number of words) of every unit of every
+    text; equal units in a row are one, or with `within` the first and the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in wordhash.chunks(batches, "text"):
             digest, owner, start, n = units(wordhash.words(*wordhash.text_buffer(batch.column(1))))
             if len(digest):  # a text that repeats a word over and over gives one row for the stretch
                 begins = np.append(True, (digest[1:] != digest[:-1]) | (owner[1:] != owner[:-1]))
+                if within:
+                    begins[1:] |= begins[:-1]
                 last = np.append(np.flatnonzero(begins)[1:], len(digest)) - 1
                 n = start[last] + n[last] - start[begins]
                 digest, owner, start = digest[begins], owner[begins], start[begins]
-            ids = np.asarray(batch.column(0))[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(ids), pa.array((start << _WORDS_BITS) + n)], ["digest", "doc_id", "at"])
+            ids, rows = (np.asarray(batch.column(k))[owner] for k in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(ids), pa.array(rows), pa.array((start << _WORDS_BITS) + n)], ["digest", "doc_id", "row", "at"])
+
+    return _texts(docs.filter(F.col(doc_id).isNotNull()), doc_id, text).mapInArrow(run, "digest long, doc_id long, row long, at long")
+
+
+def _begins(kept: list, *columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs in a column from the one before it; kept has the row before the first."""
+    out = np.zeros(len(columns[0]), bool)
+    for c, before in zip(columns, kept or [None] * len(columns), strict=True):
+        out[1:] |= c[1:] != c[:-1]
+        out[0] |= before is None or c[0] != before
+    return out
+
 
-    return docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "digest long, doc_id long, at long")
+def _from_begin(begins: np.ndarray, column: np.ndarray, before: int | None) -> np.ndarray:
+    """The column's value where the row's group begins; before is that of the group that the first row goes on with."""
+    at = np.maximum.accumulate(np.where(begins, np.arange(len(begins)), -1))
+    return np.where(at >= 0, column[at], 0 if before is None else before)
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by digest and doc_id, those of a later document than the digest's first, with that one."""
-    last = first = None
+def _repeats(batches: Iterator[pa.RecordBatch], within: bool) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by digest, doc_id, row and place, those of a later document than the digest's first, and with `within` those
+    further on in the same text, with the first one's document."""
+    kept: list = []
+    first = begun = None
     for batch in batches:
-        digest, ids, at = (np.asarray(c) for c in batch.columns)
+        digest, ids, rows, at = (np.asarray(c) for c in batch.columns)
         if not len(digest):
             continue
-        begins = np.ones(len(digest), bool)
-        begins[1:] = digest[1:] != digest[:-1]
-        begins[0] = last is None or digest[0] != last
-        begun = np.maximum.accumulate(np.where(begins, np.arange(len(digest)), -1))
-        firsts = np.where(begun >= 0, ids[begun], 0 if first is None else first)
-        last, first = digest[-1], firsts[-1]
-        late = ids > firsts
+        firsts = _from_begin(_begins(kept[:1], digest), ids, first)
+        place = at >> _WORDS_BITS
+        begins = _from_begin(_begins(kept, digest, ids, rows), place, begun)
+        kept, first, begun = [digest[-1], ids[-1], rows[-1]], firsts[-1], begins[-1]
+        late = (ids > firsts) | ((place > begins) & within)
         if late.any():
-            yield pa.RecordBatch.from_arrays([pa.array(ids[late]), pa.array(at[late]), pa.array(firsts[late])], ["doc_id", "at", "first_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[late]) for c in (ids, rows, at, firsts)], ["doc_id", "row", "at", "first_id"])
 
 
-def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, first_word, end_word, kept_in: runs to remove, by words of the text, and the earliest document that keeps (part of) them."""
-    rows = occurrences(docs, doc_id, text).repartition("digest").sortWithinPartitions("digest", "doc_id").mapInArrow(_repeats, "doc_id long, at long, first_id long")
-    rows = rows.select("doc_id", F.shiftright("at", _WORDS_BITS).alias("first_word"), (F.shiftright("at", _WORDS_BITS) + F.col("at").bitwiseAND((1 << _WORDS_BITS) - 1)).alias("end_word"), "first_id")
-    before = Window.partitionBy("doc_id").orderBy("first_word", "end_word").rowsBetween(Window.unboundedPreceding, -1)
-    until = Window.partitionBy("doc_id").orderBy("first_word", "end_word").rowsBetween(Window.unboundedPreceding, 0)
+def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", within: bool = False) -> DataFrame:
+    """doc_id, row, first_word, end_word, kept_in: runs to remove, by words of the text, and the earliest document that keeps (part of) them."""
+    rows = occurrences(docs, doc_id, text, within).repartition("digest").sortWithinPartitions("digest", "doc_id", "row", "at").mapInArrow(lambda batches: _repeats(batches, within), "doc_id long, row long, at long, first_id long")
+    rows = rows.select("doc_id", "row", F.shiftright("at", _WORDS_BITS).alias("first_word"), (F.shiftright("at", _WORDS_BITS) + F.col("at").bitwiseAND((1 << _WORDS_BITS) - 1)).alias("end_word"), "first_id")
+    before = Window.partitionBy("doc_id", "row").orderBy("first_word", "end_word").rowsBetween(Window.unboundedPreceding, -1)
+    until = Window.partitionBy("doc_id", "row").orderBy("first_word", "end_word").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("new", (F.col("first_word") >= F.coalesce(F.max("end_word").over(before), F.lit(0))).cast("int")).withColumn("run", F.sum("new").over(until))
-    runs = rows.groupBy("doc_id", "run").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.min("first_id").alias("kept_in"))
+    runs = rows.groupBy("doc_id", "row", "run").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.min("first_id").alias("kept_in"))
     return runs.filter(F.col("end_word") - F.col("first_word") >= LEAST_WORDS).drop("run")
 
 
-def removed(docs: DataFrame, work: Work, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def removed(docs: DataFrame, work: Work, doc_id: str = "doc_id", text: str = "text", within: bool = False) -> DataFrame:
     """A row for each row of docs that repeats passages: doc_id, text (what is left), spans (start, end: what was removed, in code
     points of the original, end exclusive), kept_in (the documents that keep them). Other rows stay as they are."""
-    runs = work.write(repeated_runs(docs, doc_id, text), "runs")
-    listed = runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_word", "end_word"))).alias("runs"), F.array_sort(F.collect_set("kept_in")).alias("kept_in"))
-    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    joined = texts.join(F.broadcast(listed) if runs.count() <= BROADCAST_ROWS else listed, "doc_id").select("doc_id", "text", "runs", "kept_in")
+    runs = work.write(repeated_runs(docs, doc_id, text, within), "runs")
+    listed = runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_word", "end_word", "row"))).alias("runs"), F.array_sort(F.collect_set("kept_in")).alias("kept_in"))
+    joined = _texts(docs, doc_id, text).join(F.broadcast(listed) if runs.count() <= BROADCAST_ROWS else listed, "doc_id").select("doc_id", "text", "runs", "kept_in", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in wordhash.chunks(batches, "text"):
             data, offsets = wordhash.text_buffer(batch.column(1))
             w = wordhash.words(data, offsets)
             lefts, spans = [], []
-            for t, found in enumerate(batch.column(2).to_pylist()):
+            for t, (found, row) in enumerate(zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)):
                 own, first, base = data[offsets[t] : offsets[t + 1]].tobytes(), w.first[t], offsets[t]
                 at, left, here = 0, [], []
                 for r in found:
-                    if first + r["end_word"] > w.first[t + 1]:
-                        continue  # a row with the same id and a shorter text
+                    if r["row"] != row:
+                        continue  # of another text with the same id
                     a = int(w.start[first + r["first_word"]] - base)
                     b = int(w.start[first + r["end_word"]] - base) if first + r["end_word"] < w.first[t + 1] else len(own)
                     left.append(own[at:a])

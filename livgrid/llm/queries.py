@@ -44,8 +44,8 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that lose passages; those that aren't listed stay as they are."""
-    return passage_dedup.removed(table(spark, sf_dir, "documents").select("doc_id", "text"), Work(spark, "passages"))
+    """The documents that lose passages, to earlier documents or to their own text; those that aren't listed stay as they are."""
+    return passage_dedup.removed(table(spark, sf_dir, "documents").select("doc_id", "text"), Work(spark, "passages"), within=True)
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,3 +74,48 @@ def test_units_do_not_depend_on_the_batch():
     for t, text in enumerate(texts):
         alone = P.units(wordhash.words(*wordhash.text_buffer(pa.array([text]))))
         assert np.array_equal(alone[0], both[0][both[1] == t]) and np.array_equal(alone[2], both[2][both[1] == t])
+
+
+def test_repetition_inside_a_document_is_removed(spark):
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    p, q, r, line, short, long = text(60), text(20), text(80), text(12), text(5), text(200)
+    rows = [(1, f"{p} {q} {p} x"), (2, "\n".join([line] * 50)), (3, "\n".join([short] * 50)), (4, "er " * 300), (5, "\n".join([long] * 50)), (6, f"y {p} z {p}")]
+    rows += [(7, f"{r} one"), (7, f"two three {r}"), (7, f"{r} one"), (8, text(300)), (9, None)]
+    out = {i["doc_id"]: i for i in P.removed(spark.createDataFrame(rows, "doc_id long, text string"), Work(spark, "t"), within=True).collect()}
+    assert sorted(out) == [1, 2, 3, 4, 5, 6]
+    texts = dict(rows)
+    for i, unit, kept in ((1, f"{p} {q}", [1]), (2, line, [2]), (3, short, [3]), (4, "er", [4]), (5, long, [5])):
+        words = out[i]["text"].split()
+        n = len(unit.split())
+        assert words[:n] == unit.split() and len(words) <= n + 20 and out[i]["kept_in"] == kept
+        left, at = "", 0
+        for s in out[i]["spans"]:
+            left, at = left + texts[i][at : s["start"]], s["end"]
+        assert out[i]["text"] == left + texts[i][at:]
+    assert len(out[6]["text"].split()) <= 2 + 4 * 7 and out[6]["kept_in"] == [1]
+
+
+def test_the_query_removes_what_a_document_repeats(spark, tmp_path):
+    from livgrid.llm import queries
+
+    passage = " ".join(f"w{i}" for i in range(200))
+    spark.createDataFrame([(1, f"{passage} " * 50), (2, "other")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    [row] = queries.op3_passage_dedup(spark, str(tmp_path)).collect()
+    assert row["doc_id"] == 1 and row["text"].split()[:200] == passage.split() and len(row["text"].split()) < 220
+
+
+def test_repeats_do_not_depend_on_the_batch():
+    rng = random.Random(5)
+    rows = sorted((rng.randrange(4), rng.randrange(3), rng.randrange(2), (rng.randrange(5) << 28) + 9) for _ in range(200))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["digest", "doc_id", "row", "at"])
+    for within in (False, True):
+        first = {}
+        want = []
+        for d, i, t, at in rows:
+            doc, place = first.setdefault(d, i), first.setdefault((d, i, t), at)
+            if i > doc or within and at > place:
+                want.append((i, t, at, doc))
+        for size in (1, 7, 200):
+            got = [tuple(x.values()) for b in P._repeats(iter([batch.slice(a, size) for a in range(0, 200, size)]), within) for x in b.to_pylist()]
+            assert got == want
