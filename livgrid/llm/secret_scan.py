@@ -26,10 +26,14 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 )
-#: Wider kinds: provider prefixes, signed web tokens, private key headers, and long strings that mix letters and digits.
+#: A private key's header line, and the rest of its block: through the END line, or the lines of base64 if that is missing.
+_HEADER = r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"
+_REST = r"(?:[^-]*+(?:-(?!----)[^-]*+){0,16}+-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----|(?:\s{1,4}[A-Za-z0-9+/=]{16,}+)*+)"
+#: Wider kinds: provider prefixes, signed web tokens, private key headers, and long strings that mix letters and digits. A header is
+#: the span, but its value (group 1) is the whole block, as headers of a type are all alike.
 WIDER = (
     ("provider", r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{40,}|xox[abposr]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|ASIA[A-Z0-9]{16}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
-    ("private", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
+    ("private", f"(?=({_HEADER}{_REST})){_HEADER}"),
     ("mixed", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]{24})[A-Za-z0-9+/_-]{24,}+={0,2}(?![A-Za-z0-9])"),
 )
 KINDS = tuple(k for k, *_ in BASE + WIDER)
@@ -42,9 +46,12 @@ PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]?|xxxx|tes
 def _found(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     matches = spans(text, pattern, tuple(sorted({0, group})))
     value = lambda x: x[f"g{group}"]
+    # the same key however its lines are broken; its randomness isn't read, as a long body has any word by chance
+    counted = lambda x: F.regexp_replace(value(x), r"\s", "") if kind == "private" else value(x)
+    judged = lambda x: x["g0"] if kind == "private" else value(x)
     return F.transform(
         F.filter(matches, lambda x: F.length(value(x)) >= least),
-        lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end"), F.sha2(value(x), 256).alias("digest"), _random(value(x)).alias("random")),
+        lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end"), F.sha2(counted(x), 256).alias("digest"), _random(judged(x)).alias("random")),
     )
 
 
@@ -57,7 +64,7 @@ def candidates(df: DataFrame, text: str, owner: str, repository: str, keep: list
     body = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(*(_found(body, k, p, g, n) for k, p, g, n in BASE))
     apart = lambda side, *others: F.filter(side, lambda w: ~F.exists(F.concat(*others), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    out = df.select(*keep, F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), F.array_sort(base).alias("base"), *(_found(body, k, p, 0, 1).alias(k) for k, p in WIDER))
+    out = df.select(*keep, F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), F.array_sort(base).alias("base"), *(_found(body, k, p, int(k == "private"), 1).alias(k) for k, p in WIDER))
     wider: list[str] = []
     for k, _ in WIDER:  # a wider span is apart from base spans and from the wider kinds before it
         out = out.withColumn(k, apart(k, "base", *wider))

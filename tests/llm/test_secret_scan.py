@@ -64,3 +64,17 @@ def test_query_equals_plain_search_on_the_whole_table(spark, sf, n):
     assert len(rows) == len(texts)
     for r in rows:
         assert r["base_sha256"] == hashlib.sha256(joined(base(texts[r["doc_id"]])).encode()).hexdigest()
+
+
+def test_private_keys_are_told_apart_by_their_bodies(spark):
+    head, end = "-----BEGIN RSA " + "PRIVATE KEY-----", "-----END RSA " + "PRIVATE KEY-----"
+    body = lambda k: [hashlib.sha512(f"{k}{i}".encode()).hexdigest().upper()[:64] for i in range(20)]
+    block = lambda k, fields="", br="\n": f"{head}{br}{fields}{br.join(body(k))}{br}{end}"
+    rows = [(1, "a", f"x {block(1)} y"), (2, "b", block(2)), (3, "c", block(3, "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n")), (4, "d", f"{head}\n" + "\n".join(body(4)))]
+    rows += [(5 + i, f"s{i}", f"see {block(9, br=br)}") for i, br in enumerate(("\n", "\r\n", "\n"))]
+    rows += [(10, "e", block(5) + " " + block(6)), (11, "f", f"{head} - " * 2000), (12, "g", head + " a" * 200_000)]
+    out = {r["doc_id"]: [s for s in r["spans"] if s["kind"] == 4] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, source string, text string"), Work(spark, "t")).collect()}
+    for i in (1, 2, 3, 4):
+        assert [(s["verdict"], s["owners"], s["end"] - s["start"]) for s in out[i]] == [("live", 1, len(head))]
+    assert out[1][0]["start"] == 2 and len(out[10]) == 2 and len({s["digest"] for s in out[10]}) == 2
+    assert all(out[i] == [] for i in (5, 6, 7))
