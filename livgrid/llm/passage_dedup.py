@@ -1,16 +1,19 @@
 """Substring dedup by hashing of normalised units: the earliest ranked occurrence stays, the rest is removed by its offsets.
 
-Whole lines would miss passages that stand inside longer lines, so lines are cut into units at points that the words
-themselves choose (winnowing: a word pair whose hash is the least of WINDOW neighbours), and a unit is UNIT such
-pieces. Words are normalised as wordhash does; white space and case don't matter. A passage has the same
-cuts wherever it stands, but for the first and last few words of it. Unit digests are grouped globally as one
-stream of sorted rows, ranked by doc_id and first word; an occurrence is a repeat if an earlier document has the unit, and with
-`within` (as the query asks) also if it stands earlier in the same text. Runs of overlapping repeats of LEAST_WORDS words or more are removed: with WINDOW 4,
-every passage of more than 50 words that stands earlier leaves at least that many, and none of fewer than LEAST_WORDS does.
+Units are lines (of `line_words` words or more), and, for passages that stand inside longer lines or are wrapped anew, runs of words
+whose ends the words themselves choose (winnowing: a word pair whose hash is the least of WINDOW neighbours; a unit is UNIT such
+pieces), so that a passage has the same units wherever it stands. Words are normalised as wordhash does; white space and
+case don't matter. Digests are grouped globally and ranked by doc_id, text and first word: every occurrence but the
+first is a repeat, also one further on in the same text. Repeated lines are removed; so are runs of overlapping repeated word
+units of RUN_WORDS words or more: with WINDOW 4, every passage of more than 50 words that stood earlier has at least that many.
+
+Before the shuffle each batch of texts keeps the first occurrence of a digest and sends the others on as repeats, merged and under keys of
+their own text. So a line or passage of all documents costs one row a batch in the task of its digest, which reads a
+stream of sorted rows.
 
 Defined cases: a null or empty text has no units; rows with a null id can't be ranked and stay as they are; rows with the same
-id aren't repeats of each other, and each one's runs are applied to its own text alone; a stretch of equal units in a row (a word
-over and over) gives one row, or two with `within`: its first unit and the rest; other columns aren't read.
+id and different texts are ranked by a hash of the text, each one's runs are applied to its own text alone, and rows that
+repeat both are treated alike; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -26,10 +29,13 @@ from livgrid.llm import wordhash
 from livgrid.llm.storage import Work
 from livgrid.llm.wordhash import mix
 
-WINDOW, UNIT, LEAST_WORDS = 4, 4, 36
+WINDOW, UNIT, RUN_WORDS = 4, 4, 36
 #: Rows of spans that are broadcast at most (about 20 MB); beyond, texts and spans are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: An occurrence's place in one number: its first word, its number of words, and whether it is a line.
 _WORDS_BITS = 28
+_ONES = (1 << _WORDS_BITS) - 1
+_BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
 def cuts(w: wordhash.Words) -> np.ndarray:
@@ -57,8 +63,20 @@ def cuts(w: wordhash.Words) -> np.ndarray:
     return np.append(np.flatnonzero(chosen), len(w.hash))
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def digests(w: wordhash.Words, start: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
+    """Of the words from start to end each: the value of a polynomial over them, by sums from the batch's beginning."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(w.hash, 42) * _powers(_BASE, len(w.hash)), dtype=np.uint64)])
+    return mix((total[end] - total[start]) * _powers(_INVERSE, len(w.hash) + 1)[start] ^ mix((end - start).astype(np.uint64), 43), salt)
+
+
 def units(w: wordhash.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Digest, text, first word in the text, and number of words of each unit. The last unit of a text ends with it."""
+    """Digest, text, first word in the text, and number of words of each word unit. The last unit of a text ends with it."""
     cut = cuts(w)
     if len(cut) == 1:
         return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
@@ -70,108 +88,140 @@ def units(w: wordhash.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     keep = np.flatnonzero(whole | short)
     end = cut[np.minimum(keep + UNIT, last_piece[keep])]
     start = cut[keep]
-    # an order-dependent sum over the words, of prefix sums: each word is scrambled with its place in the unit's pieces
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(w.hash, 42), dtype=np.uint64)])
-    pair = np.concatenate([w.hash[1:], np.zeros(1, np.uint64)])
-    order = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(w.hash * np.uint64(0xD6E8FEB86659FD93) + pair, 43), dtype=np.uint64)])
-    digest = mix((total[end] - total[start]) ^ mix(order[end - 1] - order[start], 44) ^ (end - start).astype(np.uint64), 45)
-    return digest, text[keep], start - w.first[text[keep]], end - start
+    return digests(w, start, end, 45), text[keep], start - w.first[text[keep]], end - start
 
 
-def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("row"))
+def lines(w: wordhash.Words, data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same of the lines of `least` words or more."""
+    text = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
+    line = np.searchsorted(np.flatnonzero(data == 0x0A), w.start)
+    begins = np.ones(len(text), bool)
+    begins[1:] = (line[1:] != line[:-1]) | (text[1:] != text[:-1])
+    start = np.flatnonzero(begins)
+    end = np.append(start[1:], len(text))[: len(start)]
+    long = end - start >= least
+    start, end = start[long], end[long]
+    return digests(w, start, end, 46), text[start], start - w.first[text[start]], end - start
 
 
-def occurrences(docs: DataFrame, doc_id: str, text: str, within: bool = False) -> DataFrame:
-    """digest, doc_id, row (a hash of the text: rows with one id can differ), at (first word, number of words) of every unit of every
-    text; equal units in a row are one, or with `within` the first and the rest."""
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("row")).filter("doc_id IS NOT NULL")
+
+
+def _later(digest: np.ndarray, ids: np.ndarray, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which occurrences are the first of their digest in a batch, and which come later (those equal to the first are neither)."""
+    order = np.argsort(digest, kind="stable")
+    same = digest[order][1:] == digest[order][:-1]
+    several = np.zeros(len(digest), bool)
+    several[order[1:][same]] = several[order[:-1][same]] = True
+    firsts, late = ~several, np.zeros(len(digest), bool)
+    some = np.flatnonzero(several)
+    some = some[np.lexsort((at[some], rows[some], ids[some], digest[some]))]
+    if len(some):
+        begins = np.append(True, digest[some[1:]] != digest[some[:-1]])
+        head = some[np.maximum.accumulate(np.where(begins, np.arange(len(some)), 0))]
+        firsts[some[begins]] = True
+        late[some] = (ids[some] != ids[head]) | (rows[some] != rows[head]) | (at[some] != at[head])
+    return firsts, late
+
+
+def _merged(text: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping spans of a text as one."""
+    order = np.lexsort((start, text))
+    text, start, end = text[order], start[order], (start + n)[order]
+    far = int(end.max(initial=0)) + 1
+    reach = np.maximum.accumulate(end + text * far)  # texts apart
+    begins = np.append(True, start[1:] + text[1:] * far >= reach[:-1]) if len(text) else np.zeros(0, bool)
+    first = np.flatnonzero(begins)
+    last = np.append(first[1:], len(text))[: len(first)] - 1
+    return text[first], start[first], reach[last] - text[first] * far - start[first]
+
+
+def occurrences(docs: DataFrame, doc_id: str, text: str, line_words: int = 1, passages: bool = True) -> DataFrame:
+    """key, doc_id, row (a hash of the text), at, late. Not late: the first occurrence of a digest, its key, in a batch of texts. Late: what
+    is a repeat whatever the other batches hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in wordhash.chunks(batches, "text"):
-            digest, owner, start, n = units(wordhash.words(*wordhash.text_buffer(batch.column(1))))
-            if len(digest):  # a text that repeats a word over and over gives one row for the stretch
-                begins = np.append(True, (digest[1:] != digest[:-1]) | (owner[1:] != owner[:-1]))
-                if within:
-                    begins[1:] |= begins[:-1]
-                last = np.append(np.flatnonzero(begins)[1:], len(digest)) - 1
-                n = start[last] + n[last] - start[begins]
-                digest, owner, start = digest[begins], owner[begins], start[begins]
-            ids, rows = (np.asarray(batch.column(k))[owner] for k in (0, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(ids), pa.array(rows), pa.array((start << _WORDS_BITS) + n)], ["digest", "doc_id", "row", "at"])
-
-    return _texts(docs.filter(F.col(doc_id).isNotNull()), doc_id, text).mapInArrow(run, "digest long, doc_id long, row long, at long")
-
-
-def _begins(kept: list, *columns: np.ndarray) -> np.ndarray:
-    """Whether a row differs in a column from the one before it; kept has the row before the first."""
-    out = np.zeros(len(columns[0]), bool)
-    for c, before in zip(columns, kept or [None] * len(columns), strict=True):
-        out[1:] |= c[1:] != c[:-1]
-        out[0] |= before is None or c[0] != before
-    return out
-
-
-def _from_begin(begins: np.ndarray, column: np.ndarray, before: int | None) -> np.ndarray:
-    """The column's value where the row's group begins; before is that of the group that the first row goes on with."""
-    at = np.maximum.accumulate(np.where(begins, np.arange(len(begins)), -1))
-    return np.where(at >= 0, column[at], 0 if before is None else before)
-
-
-def _repeats(batches: Iterator[pa.RecordBatch], within: bool) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by digest, doc_id, row and place, those of a later document than the digest's first, and with `within` those
-    further on in the same text, with the first one's document."""
-    kept: list = []
-    first = begun = None
+            data, offsets = wordhash.text_buffer(batch.column(1))
+            w = wordhash.words(data, offsets)
+            ids, rows = (np.asarray(batch.column(k)) for k in (0, 2))
+            found = [(lines(w, data, line_words), 1)] + [(units(w), 0)] * passages
+            out = []
+            for (digest, owner, start, n), line in found:
+                at = (start << (_WORDS_BITS + 1)) + (n << 1) + line
+                firsts, late = _later(digest, ids[owner], rows[owner], at)
+                out.append((digest[firsts].view(np.int64), ids[owner[firsts]], rows[owner[firsts]], at[firsts], False))
+                owner, start, n = (owner[late], start[late], n[late]) if line else _merged(owner[late], start[late], n[late])
+                at = (start << (_WORDS_BITS + 1)) + (n << 1) + line
+                out.append((mix(rows[owner].view(np.uint64) + (start >> 8).astype(np.uint64), 47).view(np.int64), ids[owner], rows[owner], at, True))
+            columns = [np.concatenate([o[k] for o in out]) for k in range(4)] + [np.repeat([o[4] for o in out], [len(o[0]) for o in out])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc_id", "row", "at", "late"])
+
+    return _texts(docs, doc_id, text).mapInArrow(run, "key long, doc_id long, row long, at long, late boolean")
+
+
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key, doc_id, row and place: the late ones, and those after a key's first that aren't equal to it."""
+    key = first = None
     for batch in batches:
-        digest, ids, rows, at = (np.asarray(c) for c in batch.columns)
-        if not len(digest):
-            continue
-        firsts = _from_begin(_begins(kept[:1], digest), ids, first)
-        place = at >> _WORDS_BITS
-        begins = _from_begin(_begins(kept, digest, ids, rows), place, begun)
-        kept, first, begun = [digest[-1], ids[-1], rows[-1]], firsts[-1], begins[-1]
-        late = (ids > firsts) | ((place > begins) & within)
-        if late.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[late]) for c in (ids, rows, at, firsts)], ["doc_id", "row", "at", "first_id"])
-
-
-def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", within: bool = False) -> DataFrame:
-    """doc_id, row, first_word, end_word, kept_in: runs to remove, by words of the text, and the earliest document that keeps (part of) them."""
-    rows = occurrences(docs, doc_id, text, within).repartition("digest").sortWithinPartitions("digest", "doc_id", "row", "at").mapInArrow(lambda batches: _repeats(batches, within), "doc_id long, row long, at long, first_id long")
-    rows = rows.select("doc_id", "row", F.shiftright("at", _WORDS_BITS).alias("first_word"), (F.shiftright("at", _WORDS_BITS) + F.col("at").bitwiseAND((1 << _WORDS_BITS) - 1)).alias("end_word"), "first_id")
-    before = Window.partitionBy("doc_id", "row").orderBy("first_word", "end_word").rowsBetween(Window.unboundedPreceding, -1)
-    until = Window.partitionBy("doc_id", "row").orderBy("first_word", "end_word").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("new", (F.col("first_word") >= F.coalesce(F.max("end_word").over(before), F.lit(0))).cast("int")).withColumn("run", F.sum("new").over(until))
-    runs = rows.groupBy("doc_id", "row", "run").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.min("first_id").alias("kept_in"))
-    return runs.filter(F.col("end_word") - F.col("first_word") >= LEAST_WORDS).drop("run")
-
-
-def removed(docs: DataFrame, work: Work, doc_id: str = "doc_id", text: str = "text", within: bool = False) -> DataFrame:
-    """A row for each row of docs that repeats passages: doc_id, text (what is left), spans (start, end: what was removed, in code
-    points of the original, end exclusive), kept_in (the documents that keep them). Other rows stay as they are."""
-    runs = work.write(repeated_runs(docs, doc_id, text, within), "runs")
-    listed = runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_word", "end_word", "row"))).alias("runs"), F.array_sort(F.collect_set("kept_in")).alias("kept_in"))
-    joined = _texts(docs, doc_id, text).join(F.broadcast(listed) if runs.count() <= BROADCAST_ROWS else listed, "doc_id").select("doc_id", "text", "runs", "kept_in", "row")
+        keys, *place, known = (np.asarray(c) for c in batch.columns)
+        out = [[c[known] for c in place]]
+        keys, place = keys[~known], [c[~known] for c in place]
+        if len(keys):
+            begins = np.append(key is None or keys[0] != key, keys[1:] != keys[:-1])
+            at = np.maximum.accumulate(np.where(begins, np.arange(len(keys)), -1))
+            firsts = [np.where(at >= 0, c[at], 0 if first is None else first[k]) for k, c in enumerate(place)]
+            late = np.logical_or.reduce([c != f for c, f in zip(place, firsts, strict=True)])
+            out.append([c[late] for c in place])
+            key, first = keys[-1], [f[-1] for f in firsts]
+        if sum(len(o[0]) for o in out):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["doc_id", "row", "at"])
+
+
+def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", line_words: int = 1, passages: bool = True) -> DataFrame:
+    """doc_id, row, first_word, end_word: lines and runs to remove, by words of the text."""
+    rows = occurrences(docs, doc_id, text, line_words, passages).repartition("key").sortWithinPartitions("key", "doc_id", "row", "at").mapInArrow(_repeats, "doc_id long, row long, at long")
+    begin = F.shiftright("at", _WORDS_BITS + 1)
+    rows = rows.select("doc_id", "row", begin.alias("first_word"), (begin + F.shiftright("at", 1).bitwiseAND(_ONES)).alias("end_word"), (F.col("at").bitwiseAND(1) == 1).alias("line"))
+    by = Window.partitionBy("doc_id", "row", "line").orderBy("first_word", "end_word")
+    # a line is a run of its own; word units go on while they overlap
+    reached = F.coalesce(F.max("end_word").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("new", (F.col("first_word") >= reached).cast("int")).withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.groupBy("doc_id", "row", "line", "run").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"))
+    return runs.filter(F.col("line") | (F.col("end_word") - F.col("first_word") >= RUN_WORDS)).select("doc_id", "row", "first_word", "end_word")
+
+
+def removed(docs: DataFrame, work: Work, doc_id: str = "doc_id", text: str = "text", line_words: int = 1, passages: bool = True) -> DataFrame:
+    """A row for each row of docs that repeats lines (of `line_words` words or more) or, if `passages`, passages: doc_id, text (what is left),
+    spans (start, end: what was removed, in code points of the original, end exclusive). Other rows stay as they are."""
+    runs = work.write(repeated_runs(docs, doc_id, text, line_words, passages), "runs")
+    listed = runs.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("first_word", "end_word"))).alias("runs"))
+    joined = _texts(docs, doc_id, text).join(F.broadcast(listed) if runs.count() <= BROADCAST_ROWS else listed, ["doc_id", "row"]).select("doc_id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in wordhash.chunks(batches, "text"):
             data, offsets = wordhash.text_buffer(batch.column(1))
             w = wordhash.words(data, offsets)
+            points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
             lefts, spans = [], []
-            for t, (found, row) in enumerate(zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                own, first, base = data[offsets[t] : offsets[t + 1]].tobytes(), w.first[t], offsets[t]
-                at, left, here = 0, [], []
+            for t, found in enumerate(batch.column(2).to_pylist()):
+                first, last, base, stop = int(w.first[t]), int(w.first[t + 1]), int(offsets[t]), int(offsets[t + 1])
+                at, left, here = base, [], []
                 for r in found:
-                    if r["row"] != row:
-                        continue  # of another text with the same id
-                    a = int(w.start[first + r["first_word"]] - base)
-                    b = int(w.start[first + r["end_word"]] - base) if first + r["end_word"] < w.first[t + 1] else len(own)
-                    left.append(own[at:a])
-                    here.append({"start": len(own[:a].decode()), "end": len(own[:b].decode())})
+                    a = max(at, int(w.start[first + r["first_word"]]))
+                    b = int(w.start[first + r["end_word"]]) if first + r["end_word"] < last else stop
+                    if b <= at:
+                        continue  # within what is gone already
+                    left.append(data[at:a].tobytes())
+                    if here and here[-1]["end"] == points[a] - points[base]:
+                        here[-1]["end"] = int(points[b] - points[base])
+                    else:
+                        here.append({"start": int(points[a] - points[base]), "end": int(points[b] - points[base])})
                     at = b
-                lefts.append(b"".join([*left, own[at:]]).decode())
+                lefts.append(b"".join([*left, data[at:stop].tobytes()]).decode())
                 spans.append(here)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lefts, pa.string()), pa.array(spans, kind), batch.column(3)], ["doc_id", "text", "spans", "kept_in"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lefts, pa.string()), pa.array(spans, kind)], ["doc_id", "text", "spans"])
 
-    return joined.mapInArrow(run, "doc_id long, text string, spans array<struct<start: long, end: long>>, kept_in array<long>")
+    return joined.mapInArrow(run, "doc_id long, text string, spans array<struct<start: long, end: long>>")

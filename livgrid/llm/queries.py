@@ -15,6 +15,9 @@ from livgrid.sources.tables import table
 #: The key of the surrogates. A production run passes its own secret.
 PII_KEY = "livgrid surrogates 1"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Least words of a line that op3 takes as a unit: shorter ones (formulas, headings, greetings) come back without being copies.
+LINE_WORDS = 15
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,8 +47,16 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that lose passages, to earlier documents or to their own text; those that aren't listed stay as they are."""
-    return passage_dedup.removed(table(spark, sf_dir, "documents").select("doc_id", "text"), Work(spark, "passages"), within=True)
+    """The documents that lose lines or passages, to earlier documents or to their own text; those that aren't listed stay as they are."""
+    return passage_dedup.removed(table(spark, sf_dir, "documents").select("doc_id", "text"), Work(spark, "passages"), line_words=LINE_WORDS)
+
+
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator with every line as a unit, of one word or more, and no other units: what SQL can express. Of each document that loses
+    lines the number of words left, and these with single spaces."""
+    left = passage_dedup.removed(table(spark, sf_dir, "documents").select("doc_id", "text"), Work(spark, "lines"), passages=False)
+    words = F.trim(F.regexp_replace(F.translate("text", UPPER, UPPER.lower()), r"[\x20\x09-\x0D]+", " "))
+    return left.select("doc_id", F.when(words == "", 0).otherwise(F.size(F.split(words, " "))).cast("bigint").alias("n_words"), words.alias("words"))
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_pii_surrogates": op2_pii_surrogates,
     "op3_passage_dedup": op3_passage_dedup,
+    "line_dedup": line_dedup,
     "op4_html_text": op4_html_text,
     "op5_decontamination": op5_decontamination,
     "op6_jaccard_join": op6_jaccard_join,
@@ -80,6 +92,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "line_dedup": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
+w AS (SELECT doc_id, n, list_filter(regexp_split_to_array(l, '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM l),
+k AS (SELECT doc_id, n, w, row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, n) > 1 AS late FROM w WHERE len(w) > 0)
+SELECT doc_id, CAST(coalesce(sum(len(w)) FILTER (NOT late), 0) AS BIGINT) AS n_words, coalesce(string_agg(array_to_string(w, ' '), ' ' ORDER BY n) FILTER (NOT late), '') AS words FROM k GROUP BY doc_id HAVING bool_or(late)""",
     "op9_embedding_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),

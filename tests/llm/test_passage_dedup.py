@@ -1,23 +1,101 @@
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from livgrid.llm import passage_dedup as P
-from livgrid.llm import wordhash
+from livgrid.llm import queries, wordhash
 from livgrid.llm.storage import Work
 
+SCHEMA = "doc_id long, text string"
+
+
+def kept_words(words, spans):
+    """The words that no span of word numbers holds."""
+    gone = {k for a, b in spans for k in range(a, b)}
+    return [x for k, x in enumerate(words) if k not in gone]
+
+
+def plain(rows, line_words=1, passages=True):
+    """(doc_id, text) -> the words that are left: units and lines one after the other in the order of ranks, digests as tuples of words."""
+    ranked = sorted({(i, t or "") for i, t in rows if i is not None}, key=lambda r: (r[0], queries_hash(r[1])))
+    seen, out = set(), {}
+    for i, text in ranked:
+        w = wordhash.words(*wordhash.text_buffer(pa.array([text])))
+        words = text.lower().split() if text.isascii() else [x for x in "".join(c.lower() if c.isascii() else c for c in text).replace("\n", " ").replace("\t", " ").split(" ") if x]
+        at, late, spans = 0, [], []
+        for line in text.split("\n"):
+            n = len(P.wordhash.words(*wordhash.text_buffer(pa.array([line]))).hash)
+            if n >= line_words and n:
+                if (k := ("line", *words[at : at + n])) in seen:
+                    spans.append((at, at + n))
+                seen.add(k)
+            at += n
+        if passages:
+            _, _, start, n = P.units(w)
+            for a, m in zip(start.tolist(), n.tolist(), strict=True):
+                if (k := ("unit", *words[a : a + m])) in seen:
+                    late.append((a, a + m))
+                seen.add(k)
+            run = None
+            for a, b in late:
+                if run and a < run[1]:
+                    run[1] = max(run[1], b)
+                else:
+                    run = [a, b]
+                    spans.append(run)
+            spans = [s for s in spans if isinstance(s, tuple) or s[1] - s[0] >= P.RUN_WORDS]
+        if spans:
+            out[i, text] = kept_words(words, spans)
+    return out
+
+
+def queries_hash(text):
+    return HASHES[text]
+
+
+HASHES: dict = {}
+
 
-def plain_repeats(rows, n):
-    """doc_id -> whether it shares n consecutive words with an earlier document."""
-    seen, out = {}, {}
+def check(spark, rows, **how):
+    df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA + ", digest string").repartition(5)
+    HASHES.clear()
+    HASHES.update({r["text"] or "": r["h"] for r in df.selectExpr("text", "xxhash64(text) AS h").collect()})
+    out = P.removed(df, Work(spark, "t"), **how).collect()
+    texts = {}
+    for r in out:
+        originals = [t for i, t in rows if i == r["doc_id"] and rebuilt(t, r["spans"]) == r["text"]]
+        assert originals
+        texts.setdefault(r["doc_id"], set()).update(originals)
+    want = plain(rows, **how)
+    got = {}
+    for r in out:
+        for t in texts[r["doc_id"]]:
+            if rebuilt(t, r["spans"]) == r["text"] and (r["doc_id"], t) in want:
+                got[r["doc_id"], t] = [x for x in "".join(c.lower() if c.isascii() else c for c in r["text"]).replace("\n", " ").split(" ") if x]
+    assert got == want
+    assert len(out) == sum((i, t or "") in want for i, t in rows)
+    return out
+
+
+def rebuilt(text, spans):
+    left, at = "", 0
+    for s in spans:
+        left, at = left + (text or "")[at : s["start"]], s["end"]
+    return left + (text or "")[at:]
+
+
+def shares(rows, n):
+    """Ids of documents that hold n words in a row of an earlier one or twice."""
+    seen, out = set(), set()
     for i, text in sorted((i, t) for i, t in rows if i is not None):
         w = (text or "").lower().split()
-        own = {tuple(w[j : j + n]) for j in range(len(w) - n + 1)}
-        out[i] = any(seen.get(x, i) < i for x in own)
-        for x in own:
-            seen.setdefault(x, i)
+        for j in range(len(w) - n + 1):
+            if (x := tuple(w[j : j + n])) in seen:
+                out.add(i)
+            seen.add(x)
     return out
 
 
@@ -31,91 +109,101 @@ def corpus(seed, lengths):
         words = text(rng.choice((0, 5, 60, 300)))
         for _ in range(rng.choice((0, 0, 1, 2))):
             words += rng.choice(passages) + text(rng.choice((1, 5, 40)))
-        rows.append((i * 3, "".join(w + rng.choice((" ", "\n", "  ")) for w in words)))
+        rows.append((i * 3, "".join(w + rng.choice((" ", " ", " ", "\n", "  ")) for w in words)))
     return rows
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_passages_over_50_words_are_removed_but_once(spark, seed):
     rows = corpus(seed, (51, 55, 70, 120))
-    rows += [(1, rows[3][1]), (100_000, rows[5][1]), (7, None), (10, ""), (None, rows[3][1]), (13, "er " * 300)]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, digest string").repartition(5)
-    out = {r["doc_id"]: r for r in P.removed(df, Work(spark, "t")).collect()}
-    repeats, short = plain_repeats(rows, 51), plain_repeats(rows, P.LEAST_WORDS)
-    assert any(repeats.values())
-    texts = dict(rows)
-    for i, repeated in repeats.items():
-        assert (i in out) >= repeated and (i in out) <= short[i]
-    for i, r in out.items():
-        left, at = "", 0
-        for s in r["spans"]:
-            left, at = left + texts[i][at : s["start"]], s["end"]
-        assert r["text"] == left + texts[i][at:] and all(k < i for k in r["kept_in"])
-    after = [(i, out[i]["text"] if i in out else t) for i, t in rows if i is not None]
-    assert not any(plain_repeats(after, 51).values())
+    rows += [(1, rows[3][1]), (100_000, rows[5][1]), (7, None), (10, ""), (None, rows[3][1]), (13, "er " * 300), (16, rows[4][1] + rows[4][1])]
+    out = check(spark, rows, line_words=15)
+    assert shares(rows, 51) <= {r["doc_id"] for r in out} and shares(rows, 51)
+    left = {r["doc_id"]: r["text"] for r in out}
+    assert not shares([(i, left.get(i, t)) for i, t in rows], 51)
+
+
+@pytest.mark.parametrize("how", [{}, {"line_words": 3}, {"line_words": 1, "passages": False}, {"line_words": 15}])
+def test_equals_the_plain_version_on_the_whole_table(spark, sf, how):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert check(spark, rows, **how)
 
 
 def test_short_passages_stay(spark):
-    rows = corpus(9, (10, 20, 35))
-    assert P.removed(spark.createDataFrame(rows, "doc_id long, text string"), Work(spark, "t")).count() == 0
+    rows = corpus(9, (10, 20, 30))
+    assert P.removed(spark.createDataFrame(rows, SCHEMA), Work(spark, "t"), line_words=15).count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    p, own, other = text(80), text(200), text(200)
+    rows = [(1, f"{p} one"), (7, own), (7, f"{p} {other}"), (7, own), (7, "short"), (8, own)]
+    out = {(r["doc_id"], r["text"]) for r in check(spark, rows)}
+    assert (8, "") in out and not any(i == 7 and t.split()[:3] == own.split()[:3] for i, t in out)
+    # rows of one id that share a passage: it stays in one of them
+    out = P.removed(spark.createDataFrame([(3, f"{p} a"), (3, f"{p} b"), (3, f"{p} a")], SCHEMA), Work(spark, "t")).collect()
+    assert len({r["text"] for r in out}) == 1 and all(len(r["text"].split()) < 20 for r in out)
+
+
+def test_lines_are_removed_but_once_also_inside_a_document(spark):
+    rows = [(1, "One line here\nand  ANOTHER\n\none   line HERE\nlast"), (2, "and another\nnew\nlast"), (3, "x one line here")]
+    out = {r["doc_id"]: r for r in check(spark, rows)}
+    assert out[1]["text"] == "One line here\nand  ANOTHER\n\nlast" and out[2]["text"] == "new\n" and 3 not in out
+    assert [(s["start"], s["end"]) for s in out[1]["spans"]] == [(28, 44)]
+
+
+def test_words_in_another_order_are_another_line(spark):
+    assert not check(spark, [(1, "a b a c a"), (2, "a c a b a")])
 
 
 def test_repeated_rows_and_no_rows(spark):
     text = " ".join(f"w{i}" for i in range(80))
-    df = spark.createDataFrame([(1, text), (1, text), (2, text), (2, text), (2, "short")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, text), (1, text), (2, text), (2, text), (2, "short")], SCHEMA)
     out = P.removed(df, Work(spark, "t")).collect()
-    assert sorted((r["doc_id"], r["text"]) for r in out) == [(2, ""), (2, ""), (2, "short")]
+    assert sorted((r["doc_id"], r["text"]) for r in out) == [(2, ""), (2, "")]
     assert P.removed(df.limit(0), Work(spark, "t")).count() == 0
 
 
-def test_units_do_not_depend_on_the_batch():
-    texts = ["a b c d e f g h i j k l m n o p", "", "x y", "er " * 40, "one"]
-    both = P.units(wordhash.words(*wordhash.text_buffer(pa.array(texts))))
-    for t, text in enumerate(texts):
-        alone = P.units(wordhash.words(*wordhash.text_buffer(pa.array([text]))))
-        assert np.array_equal(alone[0], both[0][both[1] == t]) and np.array_equal(alone[2], both[2][both[1] == t])
+def test_a_very_long_text(spark):
+    rng = random.Random(3)
+    p = " ".join(f"p{i}" for i in range(60))
+    long = " ".join(f"v{rng.randrange(10**7)}" for _ in range(400_000))
+    out = P.removed(spark.createDataFrame([(1, p), (2, f"{long} {p} tail\n" + f"{p}\n" * 500)], SCHEMA), Work(spark, "t"), line_words=15).collect()
+    assert len(out) == 1 and out[0]["text"].split()[:400_000] == long.split() and len(out[0]["text"].split()) < 400_030
 
 
-def test_repetition_inside_a_document_is_removed(spark):
-    rng = random.Random(4)
-    text = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
-    p, q, r, line, short, long = text(60), text(20), text(80), text(12), text(5), text(200)
-    rows = [(1, f"{p} {q} {p} x"), (2, "\n".join([line] * 50)), (3, "\n".join([short] * 50)), (4, "er " * 300), (5, "\n".join([long] * 50)), (6, f"y {p} z {p}")]
-    rows += [(7, f"{r} one"), (7, f"two three {r}"), (7, f"{r} one"), (8, text(300)), (9, None)]
-    out = {i["doc_id"]: i for i in P.removed(spark.createDataFrame(rows, "doc_id long, text string"), Work(spark, "t"), within=True).collect()}
-    assert sorted(out) == [1, 2, 3, 4, 5, 6]
-    texts = dict(rows)
-    for i, unit, kept in ((1, f"{p} {q}", [1]), (2, line, [2]), (3, short, [3]), (4, "er", [4]), (5, long, [5])):
-        words = out[i]["text"].split()
-        n = len(unit.split())
-        assert words[:n] == unit.split() and len(words) <= n + 20 and out[i]["kept_in"] == kept
-        left, at = "", 0
-        for s in out[i]["spans"]:
-            left, at = left + texts[i][at : s["start"]], s["end"]
-        assert out[i]["text"] == left + texts[i][at:]
-    assert len(out[6]["text"].split()) <= 2 + 4 * 7 and out[6]["kept_in"] == [1]
-
-
-def test_the_query_removes_what_a_document_repeats(spark, tmp_path):
-    from livgrid.llm import queries
-
-    passage = " ".join(f"w{i}" for i in range(200))
-    spark.createDataFrame([(1, f"{passage} " * 50), (2, "other")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    [row] = queries.op3_passage_dedup(spark, str(tmp_path)).collect()
-    assert row["doc_id"] == 1 and row["text"].split()[:200] == passage.split() and len(row["text"].split()) < 220
+def test_units_do_not_depend_on_the_batch():
+    texts = ["a b c d e f g h i j k l m n o p\nq r", "", "x y", "er " * 40, "one\n\ntwo three"]
+    data, offsets = wordhash.text_buffer(pa.array(texts))
+    w = wordhash.words(data, offsets)
+    for make in (lambda w, data: P.units(w), lambda w, data: P.lines(w, data, 1)):
+        both = make(w, data)
+        for t, text in enumerate(texts):
+            own, ends = wordhash.text_buffer(pa.array([text]))
+            alone = make(wordhash.words(own, ends), own)
+            assert np.array_equal(alone[0], both[0][both[1] == t]) and np.array_equal(alone[2], both[2][both[1] == t])
 
 
 def test_repeats_do_not_depend_on_the_batch():
     rng = random.Random(5)
-    rows = sorted((rng.randrange(4), rng.randrange(3), rng.randrange(2), (rng.randrange(5) << 28) + 9) for _ in range(200))
-    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["digest", "doc_id", "row", "at"])
-    for within in (False, True):
-        first = {}
-        want = []
-        for d, i, t, at in rows:
-            doc, place = first.setdefault(d, i), first.setdefault((d, i, t), at)
-            if i > doc or within and at > place:
-                want.append((i, t, at, doc))
-        for size in (1, 7, 200):
-            got = [tuple(x.values()) for b in P._repeats(iter([batch.slice(a, size) for a in range(0, 200, size)]), within) for x in b.to_pylist()]
-            assert got == want
+    rows = sorted((rng.randrange(4), rng.randrange(3), rng.randrange(2), rng.randrange(5), rng.random() < 0.2) for _ in range(200))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["key", "doc_id", "row", "at", "late"])
+    first = {}
+    want = sorted(r[1:4] for r in rows if r[4] or first.setdefault(r[0], r[1:4]) != r[1:4])
+    for size in (1, 7, 200):
+        got = [tuple(x.values()) for b in P._repeats(iter([batch.slice(a, size) for a in range(0, 200, size)])) for x in b.to_pylist()]
+        assert sorted(got) == want
+
+
+def test_a_line_of_all_documents_is_one_row_a_batch(spark):
+    df = spark.createDataFrame([(i, f"the line that every document of the corpus has\nown {i}") for i in range(3000)], SCHEMA).coalesce(2)
+    rows = P.occurrences(df, "doc_id", "text", passages=False).filter("NOT late")
+    assert rows.groupBy("key").count().agg({"count": "max"}).first()[0] <= 4
+
+
+def test_the_query_of_lines_equals_its_sql(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = sorted(tuple(r) for r in queries.line_dedup(spark, sf).collect())
+    assert got == sorted(con.sql(queries.ORACLES["line_dedup"]).fetchall()) and got
