@@ -30,8 +30,9 @@ from livgrid.llm.storage import Work
 from livgrid.llm.wordhash import mix
 
 WINDOW, UNIT, RUN_WORDS = 4, 4, 36
-#: Rows of spans that are broadcast at most (about 20 MB); beyond, texts and spans are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Slots that the hashes of texts with something to remove are dealt to; those in use are broadcast (some 20 MB at most), so that few other texts are
+#: shuffled.
+SLOTS = 1 << 20
 #: An occurrence's place in one number: its first word, its number of words, and whether it is a line.
 _WORDS_BITS = 28
 _ONES = (1 << _WORDS_BITS) - 1
@@ -138,8 +139,8 @@ def _merged(text: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndar
 
 
 def occurrences(docs: DataFrame, doc_id: str, text: str, line_words: int = 1, passages: bool = True) -> DataFrame:
-    """key, doc_id, row (a hash of the text), at, late. Not late: the first occurrence of a digest, its key, in a batch of texts. Late: what
-    is a repeat whatever the other batches hold."""
+    """key, doc_id, row (a hash of the text), at. The first occurrence of a digest, its key, in a batch of texts; and, with the complement of its
+    place and a key of its own text, what is a repeat whatever the other batches hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in wordhash.chunks(batches, "text"):
@@ -151,22 +152,22 @@ def occurrences(docs: DataFrame, doc_id: str, text: str, line_words: int = 1, pa
             for (digest, owner, start, n), line in found:
                 at = (start << (_WORDS_BITS + 1)) + (n << 1) + line
                 firsts, late = _later(digest, ids[owner], rows[owner], at)
-                out.append((digest[firsts].view(np.int64), ids[owner[firsts]], rows[owner[firsts]], at[firsts], False))
+                out.append((digest[firsts].view(np.int64), ids[owner[firsts]], rows[owner[firsts]], at[firsts]))
                 owner, start, n = (owner[late], start[late], n[late]) if line else _merged(owner[late], start[late], n[late])
                 at = (start << (_WORDS_BITS + 1)) + (n << 1) + line
-                out.append((mix(rows[owner].view(np.uint64) + (start >> 8).astype(np.uint64), 47).view(np.int64), ids[owner], rows[owner], at, True))
-            columns = [np.concatenate([o[k] for o in out]) for k in range(4)] + [np.repeat([o[4] for o in out], [len(o[0]) for o in out])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc_id", "row", "at", "late"])
+                out.append((mix(rows[owner].view(np.uint64) + (start >> 8).astype(np.uint64), 47).view(np.int64), ids[owner], rows[owner], ~at))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "doc_id", "row", "at"])
 
-    return _texts(docs, doc_id, text).mapInArrow(run, "key long, doc_id long, row long, at long, late boolean")
+    return _texts(docs, doc_id, text).mapInArrow(run, "key long, doc_id long, row long, at long")
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, doc_id, row and place: the late ones, and those after a key's first that aren't equal to it."""
+    """Of rows sorted by key, doc_id, row and place: the known repeats, and what comes after a key's first and isn't equal to it."""
     key = first = None
     for batch in batches:
-        keys, *place, known = (np.asarray(c) for c in batch.columns)
-        out = [[c[known] for c in place]]
+        keys, *place = (np.asarray(c) for c in batch.columns)
+        known = place[2] < 0
+        out = [[place[0][known], place[1][known], ~place[2][known]]]
         keys, place = keys[~known], [c[~known] for c in place]
         if len(keys):
             begins = np.append(key is None or keys[0] != key, keys[1:] != keys[:-1])
@@ -197,7 +198,9 @@ def removed(docs: DataFrame, work: Work, doc_id: str = "doc_id", text: str = "te
     spans (start, end: what was removed, in code points of the original, end exclusive). Other rows stay as they are."""
     runs = work.write(repeated_runs(docs, doc_id, text, line_words, passages), "runs")
     listed = runs.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("first_word", "end_word"))).alias("runs"))
-    joined = _texts(docs, doc_id, text).join(F.broadcast(listed) if runs.count() <= BROADCAST_ROWS else listed, ["doc_id", "row"]).select("doc_id", "text", "runs")
+    slot = F.pmod("row", F.lit(SLOTS)).alias("slot")
+    texts = _texts(docs, doc_id, text).withColumn("slot", slot).join(F.broadcast(runs.select(slot).distinct()), "slot", "left_semi")
+    joined = texts.join(listed, ["doc_id", "row"]).select("doc_id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in wordhash.chunks(batches, "text"):

@@ -187,10 +187,10 @@ def test_units_do_not_depend_on_the_batch():
 
 def test_repeats_do_not_depend_on_the_batch():
     rng = random.Random(5)
-    rows = sorted((rng.randrange(4), rng.randrange(3), rng.randrange(2), rng.randrange(5), rng.random() < 0.2) for _ in range(200))
-    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["key", "doc_id", "row", "at", "late"])
+    rows = sorted((rng.randrange(4), rng.randrange(3), rng.randrange(2), rng.choice((1, -1)) * rng.randrange(1, 6)) for _ in range(200))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["key", "doc_id", "row", "at"])
     first = {}
-    want = sorted(r[1:4] for r in rows if r[4] or first.setdefault(r[0], r[1:4]) != r[1:4])
+    want = sorted((*r[1:3], ~r[3]) if r[3] < 0 else r[1:] for r in rows if r[3] < 0 or first.setdefault(r[0], r[1:]) != r[1:])
     for size in (1, 7, 200):
         got = [tuple(x.values()) for b in P._repeats(iter([batch.slice(a, size) for a in range(0, 200, size)])) for x in b.to_pylist()]
         assert sorted(got) == want
@@ -198,7 +198,7 @@ def test_repeats_do_not_depend_on_the_batch():
 
 def test_a_line_of_all_documents_is_one_row_a_batch(spark):
     df = spark.createDataFrame([(i, f"the line that every document of the corpus has\nown {i}") for i in range(3000)], SCHEMA).coalesce(2)
-    rows = P.occurrences(df, "doc_id", "text", passages=False).filter("NOT late")
+    rows = P.occurrences(df, "doc_id", "text", passages=False).filter("at >= 0")
     assert rows.groupBy("key").count().agg({"count": "max"}).first()[0] <= 4
 
 
