@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from livgrid.llm.storage import bound_batches
+from livgrid.llm.storage import bound_batches, unused
 from livgrid.llm.wordhash import chunks
 
 #: Pre-tokens remembered by a worker (some 100 MB; half of it is the older generation), and the longest in characters that is remembered.
@@ -206,7 +206,8 @@ def encode_checked(df: DataFrame, coder: Encoder, text: str = "text", ids: str =
         return _lists(rows), [len(r) for r in rows], same
 
     kinds = {ids: (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), count: (T.LongType(), pa.int64()), intact: (T.BooleanType(), pa.bool_())}
-    return _map(df.withColumnRenamed(text, "__text"), df.sparkSession, coder, "__text", kinds, make).drop("__text")
+    held = unused(df, "__text")
+    return _map(df.withColumnRenamed(text, held), df.sparkSession, coder, held, kinds, make).drop(held)
 
 
 def round_trip(df: DataFrame, coder: Encoder, text: str = "text") -> DataFrame:
@@ -220,4 +221,5 @@ def round_trip(df: DataFrame, coder: Encoder, text: str = "text") -> DataFrame:
         return zip(*out, strict=True) if out else ([], [], [])
 
     kinds = {"n_tokens": (T.LongType(), pa.int64()), "ids_sha256": (T.StringType(), pa.string()), "decoded_sha256": (T.StringType(), pa.string())}
-    return _map(df.withColumnRenamed(text, "__text"), df.sparkSession, coder, "__text", kinds, lambda c, x: tuple(map(list, make(c, x)))).drop("__text")
+    held = unused(df, "__text")
+    return _map(df.withColumnRenamed(text, held), df.sparkSession, coder, held, kinds, lambda c, x: tuple(map(list, make(c, x)))).drop(held)

@@ -26,6 +26,17 @@ class Hnsw:
         for i in range(1, n):
             self._insert(i)
 
+    @classmethod
+    def of(cls, vectors: np.ndarray, links: list[list[np.ndarray]]) -> Hnsw:
+        """A graph that was built before: the vectors, and each one's neighbours by level."""
+        out = cls.__new__(cls)
+        out.x = np.ascontiguousarray(vectors, np.float64)
+        out.links = links
+        out.level = np.array([len(x) - 1 for x in links], int)
+        out.stamp, out.now = np.zeros(len(out.x), np.int64), 0
+        out.entry = int(out.level.argmax())  # any node of the highest level does
+        return out
+
     def _layer(self, q: np.ndarray, starts: list[tuple[float, int]], beam: int, level: int) -> list[tuple[float, int]]:
         """The beam's (similarity, node), best first."""
         self.now += 1

@@ -2,21 +2,23 @@
 
 A tolerant parser builds a tree of block elements (inline markup only counts for whether text is in a link). Scripts,
 styles, forms, menus, headers, footers, sidebars, notices, adverts, hidden parts and reader comments
-are left out, by element, role, and class or id word. Each paragraph then has points: one, one for each comma,
-and one for each 100 characters (three at most); its parent gets them all, its grandparent half, further
-ancestors ever smaller shares. A container's points are multiplied by the share of its text outside links;
+are left out, by element, role, and class or id, where a whole token says so ("share", "share-buttons", not "share-price").
+Each paragraph then has points: one, one for each comma, and one for each 100 characters (three at most); its parent
+gets them all, its grandparent half, further ancestors ever smaller shares, up to LEVELS of them. A container's points are multiplied by the share of its text outside links;
 the best one is kept, widened to the article or main element that holds it, with those siblings that score
 a fifth of it or are prose themselves. Inside, every block stays, but lists of links.
 
 Defined cases: a null or empty page, and one without text outside links, gives an empty text; character references are
 decoded, also unended ones that HTML allows; white space inside a block becomes one space, line breaks of `br`
-too; unclosed and misnested elements are closed as HTML implies; every row gives a row, repeated ones too.
+too; unclosed and misnested elements are closed as HTML implies; a tag that never ends is text with what follows; references to numbers
+beyond all characters become U+FFFD; every row gives a row, repeated ones too. Time grows in proportion to the page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,12 +38,31 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - {"caption", "colgroup", "thead", "tbody", "tfoot", "tr", "td", "th", "html", "body"} | {"form", "fieldset", "nav", "footer", "aside", "menu", "dialog"}
 #: An element that ends the open one of these kinds, up to the nearest of those bounds.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"})}
-#: Words of a class or id, and roles, that mark what isn't the article.
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|topnav|menu|submenu|breadcrumbs?|sidebar|side|rail|footer|foot|header|masthead|topbar|banner|ads?|advert|adverts|advertisement|advertising|adsense|adbox|sponsor|sponsored|promo|promotion|promoted|"
-    r"cookies?|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|comments?|commentlist|disqus|respond|replies|reply|"
-    r"widget|toolbar|pagination|pager|paywall|skip|search|outbrain|taboola|hidden|sr-only|visually-hidden)(?:$|[\s_-]|\d)"
+#: Words of a class or id that mark what isn't the article, and words that may stand beside them in a compound.
+BOILERPLATE = frozenset(
+    "nav navbar navigation topnav subnav menu submenu breadcrumb breadcrumbs sidebar side rail footer foot header masthead topbar banner ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion promoted "
+    "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus respond replies reply "
+    "widget toolbar pagination pager paywall skip search outbrain taboola hidden".split()
 )
+QUALIFIERS = frozenset(
+    "a an and the to of for by on in up all my new more main site page global primary secondary top bottom left right upper lower inner outer mobile desktop sticky fixed floating wrapper wrap container holder box block panel pane area section region zone col column row bar strip slot unit "
+    "list lists item items entry entries group grid card cards post posts article articles story stories news blog link links icon icons button buttons btn btns form forms field input text content body title heading media module component tags tag count counter "
+    "author user reader readers thread feed stream tools tool print email mail facebook twitter follow rss sr only visually js is has".split()
+)
+_WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*|[0-9]+")
+
+
+def marks_boilerplate(value: str) -> bool:
+    """Whether a token of a class or id says that the element isn't the article: all its words are of the two lists, or numbers, and one marks."""
+    for token in value.split():
+        words = [w.lower() for w in _WORDS.findall(token)]
+        if any(w in BOILERPLATE for w in words) and all(w in BOILERPLATE or w in QUALIFIERS or w.isdigit() for w in words):
+            return True
+        if token.lower() in ("sr-only", "visually-hidden"):
+            return True
+    return False
+
+
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
 KEPT_WHOLE = frozenset("html body article main".split())
 PARAGRAPHS = frozenset("p pre blockquote td li dd div section article main body figcaption".split())
@@ -52,15 +73,35 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+#: Numeric references of more digits than any character has, and noughts before others.
+_HUGE = re.compile(r"&#(?:0*[1-9][0-9]{7,}|[xX]0*[1-9a-fA-F][0-9a-fA-F]{6,});?")
+_NOUGHTS = re.compile(r"&#([xX]?)0{8,}(?=[0-9a-fA-F])")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+#: An open p is out of reach behind these.
+_P_BOUNDS = frozenset("html body td th table li article div section".split())
+#: How far up a paragraph's points go.
+LEVELS = 8
 
 
 class Node:
-    __slots__ = ("children", "length", "linked", "parent", "points", "tag")
+    """An element. p: the open paragraph that a block would end; ends: by kind of IMPLIED, the outermost open element that one of the kind would end."""
+
+    __slots__ = ("children", "ends", "length", "linked", "p", "parent", "points", "tag")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.children: list[Node | tuple[str, bool]] = []
         self.points, self.length, self.linked = 0.0, 0, 0
+        self.p = self if tag == "p" else None if parent is None or tag in _P_BOUNDS else parent.p
+        self.ends: dict[str, Node] = {} if parent is None else parent.ends
+        if tag in _IMPLIED_TAGS:
+            self.ends = {k: v for k, v in self.ends.items() if tag not in IMPLIED[k][1]}
+            for k, (ended, bounds) in IMPLIED.items():
+                if tag in ended and tag not in bounds:
+                    self.ends.setdefault(k, self)
+
+
+_IMPLIED_TAGS = frozenset().union(*(a | b for a, b in IMPLIED.values()))
 
 
 def _left_out(tag: str, attributes: str, inside_article: bool) -> bool:
@@ -77,19 +118,38 @@ def _left_out(tag: str, attributes: str, inside_article: bool) -> bool:
         return False
     if found.get("role", "").lower() in ROLES:
         return True
-    return any(k in found and BOILERPLATE.search(found[k].lower()) for k in ("class", "id"))
+    return any(k in found and marks_boilerplate(found[k]) for k in ("class", "id"))
 
 
 def parse(page: str) -> Node:
-    """The tree of what isn't left out."""
+    """The tree of what isn't left out, in one pass: no step looks back over more than it closes."""
     root = here = Node("html", None)
     at, links, n = 0, 0, len(page)
     skipped: list[str] = []  # open elements from the one that is left out
-    articles = 0
-    for m in iter(lambda: _TOKEN.search(page, at), None):
-        if m.start() > at and not skipped:
-            here.children.append((page[at : m.start()], links > 0))
-        at = m.end()
+    inside: Counter[str] = Counter()  # how many of each are in it
+    opened: Counter[str] = Counter()  # how many of each are open above and with `here`
+
+    def close(node: Node) -> Node:
+        """Closes the elements up to the node, itself included."""
+        nonlocal here
+        while here is not node:
+            opened[here.tag] -= 1
+            here = here.parent
+        opened[here.tag] -= 1
+        here = here.parent
+        return here
+
+    look = 0
+    while (look := page.find("<", look)) >= 0:
+        m = _TOKEN.match(page, look)
+        if m is None:
+            if re.match(r"</?[a-zA-Z]", page[look : look + 3]):
+                break  # a tag that never ends: the rest is text
+            look += 1
+            continue
+        if look > at and not skipped:
+            here.children.append((page[at:look], links > 0))
+        at = look = m.end()
         tag = m["t"]
         if tag is None:
             if m["d"] is not None and not skipped:
@@ -98,31 +158,29 @@ def parse(page: str) -> Node:
         tag = tag.lower()
         if m["e"]:
             if skipped:
-                if tag in skipped:
-                    while skipped.pop() != tag:
-                        pass
+                if inside[tag]:
+                    while (last := skipped.pop()) != tag:
+                        inside[last] -= 1
+                    inside[tag] -= 1
                     continue
                 if tag not in ("body", "html", "article", "main"):
                     continue
                 skipped.clear()  # an unclosed element ends with what holds it
+                inside.clear()
             if tag == "a":
                 links = 0
-            elif tag in BLOCK:
+            elif tag in BLOCK and tag not in ("html", "body") and opened[tag] > 0:
                 node = here
-                while node is not None and node.tag != tag:
+                while node.tag != tag:
                     node = node.parent
-                if node is not None and node is not root and tag not in ("html", "body"):
-                    while here is not node:
-                        articles -= here.tag in ("article", "main")
-                        here = here.parent
-                    articles -= here.tag in ("article", "main")
-                    here, links = node.parent, 0
+                close(node)
+                links = 0
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             if not m["a"].endswith("/") or tag not in ("svg", "math"):
-                close = page.find(">", end.end()) if end else -1
-                at = close + 1 if close >= 0 else n
+                end = _RAW_END[tag].search(page, at)
+                stop = page.find(">", end.end()) if end else -1
+                at = look = stop + 1 if stop >= 0 else n
             if not skipped:
                 here.children.append((" ", False))
             continue
@@ -133,33 +191,25 @@ def parse(page: str) -> Node:
         if skipped:
             if tag in BLOCK or tag in SKIP:
                 skipped.append(tag)
+                inside[tag] += 1
             continue
-        if tag in CLOSES_P:
-            node = here
-            while node.tag not in ("p", "html", "body", "td", "th", "table", "li", "article", "div", "section"):
-                node = node.parent
-            if node.tag == "p":
-                here = node.parent
-        if rule := IMPLIED.get(tag):
-            node, ends = here, None
-            while node.parent is not None and node.tag not in rule[1]:
-                if node.tag in rule[0]:
-                    ends = node
-                node = node.parent
-            if ends is not None:
-                here = ends.parent
-        if _left_out(tag, m["a"], articles > 0):
+        if tag in CLOSES_P and here.p is not None:
+            close(here.p)
+        if tag in here.ends:
+            close(here.ends[tag])
+        if _left_out(tag, m["a"], opened["article"] + opened["main"] > 0):
             skipped.append(tag)
+            inside[tag] += 1
             here.children.append(Node("hr", here))  # text on both sides stays apart
         elif tag == "a":
             links = 1
         elif tag in BLOCK and tag not in ("html", "body"):
             if here.tag in HEADINGS and tag in HEADINGS:
-                here = here.parent
+                close(here)
             node = Node(tag, here)
             here.children.append(node)
             here, links = node, 0
-            articles += tag in ("article", "main")
+            opened[tag] += 1
     if at < n and not skipped:
         here.children.append((page[at:], links > 0))
     return root
@@ -174,7 +224,7 @@ def _order(root: Node) -> list[Node]:
 
 
 def _squeezed(text: str) -> str:
-    return " ".join(html.unescape(text).split())
+    return " ".join(html.unescape(_NOUGHTS.sub(r"&#\1", _HUGE.sub("\ufffd", text))).split())
 
 
 def score(root: Node) -> list[Node]:
@@ -189,7 +239,7 @@ def score(root: Node) -> list[Node]:
             points = 1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3)
             points *= 1 - min(1.0, sum(len(_squeezed(c[0])) for c in own if c[1]) / len(text))
             above, level = (node if node.tag not in ("p", "pre", "li", "dd", "figcaption", "blockquote", "td") else node.parent), 0
-            while above is not None:
+            while above is not None and level < LEVELS:
                 above.points += points / (1, 2)[level] if level < 2 else points / (3 * level)
                 above, level = above.parent, level + 1
         if node.parent is not None:
@@ -198,6 +248,19 @@ def score(root: Node) -> list[Node]:
     return [x for x in nodes if x.points > 0]
 
 
+def _headings(header: Node) -> list[Node]:
+    """The topmost headings of a header, in page order."""
+    out: list[Node] = []
+    todo = [header]
+    while todo:
+        x = todo.pop()
+        if x.tag in HEADINGS:
+            out.append(x)
+        else:
+            todo.extend(c for c in reversed(x.children) if isinstance(c, Node))
+    return out
+
+
 def density(node: Node) -> float:
     return min(1.0, node.linked / node.length) if node.length else 0.0
 
@@ -225,7 +288,7 @@ def blocks(node: Node) -> list[str]:
                 continue
             todo.append(None)
             # of a header inside the article its headings are the article's; bylines and buttons aren't
-            todo.extend(reversed([y for y in _order(x) if y.tag in HEADINGS] if x.tag == "header" else x.children))
+            todo.extend(reversed(_headings(x) if x.tag == "header" else x.children))
     flush()
     return out
 
@@ -240,7 +303,7 @@ def extract(page: str | None) -> str:
         own = [x for x in _order(root) if x.tag in ("article", "main") and x.length]
         best = [max(own, key=lambda x: x.length)] if own else [root]
         return "\n".join(blocks(best[0])) if density(best[0]) < 0.5 else ""
-    top = max(containers, key=lambda x: (x.points * (1 - density(x)), -containers.index(x)))
+    top = max(containers, key=lambda x: x.points * (1 - density(x)))  # the first of equal ones
     whole = top
     above = top
     while above is not None:

@@ -16,7 +16,7 @@ The boundary is that with the least rows by the sizes found.
 Lists are read as a stream of sorted rows. Each set is first verified against the least member of its lists (one
 shuffled set each, hot centres salted). Lists whose members are then in several components, and lists of two not
 verified yet, are joined to groups by common members; in each group the sets outside its largest component are
-compared with each other and with it, in blocks of BLOCK sets, by counting overlaps along inverted lists
+compared with each other and with it, in blocks of BLOCK sets (fewer if they are large), by counting overlaps along inverted lists
 of shingles. (Where that would ship more sets than going by the lists' least members, lists with one least member are compared on
 their own.) Bitmaps of the sets go first, an exact bound of how much two sets differ; whole sets follow where it leaves a link
 possible. So groups of copies cost their rows, never their pairs, and no link between different sets is lost.
@@ -40,10 +40,12 @@ from pyspark.sql import functions as F
 
 from livgrid.llm import wordhash
 from livgrid.llm.components import Forest, components
+from livgrid.llm.skew import join_unique
 from livgrid.llm.storage import Work
 from livgrid.llm.wordhash import mix
 
-BLOCK = 512
+#: Sets of a block, and how many shingles count as a set there: larger sets count as several, so that a block's memory is bounded (some 16 MB).
+BLOCK, SET_SHINGLES = 512, 4_096
 #: Members of one centre that a task verifies; ids that are broadcast at most (some 20 MB).
 STAR, BROADCAST_IDS = 5_000, 250_000
 SEEDS = 4
@@ -139,14 +141,14 @@ def _sets(batch: pa.RecordBatch, column: str, k: int) -> tuple[np.ndarray, np.nd
 
 
 def measured(docs: DataFrame, measure: Measure, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, d (the set's digest)."""
+    """doc_id, row (a hash of the text), n_shingles, d (the set's digest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in wordhash.chunks(batches, "text"):
             _, first, digest = _sets(batch, "text", measure.k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first).astype(np.int64)), pa.array(digest.view(np.int64))], ["doc_id", "n_shingles", "d"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(first).astype(np.int64)), pa.array(digest.view(np.int64))], ["doc_id", "row", "n_shingles", "d"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, d long")
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("row")).mapInArrow(run, "doc_id long, row long, n_shingles long, d long")
 
 
 def _light_keys(measure: Measure, value: np.ndarray) -> np.ndarray:
@@ -431,8 +433,8 @@ def _targets(i: str, j_count: str, name: str, ordered: bool) -> Column:
 
 
 def _sizes(rows: DataFrame) -> DataFrame:
-    """Of rows (target, d, component): each target's largest component, the blocks of its members outside and inside it, and the rows that meeting ships."""
-    by = rows.groupBy("target", "component").agg(F.count("*").alias("n")).groupBy("target").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"))
+    """Of rows (target, d, component, weight): each target's largest component, the blocks of its members outside and inside it, and what meeting ships."""
+    by = rows.groupBy("target", "component").agg(F.sum("weight").alias("n")).groupBy("target").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"))
     by = by.select("target", F.col("most.component").alias("major"), F.col("most.n").alias("inside"), (F.col("n") - F.col("most.n")).alias("outside"))
     by = by.withColumn("minors", F.ceil(F.col("outside") / BLOCK)).withColumn("majors", F.ceil(F.col("inside") / BLOCK))
     return by.withColumn("rows", F.when((F.col("minors") == 1) & (F.col("majors") == 1), F.col("inside") + F.col("outside")).otherwise(F.col("outside") * (F.col("minors") + F.col("majors")) + F.col("inside") * F.col("minors")))
@@ -457,21 +459,21 @@ def _across(docs: DataFrame, postings: DataFrame, named: DataFrame, chosen: Data
     lists = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.min("seen").alias("seen"))
     # lists with one least member are one from here on
     rows = rows.join(lists.filter("lo < hi AND (n > 2 OR NOT seen)").select("key"), "key").select("d", "centre", "component").distinct()
-    rows = work.write(rows, "open")
+    rows = work.write(rows.join(named.select("d", (F.floor(F.col("n") / SET_SHINGLES) + 1).alias("weight")), "d"), "open")
     work.drop("members")
     if rows.isEmpty():
         return None
     pairs = rows.filter("d <> centre").select(F.greatest("d", "centre").alias("a"), F.least("d", "centre").alias("b"))
     group = components(pairs, work, "groups").select(F.col("node").alias("d"), F.col("component").alias("group"))
     rows = work.write(rows.join(group, "d", "left").withColumn("group", F.coalesce("group", "d")), "grouped")
-    by_group, by_centre = rows.select(F.col("group").alias("target"), "d", "component").distinct(), rows.select(F.col("centre").alias("target"), "d", "component", "group")
+    by_group, by_centre = rows.select(F.col("group").alias("target"), "d", "component", "weight").distinct(), rows.select(F.col("centre").alias("target"), "d", "component", "weight", "group")
     group_sizes, centre_sizes = work.write(_sizes(by_group), "group-sizes"), work.write(_sizes(by_centre), "centre-sizes")
     centre_group = by_centre.select("target", "group").distinct()
     shipped_by_centre = centre_sizes.join(centre_group, "target").groupBy("group").agg(F.sum("rows").alias("by_centre"))
     dear = work.write(group_sizes.join(shipped_by_centre, F.col("target") == F.col("group")).filter("rows > by_centre").select("group"), "dear")
     target = _meeting(by_group, group_sizes.join(dear.select(F.col("group").alias("target")), "target", "left_anti"))
-    target = target.union(_meeting(by_centre.join(dear, "group", "left_semi").select("target", "d", "component"), centre_sizes))
-    tags = named.join(rows.select("d", F.col("component").alias("tag")).distinct(), "d")
+    target = target.union(_meeting(by_centre.join(dear, "group", "left_semi").select("target", "d", "component", "weight"), centre_sizes))
+    tags = named.select("d", "doc_id").join(rows.select("d", F.col("component").alias("tag")).distinct(), "d")
 
     def shipped(target: DataFrame, name: str, outlines: bool) -> DataFrame:
         wanted = work.write(target.groupBy("d").agg(F.collect_set("to").alias("to")).join(tags, "d").select("doc_id", "d", "tag", "to"), name)
@@ -484,11 +486,17 @@ def _across(docs: DataFrame, postings: DataFrame, named: DataFrame, chosen: Data
 
 def join(docs: DataFrame, work: Work, measure: Measure = Measure(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) for every row."""
+    return grouped(docs, work, measure, doc_id, text).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame, work: Work, measure: Measure = Measure(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same with row (xxhash64 of the text) and component, which tells groups apart also where rows share a doc_id; null for rows that link
+    with nothing for lack of words or id."""
     sets = work.write(measured(docs, measure, doc_id, text), "sets")
     live = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     histogram = {r["n_shingles"]: r["count"] for r in live.filter(F.col("n_shingles") <= 2 * MOST_LIGHT).groupBy("n_shingles").count().collect()}
     boundary = choose_boundary(measure, histogram)
-    named = live.groupBy("d").agg(F.min("doc_id").alias("doc_id"))
+    named = work.write(live.groupBy("d").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "named")
     rows = listed(docs, measure, boundary, doc_id, text).repartition("key").sortWithinPartitions("key", "d")
     postings = work.write(rows.mapInArrow(_lists, "key long, d long, centre long"), "lists")
 
@@ -499,7 +507,7 @@ def join(docs: DataFrame, work: Work, measure: Measure = Measure(), doc_id: str
     own = salts.select(F.col("centre").alias("d"), F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1), star)).alias("star"), F.lit(True).alias("own"))
     # the lowest bit tells centres from members, so a target is one number
     target = member.union(own).select("d", (F.shiftleft("star", 1) + F.col("own").cast("int")).alias("to"))
-    wanted = work.write(target.groupBy("d").agg(F.collect_set("to").alias("to")).join(named, "d").select("doc_id", "d", F.lit(0).cast("bigint").alias("tag"), "to"), "wanted")
+    wanted = work.write(target.groupBy("d").agg(F.collect_set("to").alias("to")).join(named.select("d", "doc_id"), "d").select("doc_id", "d", F.lit(0).cast("bigint").alias("tag"), "to"), "wanted")
     stars = _with_sets(docs, wanted, measure, doc_id, text).select(F.shiftrightunsigned("to", 1).alias("to"), "d", (F.col("to") % 2 != 0).alias("own"), "shingles")
     stars = stars.repartition("to").sortWithinPartitions("to", F.desc("own"), "d")
     links = work.write(stars.mapInArrow(_stars(measure), "a long, b long"), "links")
@@ -510,8 +518,12 @@ def join(docs: DataFrame, work: Work, measure: Measure = Measure(), doc_id: str
         more = work.write(more, "links-across")
         if not more.isEmpty():
             comp = components(links.union(more), work, "all")
-    grouped = sets.join(comp.select(F.col("node").alias("d"), "component"), "d", "left").withColumn("component", F.coalesce("component", "d"))
+    # by set first, then by row: very large groups and sets with very many copies are no hot keys
+    of = named.select("d", "doc_id").join(comp.select(F.col("node").alias("d"), "component"), "d", "left").withColumn("component", F.coalesce("component", "d"))
+    of = work.write(of, "components")
+    least = work.write(of.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    of = work.write(join_unique(of.drop("doc_id"), least, ["component"], work, "least"), "named-components")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    least = grouped.filter(linked).groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    lone = grouped.filter(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return grouped.filter(linked).join(least, "component").select("doc_id", "n_shingles", "component_id").union(lone)
+    rows = join_unique(sets.filter(linked), of, ["d"], work, "rows").select("doc_id", "row", "n_shingles", "component_id", "component")
+    lone = sets.filter(~linked).select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("component"))
+    return rows.union(lone)

@@ -1,12 +1,11 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame expressions alone.
 
 Each text gives candidate spans: the base kinds (assign, access, hex) and wider ones (provider keys, tokens,
-private key headers, long mixed strings). Candidates' SHA-256 digests are counted over the corpus by distinct owners and
-repositories: by (digest, owner, repository), then (digest, owner), then digest, each sum pre-aggregated, so
-that a value copied everywhere costs one row a task. A value with EXAMPLE_OWNERS owners or more is a widely
-copied example; one with a single owner that looks random is a live-looking credential; the rest is
-shared. Base spans are always reported, with their verdict; wider ones only if live-looking and apart
-from base spans.
+private key headers, long mixed strings). Candidates' SHA-256 digests are counted over the corpus by distinct owners,
+repositories and texts. A value with EXAMPLE_OWNERS owners or EXAMPLE_TEXTS different texts is a widely copied example;
+one with a single owner that looks random is a live-looking credential; the rest is shared. Base spans are
+always reported, with their verdict; wider ones only if they look random, aren't widely copied, and are apart from base spans.
+Verdicts go back to the candidates by a join that takes frequent values apart (skew.join_unique).
 
 Defined cases: a null or empty text has no spans; a null owner is an owner of its own; every row gives a row, repeated
 ones too (they count as one repository); other columns, whatever their names, are not read.
@@ -17,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from livgrid.llm.native import spans
+from livgrid.llm.native import apart, spans
+from livgrid.llm.skew import join_unique
 from livgrid.llm.storage import Work
 
 #: Base kinds in the order listed: pattern, the group that is the value, and its least length.
@@ -37,7 +37,8 @@ WIDER = (
     ("mixed", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]{24})[A-Za-z0-9+/_-]{24,}+={0,2}(?![A-Za-z0-9])"),
 )
 KINDS = tuple(k for k, *_ in BASE + WIDER)
-EXAMPLE_OWNERS = 3
+#: From so many owners, or different texts (exact copies of a document count once), a value is widely copied.
+EXAMPLE_OWNERS, EXAMPLE_TEXTS = 3, 20
 #: A live-looking value has at least so many different characters and none of these words (fixed values).
 LEAST_DIFFERENT = 8
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]?|xxxx|test|1234567|abcdef|(.)\1{5}"
@@ -60,23 +61,28 @@ def _random(value: Column) -> Column:
 
 
 def candidates(df: DataFrame, text: str, owner: str, repository: str, keep: list[str]) -> DataFrame:
-    """A row for each text: `keep`, owner, repository, and arrays base and wider of structs (start, kind, end, digest, random)."""
+    """A row for each text: `keep`, owner, repository, body (a hash of the text), row_id, and arrays base and wider of structs (start, kind, end, digest, random)."""
     body = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(*(_found(body, k, p, g, n) for k, p, g, n in BASE))
-    apart = lambda side, *others: F.filter(side, lambda w: ~F.exists(F.concat(*others), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    out = df.select(*keep, F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), F.array_sort(base).alias("base"), *(_found(body, k, p, int(k == "private"), 1).alias(k) for k, p in WIDER))
+    out = df.select(*keep, F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), F.xxhash64(body).alias("body"), F.monotonically_increasing_id().alias("row_id"), F.array_sort(base).alias("base"), *(_found(body, k, p, int(k == "private"), 1).alias(k) for k, p in WIDER))
     wider: list[str] = []
     for k, _ in WIDER:  # a wider span is apart from base spans and from the wider kinds before it
-        out = out.withColumn(k, apart(k, "base", *wider))
+        out = out.withColumn(k, apart(F.col(k), F.concat("base", *wider)))
         wider.append(k)
     return out.withColumn("wider", F.concat(*wider)).drop(*wider)
 
 
-def ownership(found: DataFrame) -> DataFrame:
-    """By digest: how many owners and repositories have it."""
-    each = found.select("owner", "repository", F.explode(F.concat("base", "wider")).alias("c")).select("owner", "repository", "c.digest")
-    by_owner = each.groupBy("digest", "owner", "repository").agg(F.lit(1).alias("n")).groupBy("digest", "owner").agg(F.sum("n").alias("n"))
-    return by_owner.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
+def ownership(each: DataFrame) -> DataFrame:
+    """By digest of candidates (digest, owner, repository, body): how many owners, repositories and different texts have it. Spark counts them over
+    (digest, value) first, so a value copied everywhere costs one row a task at the end."""
+    number = lambda c: F.count_distinct(F.coalesce(F.concat(F.lit("="), c), F.lit("")))
+    return each.groupBy("digest").agg(number("owner").alias("owners"), number("repository").alias("repositories"), F.count_distinct("body").alias("texts"))
+
+
+def verdict() -> Column:
+    """example: widely copied, over owners or over different texts. live: one owner's, and it looks random. shared: the rest."""
+    copied = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("texts") >= EXAMPLE_TEXTS)
+    return F.when(copied, "example").when((F.col("owners") == 1) & F.col("random"), "live").otherwise("shared")
 
 
 def scan(df: DataFrame, work: Work, text: str = "text", owner: str = "source", repository: str = "doc_id", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -84,11 +90,12 @@ def scan(df: DataFrame, work: Work, text: str = "text", owner: str = "source", r
 
     The candidates are written once; the texts are read once.
     """
-    found = work.write(candidates(df, text, owner, repository, list(keep)).withColumn("row_id", F.monotonically_increasing_id()), "candidates")
+    found = work.write(candidates(df, text, owner, repository, list(keep)), "candidates")
     flagged = lambda side, is_base: F.transform(side, lambda c: F.struct(c.alias("c"), F.lit(is_base).alias("is_base")))
-    each = found.select("row_id", F.explode(F.concat(flagged("base", True), flagged("wider", False))).alias("x")).select("row_id", "x.c.*", "x.is_base")
-    verdict = F.when(F.col("owners") >= EXAMPLE_OWNERS, "example").when((F.col("owners") == 1) & F.col("random"), "live").otherwise("shared")
-    judged = each.join(ownership(found), "digest").withColumn("verdict", verdict).filter(F.col("is_base") | (F.col("verdict") == "live"))
+    each = found.select("row_id", "owner", "repository", "body", F.explode(F.concat(flagged("base", True), flagged("wider", False))).alias("x")).select("row_id", "owner", "repository", "body", "x.c.*", "x.is_base")
+    owned = work.write(ownership(each), "owned")
+    judged = join_unique(each.drop("owner", "repository", "body"), owned, ["digest"], work, "owned").withColumn("verdict", verdict())
+    judged = judged.filter(F.col("is_base") | (F.col("verdict") != "example") & F.col("random"))
     listed = judged.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "digest", "verdict", "owners", "repositories", "is_base"))).alias("spans"))
     none = F.array().cast(listed.schema["spans"].dataType)
     return found.join(listed, "row_id", "left").select(*keep, F.coalesce("spans", none).alias("spans"))

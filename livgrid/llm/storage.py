@@ -7,9 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 #: Bytes of an Arrow batch that a Python worker gets at once, where the session leaves Spark's default.
 BATCH = "8m"
+_works: list[Work] = []
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -21,15 +21,25 @@ def bound_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the session has none (single-machine tests) a temporary folder is made and set.
+    Only where the session has none and runs in one process (tests) a temporary folder is made and set; a cluster must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="livgrid-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Work:
     """A folder of written tables of one run of an operator."""
 
@@ -37,6 +47,7 @@ class Work:
         bound_batches(spark)
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _works.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet and read it back; its lineage ends there."""
@@ -49,3 +60,14 @@ class Work:
         for at in [f"{self.path}/{n}" for n in names] or [self.path]:
             path = jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def mark() -> int:
+    """How many works there are: what `drop_since` takes."""
+    return len(_works)
+
+
+def drop_since(when: int = 0) -> None:
+    """Deletes the tables of all works since `when`. A result of theirs that wasn't read or written yet is lost with them: call it after that."""
+    while len(_works) > when:
+        _works.pop().drop()

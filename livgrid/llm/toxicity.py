@@ -9,7 +9,8 @@ and those weights a word, and a logistic curve over them is the score.
 The lexicon starts from SEEDS and is widened by entries learned from labelled rows: document counts of word
 starts and whole words by label, kept if their share of toxic rows is beyond chance over all entries tested.
 Labels serve training alone. The sample is bounded: at most about MOST_POSITIVE toxic and MOST_NEGATIVE
-other labelled rows, chosen by a hash of doc_id; a doc_id with contradicting labels is left out.
+other labelled rows, chosen by a hash of doc_id; a doc_id with contradicting labels is left out, and one that several documents
+have counts with the least of their texts.
 
 Defined cases: a null or empty text scores as a text without words; every row gives a row, repeated ones too; with no
 labelled rows, or labels of one kind, the seeds and PRIOR are used.
@@ -17,6 +18,7 @@ labelled rows, or labels of one kind, the seeds and PRIOR are used.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import unicodedata
@@ -34,7 +36,7 @@ from pyspark.sql import types as T
 from livgrid.llm.storage import bound_batches
 from livgrid.llm.wordhash import chunks
 
-MOST_POSITIVE, MOST_NEGATIVE, MOST_ENTRIES = 4_000, 8_000, 5_000
+MOST_POSITIVE, MOST_NEGATIVE = 4_000, 8_000
 STEM_CHARS = range(3, 9)
 SEED_WEIGHT = 4.0
 #: Least ratio of the odds that a text with an entry is toxic to those of any text.
@@ -108,8 +110,8 @@ def features(text: str | None, machine: ahocorasick.Automaton) -> tuple[float, f
         elif weight > hits.get(start, 0.0):
             hits[start] = weight
     for a, b in spans:
-        for start in [s for s in hits if a <= s < b]:
-            del hits[start]
+        for start in range(a, b):
+            hits.pop(start, None)
     total = math.fsum(hits.values())
     return total, total / (len(folded.split()) + 10) if hits else 0.0, len(hits)
 
@@ -173,11 +175,13 @@ def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
     y = y.filter(draw <= F.when(F.col("toxic") == 1, share(1, MOST_POSITIVE)).otherwise(share(0, MOST_NEGATIVE)))
     # the sample's ids are bounded by the two parameters, whatever the corpus: broadcast them, and no text is shuffled
-    return documents.select("doc_id", "text").join(F.broadcast(y), "doc_id").select("text", F.col("toxic").cast("int"))
+    texts = documents.select("doc_id", "text").join(F.broadcast(y), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").cast("int").alias("toxic")).select("text", "toxic")
 
 
 def learn(documents: DataFrame, labels: DataFrame) -> Lexicon:
-    """A lexicon from the seeds and the sample of labelled rows. What reaches the driver: MOST_ENTRIES entries and three numbers a sampled row."""
+    """A lexicon from the seeds and the sample of labelled rows. What reaches the driver: the entries that
+    tell the labels of the sample apart beyond chance, and three numbers a sampled row."""
     bound_batches(documents.sparkSession)
     lexicon = Lexicon()
     sample = training_rows(documents, labels).persist()
@@ -197,10 +201,11 @@ def learn(documents: DataFrame, labels: DataFrame) -> Lexicon:
             .withColumn("gain", gain)
             .filter(F.col("gain") >= math.log(1e6))
             .orderBy(F.desc("gain"), F.length("entry"), "entry")
-            .limit(MOST_ENTRIES)
             .select("entry", "pos", "neg")
             .collect()
         )
+        ordered = sorted(found, key=lambda r: r["entry"])
+        names = [r["entry"] for r in ordered]
         kept: set[str] = set()
         for r in found:  # by evidence: a start that is kept covers its longer forms
             word = r["entry"].rstrip("$")
@@ -208,7 +213,8 @@ def learn(documents: DataFrame, labels: DataFrame) -> Lexicon:
                 continue
             kept.add(r["entry"] if r["entry"].endswith("$") else word)
             # the longest form that holds nearly all of its texts is the entry
-            best = max((x for x in found if x["entry"].startswith(word) and x["pos"] >= 0.9 * r["pos"] and x["neg"] <= r["neg"]), key=lambda x: (len(x["entry"]), x["entry"]))
+            longer = ordered[bisect.bisect_left(names, word) : bisect.bisect_left(names, word + "\U0010ffff")]
+            best = max((x for x in longer if x["pos"] >= 0.9 * r["pos"] and x["neg"] <= r["neg"]), key=lambda x: (len(x["entry"]), x["entry"]))
             lexicon.weights[best["entry"]] = min(8.0, math.log((best["pos"] + 0.5) / (n_pos + 1)) - math.log((best["neg"] + 0.5) / (n_neg + 1)))
         held = sample.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -229,7 +235,7 @@ def learn(documents: DataFrame, labels: DataFrame) -> Lexicon:
 def score(df: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "score", matches: str = "n_matches") -> DataFrame:
     """df with the score of each text and the number of lexicon matches; columns of those names are replaced."""
     bound_batches(df.sparkSession)
-    held = df.sparkSession.sparkContext.broadcast(lexicon)  # MOST_ENTRIES entries at most
+    held = df.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the sample
     kept = [f for f in df.schema.fields if f.name not in (out, matches)]
     schema = T.StructType([*kept, T.StructField(out, T.DoubleType()), T.StructField(matches, T.LongType())])
 

@@ -1,5 +1,8 @@
 import hashlib
 import io
+import random
+import uuid
+import zlib
 
 import pytest
 
@@ -57,7 +60,51 @@ def test_pages_and_back(spark):
     df = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, first string")
     for version in (1, 2):
         work = Work(spark, "t")
-        A.write_archives(df, f"{work.path}/warc", version=version)
+        A.write_archives(df, work, f"{work.path}/warc", version=version)
         got = A.read_archives(spark, f"{work.path}/warc").collect()
         assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got], key=str) == plain(rows)
     assert A.archive_and_read(df.limit(0), Work(spark, "t")).count() == 0
+
+
+def test_record_ids_name_pages():
+    for i in (0, 1, 7, -5, 2**62, 2**63 - 1, -(2**63)):
+        made = A.page_record_id(i, "sha256:00")
+        assert A.page_of(made) == i and uuid.UUID(made[10:-1]).version == 8
+    assert A.page_of(A.record_id("x")) is None and A.page_of(None) is None and A.page_of(A.page_record_id(None, "sha256:00", "u")) is None
+    assert A.page_record_id(1, "sha256:00") != A.page_record_id(1, "sha256:01")
+
+
+def test_files_are_bounded_by_bytes_and_have_a_member_a_record(spark, monkeypatch):
+    monkeypatch.setattr(A, "ARCHIVE_BYTES", 20_000)
+    rng = random.Random(2)
+    rows = [(i, f"http://h/{i}", "".join(rng.choice("abcdefghij \n") for _ in range(rng.choice((10, 3000))))) for i in range(200)]
+    rows += [(1000, "http://h/big", "".join(rng.choice("abcdefghij") for _ in range(3_000_000))), *((2000 + i, "http://h/copy", rows[1][2] + "x" * 100) for i in range(20))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    work = Work(spark, "t")
+    A.write_archives(df, work, f"{work.path}/warc")
+    files = [(r["path"], bytes(r["content"])) for r in spark.read.format("binaryFile").load(f"{work.path}/warc/*").collect()]
+    files = [(p, c) for p, c in files if p.endswith(".warc.gz")]
+    assert len(files) > 4
+    ids = {}
+    for _, content in files:
+        members, rest = [], content
+        while rest:
+            one = zlib.decompressobj(31)
+            members.append(one.decompress(rest) + one.flush())
+            rest = one.unused_data
+        assert members[-1] == b"" and all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") for m in members[:-1])
+        records = [r for m in members[:-1] for r in A.read_warc(io.BytesIO(m))]
+        assert len(records) == len(members) - 1 and records[0].headers["WARC-Type"] == "warcinfo"
+        assert len(records) == 2 or len(content) < 20_000 + 4_000
+        ids |= {r.headers["WARC-Record-ID"]: r for r in records[1:]}
+    assert not any(k.lower().startswith("x-") for r in ids.values() for k in r.headers) and not any(b"X-Archive" in r.block[:300] for r in ids.values())
+    revisits = [r for r in ids.values() if r.headers["WARC-Type"] == "revisit"]
+    assert len(revisits) == 19 and all(ids[r.headers["WARC-Refers-To"]].headers["WARC-Payload-Digest"] == r.headers["WARC-Payload-Digest"] for r in revisits)
+    got = A.read_archives(spark, f"{work.path}/warc").collect()
+    assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got], key=str) == plain(rows)
+
+
+def test_a_payload_of_a_third_of_all_pages(spark):
+    rows = [(i, "u", "copy " * 30 if i % 3 else f"own {i} " * 30) for i in range(3000)]
+    got = A.archive_and_read(spark.createDataFrame(rows, "page_id long, url string, html string"), Work(spark, "t")).collect()
+    assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got], key=str) == plain(rows)

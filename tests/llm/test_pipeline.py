@@ -6,10 +6,12 @@ import tiktoken
 from test_decontaminate import shingles as plain_shingles
 from test_decontaminate import words
 from test_jaccard_join import plain as plain_components
+from test_pii import plain_spans
+from test_toxicity import plain_score
 
 import __spark_entry__ as entry
 import corpus_pipeline as C
-from livgrid.llm import bpe
+from livgrid.llm import bpe, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 
@@ -44,6 +46,21 @@ def test_near_copies_of_repeated_rows(spark, sf):
     assert sorted((r["doc_id"] or 0) for r in C.drop_near_copies(spark, df, sf).collect()) == [0, 1]
 
 
+def test_rows_that_share_an_id(spark, sf):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(30)) for k in "abcd")
+    rows = [(1, a), (1, b), (2, c), (3, c), (3, d), (3, d), (4, b + " x"), (5, None), (5, None)]
+    for parts in (1, 7):
+        out = [(r["doc_id"], r["text"]) for r in C.drop_near_copies(spark, frame(spark, rows).repartition(parts), sf).collect()]
+        assert sorted(out, key=str) == sorted([(1, a), (1, b), (2, c), (3, d), (5, None), (5, None)], key=str)
+
+
+def test_many_near_copies_in_one_group(spark, sf):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base) if i % 2 else " ".join([*base, f"x{i}"])) for i in range(5000)] + [(9000 + i, f"own {i} text that is like no other {i * i}") for i in range(50)]
+    out = C.drop_near_copies(spark, frame(spark, rows), sf)
+    assert sorted(r["doc_id"] for r in out.collect()) == [0, *range(9000, 9050)]
+
+
 def test_benchmark_equals_plain_search(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
@@ -62,6 +79,33 @@ def test_toxic_go_and_others_stay(spark, sf):
     assert len(benign - out) <= 0.02 * len(benign)
 
 
+def test_toxicity_equals_a_plain_scorer(spark, sf):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    df = frame(spark, docs + ODD)
+    lexicon = toxicity.learn(df, spark.read.parquet(f"{sf}/labels.parquet"))
+    out = C.drop_toxic(spark, df, sf).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(i for i, t in docs + ODD if plain_score(t, lexicon) < 0.5)
+
+
+def test_personal_data_equals_a_plain_version(spark, sf):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    changed = 0
+    for r in C.replace_pii(spark, frame(spark, list(docs.items()) + ODD), sf).collect():
+        old = docs.get(r["doc_id"])
+        if r["doc_id"] >= 900:
+            assert r["text"] == dict(ODD)[r["doc_id"]]
+            continue
+        pieces, at = [], 0
+        for a, b, _ in plain_spans(old):
+            pieces.append(re.escape(old[at:a]))
+            at = b
+        # what stands between the entities stays, and the entities don't
+        m = re.fullmatch("(.+?)".join([*pieces, re.escape(old[at:])]), r["text"], re.S)
+        assert m and r["n_chars"] == len(r["text"]) and all(old[a:b] not in m.groups() for a, b, _ in plain_spans(old))
+        changed += bool(pieces)
+    assert changed
+
+
 def test_personal_data_and_tokens(spark, sf):
     rows = [(1, "write to a.b@c.org now"), (2, "nothing"), *ODD]
     df = C.replace_pii(spark, frame(spark, rows), sf)

@@ -78,3 +78,34 @@ def test_private_keys_are_told_apart_by_their_bodies(spark):
         assert [(s["verdict"], s["owners"], s["end"] - s["start"]) for s in out[i]] == [("live", 1, len(head))]
     assert out[1][0]["start"] == 2 and len(out[10]) == 2 and len({s["digest"] for s in out[10]}) == 2
     assert all(out[i] == [] for i in (5, 6, 7))
+
+
+def test_copies_within_an_owner_are_examples_and_shared_values_stay(spark):
+    token = lambda k: "gh" + "p_" + hashlib.sha256(str(k).encode()).hexdigest()[:40].replace("a", "Q").replace("b", "Z")
+    rows = [(i, "big", f"text {i} has {token(1)}") for i in range(25)] + [(100, "a", f"own {token(2)}"), (101, "b", f"own {token(2)}")]
+    rows += [(200 + i, "big", f"copy of one text with {token(3)}") for i in range(25)]
+    out = {r["doc_id"]: r["spans"] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, source string, text string"), Work(spark, "t")).collect()}
+    assert all(out[i] == [] for i in range(25))
+    assert [s["verdict"] for s in out[100]] == [s["verdict"] for s in out[101]] == ["shared"]
+    assert all([s["verdict"] for s in out[200 + i]] == ["live"] for i in range(25))
+
+
+def test_a_value_of_a_third_of_all_rows(spark):
+    rows = [(i, f"s{i % 7}", "password=commonvalue1" if i % 3 else f"password=kJ{i}dfg73hsQ") for i in range(6000)]
+    out = secret_scan.digest_rows(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, source string, text string"), Work(spark, "t"))).collect()
+    assert len(out) == 6000 and sum(r["n_example"] for r in out) == 4000 and sum(r["n_live"] for r in out) == 2000
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    def seconds(n):
+        text = " ".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(n))
+        began = time.perf_counter()
+        [row] = secret_scan.digest_rows(secret_scan.scan(spark.createDataFrame([(1, "a", text)], "doc_id long, source string, text string"), Work(spark, "t"))).collect()
+        assert row["n_hex"] == n and row["base_sha256"] == hashlib.sha256(joined(base(text)).encode()).hexdigest()
+        return time.perf_counter() - began
+
+    seconds(100)
+    small, large = seconds(10_000), seconds(40_000)
+    assert large < 8 * small + 5

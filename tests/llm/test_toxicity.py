@@ -1,6 +1,64 @@
+import math
+import re
+import time
+
 from livgrid.llm import queries, toxicity
 
 
+def plain_score(text, lexicon):
+    """The score of a text, each word held against each entry."""
+    folded = toxicity.fold(text)
+    hits = {}
+    for m in re.finditer(r"\S+", folded):
+        for entry, weight in lexicon.weights.items():
+            e = toxicity.fold(entry.rstrip("$")).strip()
+            if m[0] == e if entry.endswith("$") else m[0].startswith(e):
+                hits[m.start()] = max(weight, hits.get(m.start(), 0.0))
+    for phrase in map(toxicity.fold, lexicon.exceptions):
+        for i in range(len(folded)):
+            if folded.startswith(phrase, i):
+                hits = {k: w for k, w in hits.items() if not i < k < i + len(phrase)}
+    total = math.fsum(hits.values())
+    z = lexicon.curve[0] + lexicon.curve[1] * math.log(1 + total) + lexicon.curve[2] * math.sqrt(total / (len(folded.split()) + 10))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_query_equals_a_plain_scorer_on_the_whole_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    lexicon = toxicity.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = queries.op8_toxicity(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert abs(r["score"] - plain_score(texts[r["doc_id"]], lexicon)) < 1e-9 and r["predicted"] == (r["score"] >= 0.5)
+
+
+def test_held_out_labels_are_told_apart(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [(r["predicted"], labels[r["doc_id"]]) for r in queries.op8_toxicity(spark, sf).filter("held_out").collect() if r["doc_id"] in labels]
+    assert sum(p for p, y in rows if y) >= 0.9 * sum(y for _, y in rows) and sum(p for p, y in rows if not y) <= 0.02 * len(rows)
+
+
+def test_very_long_texts():
+    machine = toxicity.Lexicon().automaton()
+
+    def seconds(n):
+        text = "trash can idiot m0r0n river " * n
+        began = time.perf_counter()
+        assert toxicity.features(text, machine)[2] == 2 * n
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(80_000) < 8 * seconds(20_000) + 1
+
+
+def test_a_document_id_of_several_texts(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.training_rows(docs, labels).count() <= 2
+
+
 def test_folding():
     assert toxicity.fold("ІDI0T, 5tup1d! lo$er").split() == ["idiot", "stupid", "loser"]
     assert toxicity.fold("m​oron ｓｃｕｍ").split() == ["moron", "scum"]
