@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from livgrid import jobs
 from livgrid.functions import numbers
 from livgrid.functions.text import BASE_NETWORKS
 from livgrid.operators import catalog, spatial, zones
-from livgrid.sources import readers
+from livgrid.sources import readers, sinks
 
 MODES = ("walk", "bike")
 NAMES = {"index": "bp_noise", "road": "lden_route", "rail": "lden_fer"}
@@ -22,6 +23,7 @@ NAMES = {"index": "bp_noise", "road": "lden_route", "rail": "lden_fer"}
 class Engine:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._cached: dict[str, tuple[str | None, DataFrame]] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}")
@@ -74,11 +76,30 @@ class Engine:
     def summary(self, request: dict) -> DataFrame:
         return zones.rollup_areas(self.stats(request), ["walk", "air", "index", "road", "rail", "dest", "price"])
 
-    def hover(self, request: dict, code: str, row: int, col: int) -> DataFrame:
-        """One cell: its layers, and the criteria that it fails."""
-        frame, criteria = self._criteria(request | {"codes": [code]})
+    def hover(self, request: dict, code: str, row: int, col: int, at: tuple[float, float] | None = None, stations: DataFrame | None = None, neighbourhoods: DataFrame | None = None, prices: DataFrame | None = None) -> DataFrame:
+        """One cell: its layers, the criteria that it fails with value and threshold (details), for each mode the best station over the networks asked for
+        (best_walk, best_bike: seconds, and the station by its rank in stations: code, rank, zdc, nom), the neighbourhood at a point (neighbourhoods: code, nom,
+        polygon), and the price statistics of it, else of the whole place (prices: code, nom or null, type, n, med)."""
+        request = request | {"codes": [code]}
+        frame, networks, query, mode = self._frame(request)
+        names = NAMES | ({f"dest_{query.dest_key}": f"{mode}_dest_{query.dest_key}"} if query.dest_key else {})
+        time = zones.best_time(networks)
         here = frame.filter((F.col("row") == row) & (F.col("col") == col))
-        return here.withColumn("reasons", zones.exclusion_reasons(criteria)).withColumn("noise", numbers.noise_label(F.col("lden_route")))
+        failed = zones.details(query, time, frame.columns, names)
+        here = here.withColumn("reasons", zones.exclusion_reasons(query.criteria(time, frame.columns, names))).withColumn("details", zones.exclusion_details(failed)).withColumn("noise", numbers.noise_label(F.col("lden_route")))
+        if stations is not None:
+            for m in MODES:
+                both = {n: (F.col(f"{m}_{n}"), F.col(f"station_{m}_{n}")) for n in networks if {f"{m}_{n}", f"station_{m}_{n}"} <= set(frame.columns)}
+                here = here.withColumn(f"best_{m}", zones.best_station(both)).withColumn("__rank", F.col(f"best_{m}.station") if both else F.lit(None).cast("int"))
+                here = zones.with_station(here, stations, "__rank", f"station_{m}").drop("__rank")
+        if neighbourhoods is not None and at is not None:
+            here = here.join(catalog.at_point(neighbourhoods.filter(F.col("code") == code), "polygon", *at).agg(F.min("nom").alias("neighbourhood")))
+            if prices is not None:
+                own = prices.filter((F.col("code") == code) & (F.col("type") == request.get("prix_type", "appartement")))
+                whole = own.filter("nom IS NULL").agg(F.first("med").alias("__whole"))
+                named = own.filter("nom IS NOT NULL").select(F.col("nom").alias("neighbourhood"), F.col("med").alias("__own"), F.col("n").alias("sales"))
+                here = here.join(named, "neighbourhood", "left").join(whole).withColumn("price", F.coalesce("__own", "__whole")).withColumn("price_fallback", F.col("__own").isNull() & F.col("__whole").isNotNull()).drop("__own", "__whole")
+        return here
 
     def cell_of(self, x: float, y: float, left: float, top: float, cell: float = 15.0) -> tuple[int, int]:
         at = self.spark.range(1).select(spatial.cell_at(F.lit(x), F.lit(y), left, top, cell).alias("c")).first()["c"]
@@ -90,6 +111,33 @@ class Engine:
     def to_refresh(self, now: Column | None = None, pending: DataFrame | None = None, days: int = catalog.MOST_AGE_DAYS) -> DataFrame:
         return catalog.stale_groups(self.table("source_files"), self.table("communes"), F.current_timestamp() if now is None else now, pending, days)
 
+    def refresh(self, build, now: Column | None = None, days: int = catalog.MOST_AGE_DAYS) -> dict[str, str]:
+        """Rebuilds what is stale or was left by an earlier run, a place at a time; errors by code."""
+        job = jobs.Rebuild(self.spark, self.folder, build)
+        job.plan(self.table("source_files"), self.table("communes"), F.current_timestamp() if now is None else now, days)
+        return job.run()
+
+    def status(self, now: Column | None = None, days: int = catalog.MOST_AGE_DAYS) -> dict[str, DataFrame]:
+        """Freshness by source, and what is to refresh, why."""
+        return {"sources": self.freshness(now, days), "places": self.to_refresh(now, None, days)}
+
+    def delete(self, code: str) -> None:
+        """Removes a place from the tables by place; an index of what is left is `sinks.index_of`."""
+        for name in ("cells", "layers"):
+            sinks.remove_place(self.spark, f"{self.folder}/{name}", code)
+        self._cached.clear()
+
+    def place_cells(self, code: str) -> DataFrame:
+        """A place's cells, kept while its build (meta.built) stays the same; a new build drops what was kept."""
+        built = self.table("meta").filter(F.col("code") == code).select(F.col("built").cast("string")).first()
+        version = built[0] if built else None
+        kept = self._cached.get(code)
+        if kept is None or kept[0] != version:
+            if kept is not None:
+                kept[1].unpersist()
+            self._cached[code] = kept = (version, self.table("cells").filter(F.col("code") == code).persist())
+        return kept[1]
+
     def to_rebuild(self) -> DataFrame:
         return catalog.outdated_groups(self.table("meta"))
 

@@ -50,16 +50,27 @@ def source_groups(spark: SparkSession) -> DataFrame:
 
 
 def stale_groups(files: DataFrame, codes: DataFrame, now: Column, pending: DataFrame | None = None, days: int = MOST_AGE_DAYS) -> DataFrame:
-    """code, groups: what to rebuild because a source is stale (a shared one, without a code, marks every place), with what an earlier run left (null: all)."""
+    """code, groups, reasons: what to rebuild because a source is stale, with what an earlier run left (null: all). A shared source, without a code, marks
+    every place, unless it feeds no group. A place whose own source feeds none is listed without groups. reasons: the sources of its own, "shared", and
+    "pending"."""
     old = files.filter(F.col("mtime") < now - F.make_interval(days=F.lit(days))).select("source", "code").distinct()
     feeds = F.broadcast(source_groups(files.sparkSession))
-    shared = codes.select("code").crossJoin(F.broadcast(old.filter("code IS NULL").select("source").join(feeds, "source").select("layer_group").distinct()))
-    own = old.filter("code IS NOT NULL").join(feeds, "source").select("code", "layer_group")
+    shared = codes.select("code").crossJoin(F.broadcast(old.filter("code IS NULL").join(feeds, "source").select("layer_group").distinct())).withColumn("reason", F.lit("shared"))
+    own = old.filter("code IS NOT NULL").join(feeds, "source", "left").select("code", "layer_group", F.col("source").alias("reason"))
     out = shared.union(own)
     if pending is not None:
         every = F.array(*(F.lit(g) for g in sorted(FORMATS)))
-        out = out.union(pending.select("code", F.explode(F.coalesce("groups", every)).alias("layer_group")))
-    return out.groupBy("code").agg(F.array_sort(F.collect_set("layer_group")).alias("groups"))
+        out = out.union(pending.select("code", F.explode_outer(F.coalesce("groups", every)).alias("layer_group"), F.lit("pending")))
+    return out.groupBy("code").agg(F.array_sort(F.collect_set("layer_group")).alias("groups"), F.array_sort(F.collect_set("reason")).alias("reasons"))
+
+
+def dependencies(places: DataFrame, tiles_of: DataFrame, files: DataFrame) -> DataFrame:
+    """code, source, path of the files that feed each place: its own ones (files with a code), the road tiles that its box touches (tiles_of: code, i, j; files
+    named by tile), and the shared ones. places: code; files: source, code, tile (a struct i, j), path; code and tile null where they don't apply."""
+    own = files.filter("code IS NOT NULL").join(places.select("code"), "code", "left_semi").select("code", "source", "path")
+    tiled = files.filter("code IS NULL AND tile IS NOT NULL").select("source", "path", F.col("tile.i").alias("i"), F.col("tile.j").alias("j")).join(tiles_of, ["i", "j"]).select("code", "source", "path")
+    shared = places.select("code").crossJoin(F.broadcast(files.filter("code IS NULL AND tile IS NULL").select("source", "path")))
+    return own.union(tiled).union(shared)
 
 
 def outdated_groups(meta: DataFrame) -> DataFrame:
@@ -90,12 +101,21 @@ def departments_touching(places: DataFrame, left: float, bottom: float, right: f
     return places.filter((F.col("left") <= right) & (F.col("right") >= left) & (F.col("bottom") <= top) & (F.col("top") >= bottom)).select("department").distinct()
 
 
+def tile_span(low: Column, high: Column, size: float) -> Column:
+    """The numbers of the tiles of a size that an interval touches, as an array."""
+    return F.sequence(F.floor(low / size), F.floor(high / size))
+
+
+def tiles_of(boxes: DataFrame, key: str, height: float, width: float) -> DataFrame:
+    """key, i, j of the tiles that each box (left, bottom, right, top) touches, both ends included."""
+    rows = boxes.select(key, "left", "right", F.explode(tile_span(F.col("bottom"), F.col("top"), height)).alias("i"))
+    return rows.select(key, "i", F.explode(tile_span(F.col("left"), F.col("right"), width)).alias("j"))
+
+
 def tiles(left: float, bottom: float, right: float, top: float, height: float, width: float, spark: SparkSession) -> DataFrame:
     """i, j of the tiles that a box touches."""
-    import math
-
-    rows = spark.range(math.floor(bottom / height), math.floor(top / height) + 1).withColumnRenamed("id", "i")
-    return rows.withColumn("j", F.explode(F.sequence(F.lit(math.floor(left / width)), F.lit(math.floor(right / width)))))
+    box = spark.range(1).select("id", *(F.lit(float(v)).alias(k) for k, v in (("left", left), ("bottom", bottom), ("right", right), ("top", top))))
+    return tiles_of(box, "id", height, width).select("i", "j")
 
 
 def value_range(cells: DataFrame, value: str, unknown: int = 0) -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import heapq
-import tempfile
-import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from livgrid.operators.written import Written
+
+#: Layers of results that are kept apart before they are written as one.
+LAYERS = 8
+
 #: Speeds in km/h, kinds of way, cut-offs.
 WALK_KMH, BIKE_KMH, BIKE_SLOW_KMH = 4.5, 15.0, 6.0
 NO_WALK = ("motorway", "motorway_link", "trunk", "trunk_link", "construction", "proposed", "raceway", "bus_guideway", "abandoned", "razed")
@@ -70,35 +73,51 @@ def fastest(edges: DataFrame, by: list[str]) -> DataFrame:
     return edges.groupBy(*by, "src", "dst").agg(F.greatest(F.min("sec"), F.lit(LEAST_EDGE_S)).alias("sec"))
 
 
-class _Tables:
-    """Written tables between rounds, in the session's checkpoint folder (a temporary one where it names none)."""
-
-    def __init__(self, df: DataFrame):
-        self.spark = df.sparkSession
-        base = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="livgrid-graph-")
-        self.path, self.n = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}", 0
-
-    def cut(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        df.write.parquet(at := f"{self.path}/{self.n}")
-        return self.spark.read.schema(df.schema).parquet(at)
-
-
-def shortest_paths(edges: DataFrame, sources: DataFrame, limit: float, rounds: int = 10_000) -> DataFrame:
-    """node, dist, source: from the nearest of several sources (node, cost, source) along edges (src, dst, sec), up to the limit. Equal distances
-    take the least source. Each round relaxes the edges out of the nodes that got better; it ends when none does."""
-    tables = _Tables(edges)
-    best = tables.cut(sources.filter(F.col("cost") <= limit).groupBy("node").agg(F.min(F.struct(F.col("cost").alias("dist"), "source")).alias("b")))
-    front = best
-    for _ in range(rounds):
-        offers = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.struct((F.col("b.dist") + F.col("sec")).alias("dist"), F.col("b.source").alias("source")).alias("b")).filter(F.col("b.dist") <= limit)
-        offers = offers.groupBy("node").agg(F.min("b").alias("o"))
-        better = tables.cut(offers.join(best, "node", "left").filter(F.col("b").isNull() | (F.col("o") < F.col("b"))).select("node", F.col("o").alias("b")))
-        if better.isEmpty():
-            break
-        best = tables.cut(best.union(better).groupBy("node").agg(F.min("b").alias("b")))
-        front = better
-    return best.select("node", "b.dist", "b.source")
+class _Layers:
+    """A table (key columns and b) that grows by written layers; the least b of a key counts. Every LAYERS of them become one."""
+
+    def __init__(self, tables: Written, first: DataFrame, keys: list[str]):
+        self.tables, self.keys, self.layers, self.oldest = tables, keys, [first], tables.n
+
+    def whole(self) -> DataFrame:
+        out = self.layers[0]
+        for layer in self.layers[1:]:
+            out = out.union(layer)
+        return out
+
+    def least(self) -> DataFrame:
+        return self.layers[0] if len(self.layers) == 1 else self.whole().groupBy(*self.keys).agg(F.min("b").alias("b"))
+
+    def add(self, layer: DataFrame) -> None:
+        self.layers.append(layer)
+        if len(self.layers) > LAYERS:
+            merged = self.tables.cut(self.least())
+            # the newest layer is the next front, so it stays
+            self.tables.drop(self.oldest, self.tables.n - 2)
+            self.layers, self.oldest = [merged], self.tables.n
+
+    def better(self, offers: DataFrame) -> DataFrame:
+        """The keys whose offer (key columns and b) beats what they have, in one aggregation over offers and layers."""
+        b = offers.schema["b"].dataType
+        both = offers.select(*self.keys, F.col("b").alias("o"), F.lit(None).cast(b).alias("b")).union(self.whole().select(*self.keys, F.lit(None).cast(b).alias("o"), "b"))
+        both = both.groupBy(*self.keys).agg(F.min("o").alias("o"), F.min("b").alias("b"))
+        return both.filter(F.col("o").isNotNull() & (F.col("b").isNull() | (F.col("o") < F.col("b")))).select(*self.keys, F.col("o").alias("b"))
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
+    """node, dist, source: from the nearest of several sources (node, cost, source) along edges (src, dst, sec of 0 or more), up to the limit. Equal
+    distances take the least source. Each round relaxes the edges out of the nodes that got better; it ends when none does, as it must where no
+    way gets shorter by going on."""
+    tables = Written(edges.sparkSession, "paths")
+    edges = tables.cut(edges.filter((F.col("sec") >= 0) & (F.col("sec") <= limit)).select("src", "dst", "sec"))
+    start = sources.filter(F.col("cost") <= limit).groupBy("node").agg(F.min(F.struct(F.col("cost").alias("dist"), "source")).alias("b"))
+    front = tables.cut(start)
+    best = _Layers(tables, front, ["node"])
+    while not front.isEmpty():
+        offers = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.struct((F.col("b.dist") + F.col("sec")).alias("dist"), F.col("b.source").alias("source")).alias("b"))
+        front = tables.cut(best.better(offers.filter(F.col("b.dist") <= limit)))
+        best.add(front)
+    return best.least().select("node", "b.dist", "b.source")
 
 
 def heap_paths(edges: list[tuple], sources: list[tuple], limit: float) -> dict:
@@ -134,36 +153,41 @@ def grouped_paths(edges: DataFrame, sources: DataFrame, by: list[str], limit: fl
     return both.groupBy(*by).applyInPandas(run, f"{kinds}, node long, dist double, source long")
 
 
-def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """The nodes that edges lead to from the seeds (node), themselves included."""
-    tables = _Tables(edges)
-    seen = front = tables.cut(seeds.select("node").distinct())
-    while True:
-        fresh = tables.cut(front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
-        if fresh.isEmpty():
-            return seen
-        seen, front = tables.cut(seen.union(fresh)), fresh
+def reachable(edges: DataFrame, seeds: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, node: the nodes that edges (by, src, dst) lead to from the seeds (by, node), themselves included; for every `by` at once."""
+    tables = Written(edges.sparkSession, "reach")
+    keys = [*by, "node"]
+    edges = tables.cut(edges.select(*by, "src", "dst"))
+    front = tables.cut(seeds.select(*keys).distinct().withColumn("b", F.lit(0)))
+    seen = _Layers(tables, front, keys)
+    while not front.isEmpty():
+        ends = front.withColumnRenamed("node", "src").join(edges, [*by, "src"]).select(*by, F.col("dst").alias("node"), F.lit(0).alias("b"))
+        front = tables.cut(seen.better(ends))
+        seen.add(front)
+    return seen.least().select(*keys)
 
 
 def main_component(edges: DataFrame) -> DataFrame:
-    """node: the largest strongly connected component. Forward and backward reach from the node with the most edges; while that is at most half of what is
-    left, it is set aside and the rest searched; of components set aside and found the largest wins."""
-    left, best, size = edges, None, 0
+    """node: the largest strongly connected component. Forward and backward reach, as one search, from the node with the most edges; while that is at most
+    half of what is left, it is set aside and the rest searched; of components set aside and found the largest wins (the first of equal ones)."""
+    tables = Written(edges.sparkSession, "component")
+    left, best, size = tables.cut(edges.select("src", "dst")), None, 0
     while True:
-        degree = left.select(F.col("src").alias("node")).union(left.select(F.col("dst").alias("node"))).groupBy("node").count()
-        seed = degree.orderBy(F.desc("count"), "node").limit(1).select("node")
+        degree = tables.cut(left.select(F.col("src").alias("node")).union(left.select(F.col("dst").alias("node"))).groupBy("node").count())
         n = degree.count()
         if not n or n <= size:
             return best if best is not None else degree.select("node")
-        back = left.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        found = _Tables(left).cut(reachable(left, seed).join(reachable(back, seed), "node"))
+        seed = degree.orderBy(F.desc("count"), "node").limit(1).select("node")
+        ways = left.withColumn("back", F.lit(False)).union(left.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("back")))
+        both = reachable(ways, seed.withColumn("back", F.explode(F.array(F.lit(False), F.lit(True)))), ("back",))
+        found = tables.cut(both.groupBy("node").agg(F.count("*").alias("n")).filter("n = 2").select("node"))
         m = found.count()
         if m > size:
             best, size = found, m
         if 2 * m > n:
             return best
         out = found.withColumnRenamed("node", "__n")
-        left = _Tables(left).cut(left.join(out, F.col("src") == F.col("__n"), "left_anti").join(out, F.col("dst") == F.col("__n"), "left_anti"))
+        left = tables.cut(left.join(out, F.col("src") == F.col("__n"), "left_anti").join(out, F.col("dst") == F.col("__n"), "left_anti"))
 
 
 def cell_times(near: DataFrame, node_times: DataFrame, speed_kmh: float, limit: float, cell: str = "cell") -> DataFrame:

@@ -17,6 +17,11 @@ def single_item_deeds(rows: DataFrame, deed: str, is_item: Column, is_barred: Co
     return rows.filter(F.col(deed).isNotNull()).groupBy(deed).agg(F.count_if(is_item).alias("items"), F.count_if(is_barred).alias("barred")).filter("items = 1 AND barred = 0").select(deed)
 
 
+def recoded(code: Column, prefix: str = "751", whole: str = "75056") -> Column:
+    """The code of the whole municipality instead of those of its districts."""
+    return F.when(code.startswith(prefix), whole).otherwise(code)
+
+
 def clean_sales(raw: DataFrame) -> DataFrame:
     """code, date, type, pm2, lon, lat of the plain sales of one dwelling each. pm2 is tested before it is rounded."""
     sold = raw.filter(F.col("nature_mutation") == "Vente")
@@ -25,9 +30,8 @@ def clean_sales(raw: DataFrame) -> DataFrame:
     number = lambda c: F.col(c).try_cast("double")
     out = sold.filter(dwelling).join(deeds, "id_mutation", "left_semi").withColumn("surface", number("surface_reelle_bati"))
     out = out.filter(F.col("surface") >= LEAST_SURFACE).withColumn("pm2", number("valeur_fonciere") / F.col("surface")).filter(F.col("pm2").between(LEAST_PRICE, MOST_PRICE))
-    code = F.when(F.col("code_commune").startswith("751"), "75056").otherwise(F.col("code_commune"))
     kind = F.element_at(F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair]), F.col("type_local"))
-    return out.select(code.alias("code"), F.col("date_mutation").alias("date"), kind.alias("type"), F.rint("pm2").cast("int").alias("pm2"), number("longitude").alias("lon"), number("latitude").alias("lat"))
+    return out.select(recoded(F.col("code_commune")).alias("code"), F.col("date_mutation").alias("date"), kind.alias("type"), F.rint("pm2").cast("int").alias("pm2"), number("longitude").alias("lon"), number("latitude").alias("lat"))
 
 
 def price_statistics(sales: DataFrame, keys: list[str], types: list[str], value: str = "pm2", type_column: str = "type", least: int = LEAST_SALES) -> DataFrame:

@@ -27,7 +27,7 @@ def services_on(calendar: DataFrame, calendar_dates: DataFrame, day: str) -> Dat
 
 
 def rail_timetable(files: dict[str, DataFrame], day: str, window: tuple[int, int] = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """connections (trip, from_stop, to_stop, dep, arr, line, proj, ord), transfers (from_stop, to_stop, secs) and stops (stop, name, parent) of the rail
+    """connections (trip, seq, from_stop, to_stop, dep, arr, line, proj), transfers (from_stop, to_stop, secs) and stops (stop, name, parent) of the rail
     lines of a day. files: the members by name, as text."""
     routes = files["routes"].filter(F.col("route_type").isin(*RAIL)).select("route_id", F.coalesce("route_short_name", F.lit("")).alias("line"))
     services = services_on(files["calendar"], files["calendar_dates"], day)
@@ -36,7 +36,7 @@ def rail_timetable(files: dict[str, DataFrame], day: str, window: tuple[int, int
     times = files["stop_times"].join(trips.select("trip_id"), "trip_id", "left_semi")
     times = times.select(F.col("trip_id").alias("trip"), F.col("stop_id").alias("stop"), F.col("stop_sequence").try_cast("int").alias("seq"), numbers.seconds_of_day(F.col("departure_time")).alias("dep"), numbers.seconds_of_day(F.col("arrival_time")).alias("arr"))
     conns = timetable.within_window(timetable.connections(times, order=("seq",)), *window)
-    conns = conns.join(trips.withColumnRenamed("trip_id", "trip"), "trip").withColumn("proj", F.lit(False)).withColumn("ord", F.struct("trip", "dep").cast("string"))
+    conns = conns.join(trips.withColumnRenamed("trip_id", "trip"), "trip").withColumn("proj", F.lit(False))
     used = conns.select(F.col("from_stop").alias("stop")).union(conns.select(F.col("to_stop").alias("stop"))).distinct()
     walks = files["transfers"].filter(F.col("from_stop_id") != F.col("to_stop_id")).select(F.col("from_stop_id").alias("from_stop"), F.col("to_stop_id").alias("to_stop"), F.coalesce(F.col("min_transfer_time").try_cast("int"), F.lit(0)).cast("bigint").alias("secs"))
     for side in ("from_stop", "to_stop"):
@@ -55,12 +55,21 @@ def zone_durations(profiles: DataFrame, stops: DataFrame, start: int, end: int,
     return timetable.durations(best.select(*by, "zdc", "t", "b.arr", "b.line", "b.proj"), [*by, "zdc"])
 
 
+def scenario_timetables(conns: DataFrame, projected: dict[str, DataFrame]) -> DataFrame:
+    """Connections by scenario: today's for each of SCENARIOS, with those of the projected lines (connections by scenario) that are open by its last opening."""
+    out = None
+    for scenario, until in SCENARIOS.items():
+        extra = projected.get(scenario) if until else None
+        here = (timetable.merged(conns, extra) if extra is not None else conns).withColumn("scenario", F.lit(scenario))
+        out = here if out is None else out.unionByName(here, allowMissingColumns=True)
+    return out
+
+
 def duration_table(conns: DataFrame, walks: DataFrame, stops: DataFrame, destinations: DataFrame) -> DataFrame:
     """scenario, dest, period, zdc, median, p10, p90, line, proj. conns carry their scenario; destinations: dest, zdc. A destination's own zones are at 0."""
     targets = destinations.join(stops.withColumnRenamed("parent", "zdc"), "zdc").select("dest", "stop").distinct()
     scenarios = conns.select("scenario").distinct()
-    conns = conns.crossJoin(F.broadcast(destinations.select("dest").distinct()))
-    found = profile.profiles(conns, walks, targets.crossJoin(scenarios), ["scenario", "dest"])
+    found = profile.profiles(conns, walks, targets, ["scenario"])
     out = None
     for period, (start, end) in PERIODS.items():
         here = zone_durations(found, stops, start, end, ["scenario", "dest"]).withColumn("period", F.lit(period))

@@ -5,8 +5,11 @@ A line has tens of stops and a handful of sections, and lines are independent: o
 
 from __future__ import annotations
 
+import heapq
 import math
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -14,100 +17,152 @@ from livgrid.operators.timetable import DETOUR
 
 #: How far from its track a stop may be, and how far apart sections may end to be joined (metro; tram of one operation).
 TRACK_M, METRO_GAP_M, TRAM_GAP_M = 300, 8000, 1000
-Stop = tuple[str, float, float]
-
-
-def along(track: list[tuple[float, float]], x: float, y: float) -> tuple[float, float]:
-    """How far along a track its point nearest to (x, y) is, and how far away."""
-    best, done = (math.inf, 0.0), 0.0
-    for (ax, ay), (bx, by) in zip(track, track[1:], strict=False):
-        length = math.hypot(bx - ax, by - ay)
-        t = max(0.0, min(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / (length * length or 1.0)))
-        away = math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay))
-        best = min(best, (away, done + t * length))
-        done += length
-    return best[1], best[0]
-
-
-def ordered(stops: list[tuple[str, float, float, bool]], track: list[tuple[float, float]] | None) -> tuple[list[Stop], list[float]]:
-    """Stops (id, x, y, terminus) in order, and the metres between them: along the track if all are near it, else from a terminus (or
-    the most eccentric stop) always to the nearest left."""
-    if track and len(track) > 1:
-        placed = [(*along(track, s[1], s[2]), s) for s in stops]
-        if max(p[1] for p in placed) < TRACK_M:
-            placed.sort(key=lambda p: p[0])
-            return [p[2][:3] for p in placed], [b[0] - a[0] for a, b in zip(placed, placed[1:], strict=False)]
-    cx, cy = (sum(s[k] for s in stops) / len(stops) for k in (1, 2))
-    here = next((s for s in stops if s[3]), None) or max(stops, key=lambda s: math.hypot(s[1] - cx, s[2] - cy))
-    out, left = [here], [s for s in stops if s is not here]
-    while left:
-        here = min(left, key=lambda s: math.hypot(s[1] - here[1], s[2] - here[2]))
-        left.remove(here)
-        out.append(here)
-    return [s[:3] for s in out], [math.hypot(a[1] - b[1], a[2] - b[2]) * DETOUR for a, b in zip(out, out[1:], strict=False)]
-
-
-def _ways(section: tuple[list[Stop], list[float], str]):
-    stops, metres, operation = section
-    yield stops, metres
-    yield stops[::-1], metres[::-1]
-
-
-def _shared_end(a, b):
-    """a and b as one if they end at one stop and share no other, in the first of the four ways that fits."""
-    for second in _ways(b):
-        for first in _ways(a):
-            if first[0][-1][0] == second[0][0][0] and not {s[0] for s in first[0]} & {s[0] for s in second[0][1:]}:
-                return first[0] + second[0][1:], first[1] + second[1], a[2]
-    return None
 
 
-def _gap(a, b, metro: bool):
-    """The nearest two ends of sections without a common stop, as (metres, joined); None if too far."""
-    if {s[0] for s in a[0]} & {s[0] for s in b[0]}:
+def along(track: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each point its nearest point of a track (rows x, y): how far along the track it is, and how far away. Every point meets every segment at once."""
+    begin, step = track[:-1], np.diff(track, axis=0)
+    length = np.hypot(*step.T)
+    done = np.concatenate([[0.0], np.cumsum(length)[:-1]])
+    t = np.clip(((points[:, None] - begin) * step).sum(2) / np.where(length > 0, length**2, 1.0), 0.0, 1.0)
+    away = np.hypot(*np.moveaxis(points[:, None] - begin - t[..., None] * step, 2, 0))
+    best = np.lexsort((done + t * length, away), axis=1)[:, 0]
+    at = np.arange(len(points))
+    return (done + t * length)[at, best], away[at, best]
+
+
+@dataclass(frozen=True)
+class Section:
+    """Stops (id, x, y) in order, the metres between them, and the operation that builds it."""
+
+    stops: tuple
+    metres: tuple
+    operation: str
+
+    @property
+    def ends(self) -> tuple:
+        return self.stops[0][0], self.stops[-1][0]
+
+    def turned(self) -> Section:
+        return Section(self.stops[::-1], self.metres[::-1], self.operation)
+
+    def apart(self, other: Section, but: int = 0) -> bool:
+        """Whether no more than `but` stops are common."""
+        return len({s[0] for s in self.stops} & {s[0] for s in other.stops}) <= but
+
+
+def ordered(stops: list[tuple], track: list[tuple] | None, operation: str = "") -> Section:
+    """A section of stops (id, x, y, terminus): along the track if all are near it, else a chain from a terminus (or the stop farthest from the middle),
+    always to the nearest one left, with the usual detour."""
+    at = np.array([s[1:3] for s in stops], float)
+    if track is not None and len(track) > 1:
+        place, away = along(np.array(track, float), at)
+        if away.max() < TRACK_M:
+            order = np.argsort(place, kind="stable")
+            return Section(tuple(tuple(stops[k][:3]) for k in order), tuple(np.diff(place[order]).tolist()), operation)
+    termini = [k for k, s in enumerate(stops) if s[3]]
+    order = [termini[0] if termini else int(np.argmax(np.hypot(*(at - at.mean(0)).T)))]
+    apart = np.hypot(*np.moveaxis(at[:, None] - at, 2, 0))
+    metres = []
+    left = np.ones(len(stops), bool)
+    while len(order) < len(stops):
+        left[order[-1]] = False
+        distance = np.where(left, apart[order[-1]], np.inf)
+        order.append(int(distance.argmin()))
+        metres.append(float(distance.min()) * DETOUR)
+    return Section(tuple(tuple(stops[k][:3]) for k in order), tuple(metres), operation)
+
+
+def _glued(a: Section, b: Section) -> Section | None:
+    """a and b as one where they share an end and nothing else; b keeps its direction if it can, then a."""
+    shared = set(a.ends) & set(b.ends)
+    if not shared or not a.apart(b, 1):
         return None
-    limit = METRO_GAP_M if metro else TRAM_GAP_M if a[2] == b[2] else 0
-    found = [(math.hypot(f[0][-1][1] - s[0][0][1], f[0][-1][2] - s[0][0][2]), n, f, s) for n, (s, f) in enumerate((s, f) for s in _ways(b) for f in _ways(a))]
-    d, _, f, s = min(found, key=lambda x: x[:2])
-    return (d, (f[0] + s[0], f[1] + [d * DETOUR] + s[1], a[2])) if d < limit else None
-
-
-def joined(sections: list[tuple[list[Stop], list[float], str]], metro: bool) -> list[tuple[list[Stop], list[float], str]]:
-    """Sections joined at shared ends until none is left to join, then at their nearest ends, the nearest two first."""
-    out = list(sections)
-    again = True
-    while again:
-        again = False
-        for i in range(len(out)):
-            for j in range(i + 1, len(out)):
-                if (one := _shared_end(out[i], out[j])) is not None:
-                    out[i] = one
-                    del out[j]
-                    again = True
-                    break
-            if again:
-                break
-    while True:
-        gaps = [(g[0], i, j, g[1]) for i in range(len(out)) for j in range(i + 1, len(out)) if (g := _gap(out[i], out[j], metro)) is not None]
-        if not gaps:
-            return out
-        _, i, j, one = min(gaps, key=lambda g: g[:3])
-        out[i] = one
-        del out[j]
-
+    for second in (b, b.turned()):
+        if second.ends[0] in shared:
+            first = a if a.ends[1] == second.ends[0] else a.turned()
+            return Section(first.stops + second.stops[1:], first.metres + second.metres, a.operation)
+    return None
 
-def routes(stops: DataFrame, by: tuple[str, str] = ("mode", "line")) -> DataFrame:
-    """mode, line, section, pos, stop, metres (to the next one) of stops (mode, line, operation, phase, stop, x, y, terminus)."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+def _bridge(a: Section, b: Section, metro: bool) -> tuple[float, Section] | None:
+    """The metres between the nearest ends of sections without a common stop, and both as one over that gap; None if it is too wide."""
+    if not a.apart(b):
+        return None
+    ways = [(math.dist(first.stops[-1][1:], second.stops[0][1:]), n, first, second) for n, (second, first) in enumerate((s, f) for s in (b, b.turned()) for f in (a, a.turned()))]
+    gap, _, first, second = min(ways, key=lambda w: w[:2])
+    if gap >= (METRO_GAP_M if metro else TRAM_GAP_M if a.operation == b.operation else 0):
+        return None
+    return gap, Section(first.stops + second.stops, (*first.metres, gap * DETOUR, *second.metres), a.operation)
+
+
+def joined(sections: list[Section], metro: bool) -> list[Section]:
+    """Sections joined at shared ends, then over the narrowest gaps.
+
+    Shared ends go by an index from end stops to sections. A section takes in the first later one that fits until none does; no earlier one can
+    fit it then, as it only gets more stops. Gaps wait in a queue, the narrowest first; a joined section's gaps are measured anew.
+    """
+    parts: dict[int, Section] = dict(enumerate(sections))
+    at_end: dict[object, set[int]] = {}
+    for k, s in parts.items():
+        for e in s.ends:
+            at_end.setdefault(e, set()).add(k)
+    for k in range(len(sections)):
+        while k in parts:
+            later = sorted(j for e in parts[k].ends for j in at_end[e] if j > k)
+            one, j = next(((g, j) for j in later if (g := _glued(parts[k], parts[j])) is not None), (None, None))
+            if one is None:
+                break
+            for n in (k, j):
+                for e in parts[n].ends:
+                    at_end[e].discard(n)
+            parts[k] = one
+            del parts[j]
+            for e in one.ends:
+                at_end[e].add(k)
+    age = dict.fromkeys(parts, 0)
+    queue: list[tuple] = []
+
+    def measured(i: int, j: int) -> None:
+        if (b := _bridge(parts[i], parts[j], metro)) is not None:
+            heapq.heappush(queue, (b[0], i, j, age[i], age[j], b[1].stops, b[1]))
+
+    for i in parts:
+        for j in parts:
+            if i < j:
+                measured(i, j)
+    while queue:
+        _, i, j, old, other, _, one = heapq.heappop(queue)
+        if i in parts and j in parts and (age[i], age[j]) == (old, other):
+            parts[i] = one
+            age[i] += 1
+            del parts[j]
+            for k in parts:
+                if k != i:
+                    measured(min(i, k), max(i, k))
+    return [parts[k] for k in sorted(parts)]
+
+
+def routes(stops: DataFrame, tracks: DataFrame | None = None, by: tuple[str, str] = ("mode", "line")) -> DataFrame:
+    """mode, line, section, pos, stop, metres (to the next one) of stops (mode, line, operation, phase, stop, x, y, terminus). tracks (mode, line, operation,
+    phase, points: array of structs x, y): the drawn lines, where there are any; a null phase is that of stops with a null one."""
+
+    def run(rows: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        named = lambda part: {(o, None if pd.isna(p) else p): own for (o, p), own in part.groupby(["operation", "phase"], dropna=False, sort=True)}
+        lines = {k: [(p["x"], p["y"]) for p in own["points"].iloc[0]] for k, own in named(drawn).items()} if len(drawn) else {}
         sections = []
-        for (operation, _), part in rows.groupby(["operation", "phase"], dropna=False, sort=True):
-            each = part.drop_duplicates("stop")
-            order, metres = ordered(list(each[["stop", "x", "y", "terminus"]].itertuples(index=False, name=None)), None)
-            if len(order) >= 2:
-                sections.append((order, metres, operation))
+        for key, part in named(rows).items() if len(rows) else ():
+            each = part.drop_duplicates("stop").sort_values("stop", kind="stable")
+            made = ordered(list(each[["stop", "x", "y", "terminus"]].itertuples(index=False, name=None)), lines.get(key), key[0])
+            if len(made.stops) >= 2:
+                sections.append(made)
+        if not sections:
+            return pd.DataFrame(columns=["mode", "line", "section", "pos", "stop", "metres"])
         mode, line = rows[by[0]].iloc[0], rows[by[1]].iloc[0]
-        out = [(mode, line, n, k, s[0], m) for n, (order, metres, _) in enumerate(joined(sections, mode == "métro")) for k, (s, m) in enumerate(zip(order, [*metres, None], strict=True))]
+        out = [(mode, line, n, k, s[0], m) for n, one in enumerate(joined(sections, mode == "métro")) for k, (s, m) in enumerate(zip(one.stops, [*one.metres, None], strict=True))]
         return pd.DataFrame(out, columns=["mode", "line", "section", "pos", "stop", "metres"])
 
-    return stops.groupBy(*by).applyInPandas(run, "mode string, line string, section long, pos long, stop string, metres double")
+    schema = "mode string, line string, section long, pos long, stop string, metres double"
+    if tracks is None:
+        return stops.groupBy(*by).applyInPandas(lambda rows: run(rows, rows.iloc[:0]), schema)
+    return stops.groupBy(*by).cogroup(tracks.groupBy(*by)).applyInPandas(run, schema)

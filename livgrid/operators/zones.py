@@ -14,10 +14,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from livgrid.functions.text import BASE_NETWORKS
+
 #: Fixed values of the data model.
 UNREACHABLE_S = 65535
 UNREACHABLE_MIN = 255
-BASE_NETWORKS = ("metro", "rer", "train")
 OPTIONAL_NETWORK = r"gpe\d{8}|tram[0-9a-z]+(_\d{8})?"
 LAYER_KEY = r"[a-z0-9_]+"
 
@@ -62,6 +63,22 @@ class ZoneQuery:
         return out
 
 
+def details(query: ZoneQuery, time: Column | None, columns: Sequence[str], names: dict[str, str] | None = None) -> dict[str, tuple[Column, Column, Column]]:
+    """The criteria of a query with the value that a cell has and the threshold, in units; pollutants each for itself."""
+    tests = query.criteria(time, columns, names)
+    named = lambda k: (names or {}).get(k, k)
+    limits = {"walk": query.walk, "index": query.index, "road": query.road, "rail": query.rail, "dest": query.dest_max, "price": query.price_max}
+    values = {"walk": (F.lit(UNREACHABLE_S) if time is None else time) / 60, "index": named("index"), "road": named("road"), "rail": named("rail"), "dest": named(f"dest_{query.dest_key}"), "price": named(query.price_layer) if query.price_layer else None}
+    out: dict[str, tuple[Column, Column, Column]] = {}
+    for k, test in tests.items():
+        if k == "air":
+            out |= {p: (F.col(named(p)) <= v * 10 + 0.5, F.col(named(p)) / 10, F.lit(v)) for p, v in query.air.items() if named(p) in columns}
+        else:
+            value = F.col(values[k]) if isinstance(values[k], str) else values[k]
+            out[k] = (test, value, F.lit(limits[k]))
+    return out
+
+
 def _all(conditions: Sequence[Column]) -> Column:
     out = F.lit(True)
     for c in conditions:
@@ -104,3 +121,15 @@ def rollup_areas(areas: DataFrame, criteria: Sequence[str]) -> DataFrame:
 def exclusion_reasons(criteria: dict[str, Column]) -> Column:
     """The names of the criteria that a cell fails, in order; a null test counts as failed."""
     return F.array_compact(F.array(*(F.when(~F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in criteria.items())))
+
+
+def exclusion_details(criteria: dict[str, tuple[Column, Column, Column]]) -> Column:
+    """The criteria (test, value, threshold) that a cell fails, in order, as structs (criterion, value, threshold)."""
+    one = lambda k, test, value, threshold: F.when(~F.coalesce(test, F.lit(False)), F.struct(F.lit(k).alias("criterion"), value.cast("double").alias("value"), threshold.cast("double").alias("threshold")))
+    return F.array_compact(F.array(*(one(k, *c) for k, c in criteria.items())))
+
+
+def with_station(cells: DataFrame, stations: DataFrame, rank: str, out: str, columns: Sequence[str] = ("zdc", "nom")) -> DataFrame:
+    """cells (code, a station's rank in its municipality) with a struct of that station's columns; null where no station has the rank. stations: code, rank."""
+    named = stations.select("code", F.col("rank").alias(rank), F.struct(*columns).alias(out))
+    return cells.join(named, ["code", rank], "left")

@@ -59,10 +59,11 @@ def shortest_path_weighted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shortest_path_grouped(spark: SparkSession, d: str) -> DataFrame:
-    """The same by a heap in one task a group: even and odd steps are the two groups."""
-    edges = graph_edges(spark, d).select((F.col("src") % 1).alias("g"), "src", "dst", F.col("sec").cast("double").alias("sec"))
-    out = graph.grouped_paths(edges, _sources(spark).withColumn("g", F.lit(0).cast("bigint")).select("g", "node", "cost", "source"), ["g"], 30.0)
-    return out.select("node", F.col("dist").cast("bigint").alias("dist"), "source")
+    """The same by a heap in one task a group. Groups are copies of the graph: from both sources, and from either alone."""
+    copies = F.explode(F.array(*(F.lit(g).cast("bigint") for g in range(3)))).alias("g")
+    edges = graph_edges(spark, d).select(copies, "src", "dst", F.col("sec").cast("double").alias("sec"))
+    sources = _sources(spark).select(copies, "node", "cost", "source").filter("g = 0 OR g = source")
+    return graph.grouped_paths(edges, sources, ["g"], 30.0).select("g", "node", F.col("dist").cast("bigint").alias("dist"), "source")
 
 
 def door_to_door(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +89,14 @@ t AS (SELECT ['residential', 'motorway', 'footway', 'steps', 'cycleway', 'racewa
   ['', 'yes', 'no', '', ''][l_partkey // 7 % 5 + 1] AS bi, ['', 'yes', '-1', 'no'][l_partkey // 3 % 4 + 1] AS ow, ['', '', 'roundabout'][l_suppkey // 5 % 3 + 1] AS ju, ['', '', '', 'opposite_lane'][l_suppkey // 3 % 4 + 1] AS cl FROM f)"""
 _HOPS = lambda start: f"""WITH RECURSIVE {_E}, r AS (SELECT node, hops, source FROM (VALUES {start}) v(node, hops, source) UNION SELECT e.dst, r.hops + 1, r.source FROM r JOIN e ON e.src = r.node WHERE r.hops < 4),
   m AS (SELECT node, min(hops * 1000 + source) AS k FROM r GROUP BY ALL)"""
+_DIST = f"""WITH RECURSIVE {_E}, r AS (SELECT g, node, dist, source FROM (VALUES (0, 1::BIGINT, 0::BIGINT, 1), (0, 2, 0, 2), (1, 1, 0, 1), (2, 2, 0, 2)) v(g, node, dist, source)
+  UNION SELECT r.g, e.dst, r.dist + e.sec, r.source FROM r JOIN e ON e.src = r.node WHERE r.dist + e.sec <= 30), m AS (SELECT g, node, min(dist * 1000 + source) AS k FROM r GROUP BY ALL)"""
+_REACH = lambda name, a, b: f"{name} AS (SELECT node FROM s UNION SELECT e.{b} FROM {name} JOIN e ON e.{a} = {name}.node)"
 ORACLES = {
+    "shortest_path_weighted": f"{_DIST} SELECT node, CAST(k // 1000 AS BIGINT) AS dist, CAST(k % 1000 AS BIGINT) AS source FROM m WHERE g = 0",
+    "shortest_path_grouped": f"{_DIST} SELECT CAST(g AS BIGINT) AS g, node, CAST(k // 1000 AS BIGINT) AS dist, CAST(k % 1000 AS BIGINT) AS source FROM m",
+    "strongly_connected": f"""WITH RECURSIVE {_E}, d AS (SELECT node, count(*) AS n FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY ALL),
+  s AS MATERIALIZED (SELECT node FROM d ORDER BY n DESC, node LIMIT 1), {_REACH('f', 'src', 'dst')}, {_REACH('b', 'dst', 'src')} SELECT node FROM f JOIN b USING (node)""",
     "graph_edges": f"WITH {_E} SELECT * FROM e",
     "way_rules_walk": f"""WITH {_W} SELECT hw AS highway, NOT (hw IN ('motorway', 'raceway') AND foot NOT IN ('yes', 'designated')) AND foot <> 'no' AND NOT (acc = 'private' AND foot NOT IN ('yes', 'designated')) AS ok, count(*) AS n FROM t GROUP BY ALL""",
     "way_rules_bike": f"""WITH {_W}, s AS (SELECT hw, CASE WHEN bi = 'no' OR hw = 'steps' OR acc = 'private' AND bi <> 'yes' THEN NULL WHEN hw IN ('residential', 'cycleway') OR bi = 'yes' THEN 15 WHEN hw = 'footway' THEN 6 END AS speed,

@@ -9,13 +9,14 @@ from livgrid.operators import catalog
 from livgrid.sources.tables import table
 
 NOW = "1998-09-01 00:00:00"
-SOURCES = ("osm", "airparif", "communes", "dvf", "transit")
+SOURCES = ("osm", "airparif", "quartiers", "dvf", "transit")
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp").alias("mtime"), "o_orderpriority")
     number = F.substring("o_orderpriority", 1, 1).cast("int")
-    return o.select(F.element_at(F.array(*map(F.lit, SOURCES)), number).alias("source"), F.when(F.col("o_custkey") % 2 == 0, (F.col("o_custkey") % 25).cast("string")).alias("code"), "mtime", "o_orderkey")
+    source = F.element_at(F.array(*map(F.lit, SOURCES)), number)
+    return o.select(source.alias("source"), F.when(source != "dvf", F.col("o_custkey").cast("string")).alias("code"), "mtime", "o_orderkey")
 
 
 def freshness(spark: SparkSession, d: str) -> DataFrame:
@@ -23,11 +24,11 @@ def freshness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stale_places(spark: SparkSession, d: str) -> DataFrame:
-    """What to rebuild by place, when only files with a code of their own count, and an earlier run left some."""
-    codes = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("code"))
-    files = _files(spark, d).filter("code IS NOT NULL AND o_orderkey % 11 = 0 OR source = 'dvf'")
+    """What to rebuild by place (customers, their orders as files), and why, when an earlier run left some."""
+    codes = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("code"))
     pending = codes.filter("code IN ('1', '2')").select("code", F.when(F.col("code") == "1", F.array(F.lit("bruit"))).alias("groups"))
-    return catalog.stale_groups(files, codes, F.lit(NOW).cast("timestamp"), pending, 500).select("code", F.array_join("groups", ",").alias("groups"))
+    stale = catalog.stale_groups(_files(spark, d), codes, F.lit(NOW).cast("timestamp"), pending, 500)
+    return stale.select("code", F.array_join("groups", ",").alias("groups"), F.array_join("reasons", ",").alias("reasons"))
 
 
 def outdated(spark: SparkSession, d: str) -> DataFrame:
@@ -63,15 +64,16 @@ def reused_layers(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (freshness, stale_places, outdated, air_range, slider_range, coverage, year_ticks, reused_layers)}
 
-_F = f"""f AS (SELECT {list(SOURCES)!r}[CAST(substr(o_orderpriority, 1, 1) AS INT)] AS source, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_custkey % 25 AS VARCHAR) END AS code, CAST(o_orderdate AS TIMESTAMP) AS mtime, o_orderkey FROM orders)"""
+_F = f"""f AS (SELECT {list(SOURCES)!r}[CAST(substr(o_orderpriority, 1, 1) AS INT)] AS source, CASE WHEN substr(o_orderpriority, 1, 1) <> '4' THEN CAST(o_custkey AS VARCHAR) END AS code, CAST(o_orderdate AS TIMESTAMP) AS mtime, o_orderkey FROM orders)"""
 _G = ", ".join(f"('{s}', '{g}')" for s, to in catalog.SOURCE_GROUPS.items() for g in (sorted(catalog.FORMATS) if to == "*" else [to] if to else []))
 _RANGE = lambda v, source: f"""WITH s AS (SELECT {v} AS v FROM {source}), r AS (SELECT min(v) FILTER (v <> 0) AS lo, max(v) FILTER (v <> 0) AS hi FROM s)
   SELECT lo, hi, CAST(floor(lo / 5.0) * 5 AS BIGINT) AS slider_lo, CAST(CASE WHEN floor(lo / 5.0) = ceil(hi / 5.0) THEN ceil(hi / 5.0) * 5 + 5 ELSE ceil(hi / 5.0) * 5 END AS BIGINT) AS slider_hi FROM r"""
 ORACLES = {
     "freshness": f"WITH {_F} SELECT source, count(*) AS files, count(*) FILTER (mtime < TIMESTAMP '{NOW}' - INTERVAL 500 DAY) AS stale, strftime(min(mtime), '%Y-%m-%d') AS oldest FROM f GROUP BY source",
-    "stale_places": f"""WITH {_F}, g(source, grp) AS (VALUES {_G}), o AS (SELECT DISTINCT source, code FROM f WHERE (code IS NOT NULL AND o_orderkey % 11 = 0 OR source = 'dvf') AND mtime < TIMESTAMP '{NOW}' - INTERVAL 500 DAY),
-  u AS (SELECT CAST(n_nationkey AS VARCHAR) AS code, grp FROM nation, o JOIN g USING (source) WHERE o.code IS NULL UNION SELECT code, grp FROM o JOIN g USING (source) WHERE code IS NOT NULL
-    UNION SELECT '1', 'bruit' UNION SELECT '2', unnest(['air', 'bruit', 'destinations', 'grille', 'transport'])) SELECT code, string_agg(grp, ',' ORDER BY grp) AS groups FROM u GROUP BY code""",
+    "stale_places": f"""WITH {_F}, g(source, grp) AS (VALUES {_G}), o AS (SELECT DISTINCT source, code FROM f WHERE mtime < TIMESTAMP '{NOW}' - INTERVAL 500 DAY),
+  u AS (SELECT code, grp, source AS reason FROM o LEFT JOIN g USING (source) WHERE code IS NOT NULL UNION ALL SELECT CAST(c_custkey AS VARCHAR), grp, 'shared' FROM customer, (SELECT DISTINCT grp FROM o JOIN g USING (source) WHERE code IS NULL)
+    UNION ALL SELECT '1', 'bruit', 'pending' UNION ALL SELECT '2', unnest(['air', 'bruit', 'destinations', 'grille', 'transport']), 'pending')
+  SELECT code, coalesce(string_agg(DISTINCT grp, ',' ORDER BY grp), '') AS groups, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM u GROUP BY code""",
     "outdated": """WITH n AS (SELECT n_nationkey AS k FROM nation), v AS (SELECT k, g, now, CASE WHEN k % 6 = 5 THEN k % 15 ELSE now - (CASE WHEN k % m = 0 THEN 1 ELSE 0 END) END AS stored
   FROM n, (VALUES ('grille', 9, 11), ('transport', 13, 3), ('air', 9, 4), ('bruit', 9, 5), ('destinations', 2, 7)) t(g, now, m)) SELECT CAST(k AS VARCHAR) AS code, string_agg(g, ',' ORDER BY g) AS groups FROM v WHERE stored < now GROUP BY k""",
     "air_range": _RANGE("(l_partkey * 13) % 300", "lineitem"),

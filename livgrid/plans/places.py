@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from livgrid.operators import spatial, timetable
+from livgrid.operators import catalog, spatial, timetable
 from livgrid.sources.tables import table
 
 
@@ -62,9 +62,8 @@ def max_level_burn(spark: SparkSession, d: str) -> DataFrame:
 
 def bbox_share(spark: SparkSession, d: str) -> DataFrame:
     """Zones of which a view shows three tenths or more, and the share in whole hundredths of a percent; all are counted, the largest twelve shown."""
-    z = _zones(spark, d).withColumn("share", spatial.share_in_view(F.col("polygon"), 130, 50, 710, 470)).filter("share >= 0.3")
-    total = z.agg(F.count("*").alias("total"))
-    return z.orderBy(F.desc("share"), "zone").limit(12).select("zone", F.floor(F.col("share") * 10000 + 0.5).alias("share")).crossJoin(F.broadcast(total))
+    shown, total = catalog.in_view(_zones(spark, d).withColumnRenamed("zone", "code"), "polygon", 130, 50, 710, 470)
+    return shown.select(F.col("code").alias("zone"), F.floor(F.col("share") * 10000 + 0.5).alias("share")).crossJoin(F.broadcast(total))
 
 
 def _tiling(spark: SparkSession, d: str, width: int, shift: int, name: str) -> DataFrame:
@@ -83,6 +82,7 @@ def rectangle_iou(spark: SparkSession, d: str) -> DataFrame:
 
 
 def neighbourhood_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """Zones rebuilt of units of a tiling that is shifted; zones don't overlap, so none is left for a second chance."""
     return spatial.neighbourhoods(_tiling(spark, d, 200, 60, "unit"), _tiling(spark, d, 200, 0, "zone"), "unit", "zone")
 
 
@@ -99,9 +99,7 @@ def iso_mask(spark: SparkSession, d: str) -> DataFrame:
 
 def tile_enumeration(spark: SparkSession, d: str) -> DataFrame:
     """The tiles of 75 by 50 that nations' boxes touch, both ends included."""
-    z = _zones(spark, d).select("zone", "left", "bottom", "right", "top")
-    series = lambda a, b, n: F.sequence(F.floor(F.col(a) / n), F.floor(F.col(b) / n))
-    return z.select("zone", F.explode(series("bottom", "top", 50)).alias("i"), "left", "right").select("zone", "i", F.explode(series("left", "right", 75)).alias("j"))
+    return catalog.tiles_of(_zones(spark, d), "zone", 50, 75)
 
 
 def label_points(spark: SparkSession, d: str) -> DataFrame:
@@ -115,15 +113,10 @@ def boundary_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def nearest_places(spark: SparkSession, d: str) -> DataFrame:
     """Of each customer's reachable suppliers the three nearest places, suppliers close to each other as one."""
-    import pandas as pd
-
-    near = spatial.radius_join(_customers(spark, d), _suppliers(spark, d), ("x", "y"), ("sx", "sy"), 200).withColumn("project", F.col("s_suppkey") % 7 == 0)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        places = spatial.nearest_places(list(rows[["s_suppkey", "d2", "sx", "sy", "project"]].itertuples(index=False, name=None)), 3, 50, 90)
-        return pd.DataFrame([(rows["c_custkey"].iloc[0], n, "+".join(map(str, p))) for n, p in enumerate(places)], columns=["c_custkey", "place", "stations"])
-
-    return near.groupBy("c_custkey").applyInPandas(run, "c_custkey long, place long, stations string")
+    near = spatial.radius_join(_customers(spark, d), _suppliers(spark, d), ("x", "y"), ("sx", "sy"), 200)
+    near = near.select("c_custkey", F.col("s_suppkey").alias("id"), "d2", F.col("sx").alias("x"), F.col("sy").alias("y"), (F.col("s_suppkey") % 7 == 0).alias("project"))
+    places = spatial.nearest_places(near, "c_custkey", 3, 50, 90)
+    return places.groupBy("c_custkey", "place").agg(F.array_join(F.array_sort(F.collect_list(F.struct("rank", "id")))["id"].cast("array<string>"), "+").alias("stations"))
 
 
 QUERIES = {f.__name__: f for f in (point_in_zone, knn4_within, nearest_supplier, radius_pairs, projected_transfers, rasterize_zones, max_level_burn, bbox_share, polygon_overlap_owner, rectangle_iou, neighbourhood_rebuild, point_to_cell, iso_mask, tile_enumeration, label_points, boundary_lines, nearest_places)}
@@ -138,8 +131,12 @@ _GRID = lambda size, n: f"g AS (SELECT CAST(r AS BIGINT) AS row, CAST(c AS BIGIN
 _TILE = lambda name, width, shift: f"(SELECT row, col, min(zone) AS {name} FROM g, z WHERE gx >= l + {shift} AND gx <= l + {shift} + {width} AND gy >= b + {shift} AND gy <= b + {shift} + {width} GROUP BY ALL)"
 _OVER = lambda a, b: f"""ta AS {a}, tb AS {b}, o AS (SELECT a.id AS a, b.id AS b, count(*) AS common FROM ta a JOIN tb b USING (row, col) GROUP BY ALL),
 na AS (SELECT id, count(*) AS n FROM ta GROUP BY ALL), nb AS (SELECT id, count(*) AS n FROM tb GROUP BY ALL)"""
+_PLACE = lambda n, rest: f"""l{n} AS (SELECT * FROM {rest} QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY d2, id) = 1),
+p{n} AS (SELECT r.c_custkey, r.id, r.d2, CAST({n} AS BIGINT) AS place FROM {rest} r JOIN l{n} l USING (c_custkey) WHERE (r.sx - l.sx) * (r.sx - l.sx) + (r.sy - l.sy) * (r.sy - l.sy) < CASE WHEN r.project OR l.project THEN 8100 ELSE 2500 END),
+r{n} AS (SELECT r.* FROM {rest} r ANTI JOIN p{n} p ON p.c_custkey = r.c_custkey AND p.id = r.id)"""
+_PLACES = ", ".join((_PLACE(0, "n"), _PLACE(1, "r0"), _PLACE(2, "r1")))
 ORACLES = {
-    "point_in_zone": f"WITH {_P} SELECT zone, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM c JOIN z ON x >= l AND x < l + 250 AND y >= b AND y < b + 250 GROUP BY ALL",
+    "point_in_zone": f"WITH {_P} SELECT zone, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM c JOIN z ON x > l AND x < l + 250 AND y > b AND y < b + 250 GROUP BY ALL",
     "knn4_within": f"WITH {_P} SELECT c_custkey, s_suppkey, d2, row_number() OVER (PARTITION BY c_custkey ORDER BY d2, s_suppkey) AS rank FROM dd WHERE d2 < 10000 QUALIFY rank <= 4",
     "nearest_supplier": f"WITH {_P} SELECT c_custkey, s_suppkey, d2 FROM dd QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY d2, s_suppkey) = 1",
     "radius_pairs": f"WITH {_P}, {_R} SELECT a, b, d2 FROM r",
@@ -155,6 +152,14 @@ ORACLES = {
     "point_to_cell": f"WITH {_P} SELECT CAST(floor((1000 - y) / 25.0) AS BIGINT) AS row, x // 25 AS col, count(*) AS n FROM c GROUP BY ALL",
     "iso_mask": f"WITH {_P} SELECT DISTINCT c_nationkey, y // 25 AS row, x // 25 AS col FROM dd WHERE d2 <= 22500 AND c_nationkey = s_nationkey",
     "tile_enumeration": f"WITH {_P} SELECT zone, i, j FROM z, range(21) a(i), range(14) b(j) WHERE i BETWEEN z.b // 50 AND (z.b + 200) // 50 AND j BETWEEN l // 75 AND (l + 200) // 75",
+    "label_points": f"WITH {_P} SELECT zone, CAST(l + 100 AS DOUBLE) AS x, CAST(b + 100 AS DOUBLE) AS y FROM z",
+    "neighbourhood_rebuild": f"""WITH {_P}, {_GRID(20, 60)}, {_OVER(_TILE('id', 200, 60), _TILE('id', 200, 0))}, cv AS (SELECT a, sum(common) AS covered FROM o GROUP BY ALL),
+  w AS (SELECT o.a, o.b FROM o JOIN cv USING (a) JOIN na ON na.id = o.a WHERE 2 * covered >= na.n QUALIFY row_number() OVER (PARTITION BY o.a ORDER BY common DESC, o.b) = 1),
+  r AS (SELECT w.b, count(*) AS cells, count(*) FILTER (tb.id = w.b) AS common FROM ta JOIN w ON w.a = ta.id LEFT JOIN tb USING (row, col) GROUP BY w.b),
+  j AS (SELECT nb.id AS b, coalesce(10 * common >= 6 * (cells + nb.n - common), false) AS fits FROM nb LEFT JOIN r ON r.b = nb.id)
+  SELECT w.a AS unit, w.b AS zone, j.fits, (SELECT 2 * count(*) FILTER (NOT fits) > count(*) FROM j) AS abandoned FROM w JOIN j USING (b)""",
+    "nearest_places": f"""WITH {_P}, n AS (SELECT c_custkey, s_suppkey AS id, d2, sx, sy, s_suppkey % 7 = 0 AS project FROM dd WHERE d2 <= 40000), {_PLACES}
+  SELECT c_custkey, place, string_agg(CAST(id AS VARCHAR), '+' ORDER BY d2, id) AS stations FROM (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2) GROUP BY ALL""",
     "boundary_lines": """WITH e AS (SELECT n_nationkey AS zone, n_nationkey % 5 AS c, n_nationkey // 5 AS r FROM nation),
   s AS (SELECT zone, 'h' || c || '_' || r AS k FROM e UNION ALL SELECT zone, 'h' || c || '_' || (r + 1) FROM e UNION ALL SELECT zone, 'v' || c || '_' || r FROM e UNION ALL SELECT zone, 'v' || (c + 1) || '_' || r FROM e),
   u AS (SELECT k, CAST(min(zone) AS BIGINT) AS zone, count(*) > 1 AS shared FROM s GROUP BY k) SELECT zone, shared, count(*) AS n FROM u GROUP BY ALL""",

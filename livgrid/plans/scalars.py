@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from livgrid.functions import geo, numbers, text
+from livgrid.operators import catalog, prices
 from livgrid.sources.tables import table
 
 
 def name_search(spark: SparkSession, d: str) -> DataFrame:
     """Search ranking over customers: names that start with the query first, then the larger balance, ten at most."""
-    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
-    hit = c.filter(text.matches_search(F.col("c_name"), F.col("c_custkey").cast("string"), "10"))
-    first = text.fold(F.col("c_name")).startswith("10")
-    return hit.orderBy(F.when(first, 0).otherwise(1), F.col("c_acctbal").desc_nulls_last(), "c_custkey").limit(10).select("c_custkey", "c_name")
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("code"), "c_name", "c_acctbal")
+    return catalog.search(c, "10", "c_name", "code", "c_acctbal").select("c_custkey", "c_name")
 
 
 def client_fold_search(spark: SparkSession, d: str) -> DataFrame:
@@ -25,8 +24,7 @@ def client_fold_search(spark: SparkSession, d: str) -> DataFrame:
 
 def code_prefix_recode(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select("p_brand")
-    code = F.when(F.col("p_brand").startswith("Brand#1"), "Brand#10").otherwise(F.col("p_brand"))
-    return p.groupBy(code.alias("code")).agg(F.count("*").alias("n"))
+    return p.groupBy(prices.recoded(F.col("p_brand"), "Brand#1", "Brand#10").alias("code")).agg(F.count("*").alias("n"))
 
 
 def clock_to_seconds(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +122,7 @@ _HEX = "(CASE WHEN x <= 0.04045 THEN x / 12.92 ELSE pow((x + 0.055) / 1.055, 2.4
 _LIN = lambda k: _HEX.replace("x", f"(CAST(('0x' || substr(colour, {2 + 2 * k}, 2)) AS INT) / 255.0)")
 ORACLES = {
     "name_search": f"""SELECT c_custkey, c_name FROM customer WHERE {_FOLD.format('c_name')} LIKE '%10%' OR CAST(c_custkey AS VARCHAR) LIKE '10%'
-  ORDER BY CASE WHEN {_FOLD.format('c_name')} LIKE '10%' THEN 0 ELSE 1 END, c_acctbal DESC NULLS LAST, c_custkey LIMIT 10""",
+  ORDER BY CASE WHEN {_FOLD.format('c_name')} LIKE '10%' THEN 0 ELSE 1 END, c_acctbal DESC NULLS LAST, CAST(c_custkey AS VARCHAR) LIMIT 10""",
     "client_fold_search": """WITH k AS (SELECT p_partkey, regexp_replace(regexp_replace(strip_accents(lower('Sainte-' || p_name || ' l''Été saint')), '\\bsaint(e?)\\b', 'st\\1', 'g'), '[^a-z0-9]', '', 'g') AS key FROM part)
   SELECT p_partkey, key FROM k WHERE key LIKE '%ste%' ORDER BY CASE WHEN key LIKE 'ste%' THEN 0 ELSE 1 END, key, p_partkey LIMIT 10""",
     "code_prefix_recode": "SELECT CASE WHEN p_brand LIKE 'Brand#1%' THEN 'Brand#10' ELSE p_brand END AS code, count(*) AS n FROM part GROUP BY ALL",

@@ -54,15 +54,39 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def settled(spark: SparkSession, path: str) -> bool:
+    """Ends a swap that broke off: a finished new table goes in, else the old one comes back. Whether there is a table then."""
+    (fs, at), (_, new), (_, old) = _fs(spark, path), _fs(spark, path + ".new"), _fs(spark, path + ".old")
+    if not fs.exists(at):
+        done = _fs(spark, path + ".new/_SUCCESS")[1]
+        back = new if fs.exists(done) else old if fs.exists(old) else None
+        if back is not None and not fs.rename(back, at):
+            raise OSError(f"{back} could not take the place of {path}")
+    for rest in (new, old):
+        if fs.exists(at) and fs.exists(rest):
+            fs.delete(rest, True)
+    return fs.exists(at)
+
+
 def swap(df: DataFrame, path: str) -> None:
-    """Writes beside a table and renames: a reader sees the old or the new one, and a failed write leaves the old."""
+    """Writes beside a table, sets the old one aside, and renames: a failed write leaves the old one, and a break between the renames is mended by the next
+    `settled`, as one of both is always there."""
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(path + ".new")
-    fs, at = _fs(spark, path)
-    _, new = _fs(spark, path + ".new")
-    fs.delete(at, True)
+    (fs, at), (_, new), (_, old) = _fs(spark, path), _fs(spark, path + ".new"), _fs(spark, path + ".old")
+    fs.delete(old, True)
+    if fs.exists(at) and not fs.rename(at, old):
+        raise OSError(f"{path} could not be set aside")
     if not fs.rename(new, at):
         raise OSError(f"{path}.new could not take the place of {path}")
+    fs.delete(old, True)
+
+
+def remove_and_index(spark: SparkSession, tables: dict[str, str], code: str, stations: str, accesses: str) -> tuple[DataFrame, DataFrame]:
+    """Deletes a place's partitions of the tables (name to path) and gives the index of what is left (paths of stations and accesses)."""
+    for path in tables.values():
+        remove_place(spark, path, code)
+    return index_of(spark.read.parquet(stations).filter(F.col("code") != code), spark.read.parquet(accesses).filter(F.col("code") != code))
 
 
 def remove_place(spark: SparkSession, path: str, code: str) -> bool:

@@ -35,6 +35,33 @@ def test_statistics(engine):
         engine.stats({"mode": "car"})
 
 
+def test_hover_names_stations_neighbourhood_and_price(spark, engine):
+    cells = engine.table("cells").withColumn("station_walk_rer", F.when(F.col("col") == 0, 1).otherwise(None).cast("int"))
+    cells.write.partitionBy("code").parquet(engine.folder + "/more")
+    table, engine.table = engine.table, lambda name: spark.read.parquet(f"{engine.folder}/{'more' if name == 'cells' else name}")
+    stations = spark.createDataFrame([("A1", 0, "z0", "Zero"), ("A1", 1, "z1", "One"), ("B1", 1, "z9", "Other")], "code string, rank int, zdc string, nom string")
+    parts = spark.createDataFrame([("A1", "North"), ("A1", "South")], "code string, nom string").withColumn("polygon", spatial.rectangle(F.lit(0), F.when(F.col("nom") == "North", 50).otherwise(0), F.lit(100), F.when(F.col("nom") == "North", 100).otherwise(50)))
+    prices = spark.createDataFrame([("A1", None, "maison", 50, 4000), ("A1", "North", "maison", 3, None), ("A1", "South", "maison", 20, 5000)], "code string, nom string, type string, n int, med int")
+    request = {"networks": ["rer"], "walk": 5, "air": {"no2": 4.0}, "prix_type": "maison", "prix_max": 2000}
+    for y, name, price, fallback in ((70.0, "North", 4000, True), (20.0, "South", 5000, False)):
+        r = engine.hover(request, "A1", 0, 0, (10.0, y), stations, parts, prices).first()
+        assert (r["neighbourhood"], r["price"], r["price_fallback"], r["station_walk"]["nom"], r["best_walk"]["time"], r["best_bike"]) == (name, price, fallback, "One", 600, None)
+        assert [(d["criterion"], d["value"], d["threshold"]) for d in r["details"]] == [("walk", 10.0, 5.0), ("no2", 5.0, 4.0), ("price", 3000.0, 2000.0)]
+    assert engine.hover(request, "A1", 0, 1, stations=stations).first()["station_walk"] is None
+    engine.table = table
+
+
+def test_cells_are_kept_by_build(spark, engine):
+    meta = spark.createDataFrame([("A1", 15, None, "2024-01-01")], "code string, format int, formats map<string,int>, built string")
+    meta.write.mode("overwrite").parquet(engine.folder + "/meta")
+    first = engine.place_cells("A1")
+    assert engine.place_cells("A1") is first and first.count() == 2
+    meta.withColumn("built", F.lit("2024-02-02")).write.mode("overwrite").parquet(engine.folder + "/meta")
+    assert engine.place_cells("A1") is not first
+    engine.delete("B1")
+    assert {r["code"] for r in engine.table("cells").select("code").distinct().collect()} == {"A1"}
+
+
 def test_look_ups(engine):
     assert [r["code"] for r in engine.search("alph").collect()] == ["A1", "B1"] and [r["code"] for r in engine.at(150, 50).collect()] == ["B1"]
     shown, total, most = engine.bbox(0, 0, 140, 100)
@@ -42,7 +69,7 @@ def test_look_ups(engine):
     cell = engine.hover({"networks": ["rer"], "walk": 10, "route": 65}, "A1", 0, 1).first()
     assert cell["reasons"] == ["walk", "road"] and cell["noise"] == "70–75 dB" and engine.cell_of(20.0, 95.0, 0.0, 100.0) == (0, 1)
     now = F.lit("2024-01-01").cast("timestamp")
-    assert {r["source"]: r["stale"] for r in engine.freshness(now).collect()} == {"osm": 1, "dvf": 1} and [tuple(r) for r in engine.to_refresh(now).collect()] == [("A1", ["transport"])]
+    assert {r["source"]: r["stale"] for r in engine.freshness(now).collect()} == {"osm": 1, "dvf": 1} and [tuple(r) for r in engine.to_refresh(now).collect()] == [("A1", ["transport"], ["osm"])]
     assert engine.to_rebuild().first()["groups"] == ["air", "bruit", "destinations", "grille", "transport"]
     engine.check_codes(["A1"])
     with pytest.raises(ValueError):

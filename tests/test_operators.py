@@ -1,5 +1,7 @@
+import itertools
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,7 +50,7 @@ def test_services_and_connections(spark):
     assert {r["service"] for r in timetable.active_services(regular, exceptions).collect()} == {"a", "c"}
     rows = [("t", 9, "x", 10, 9), ("t", 10, "y", 20, 19), ("t", 11, "z", 30, 29), ("u", 1, "x", 5, 4)]
     out = timetable.connections(spark.createDataFrame(rows, "trip string, seq int, stop string, dep int, arr int"))
-    assert sorted(tuple(r) for r in out.collect()) == [("t", "x", "y", 10, 19), ("t", "y", "z", 20, 29)]
+    assert sorted(tuple(r) for r in out.collect()) == [("t", "x", "y", 10, 19, 9), ("t", "y", "z", 20, 29, 10)]
     assert timetable.within_window(out, 29, 20).count() == 1 and timetable.within_window(out, 29, 19).count() == 0
 
 
@@ -67,6 +69,9 @@ def test_durations(spark):
     assert (r["median"], r["p10"], r["p90"], r["line"], r["proj"]) == (8.5, 7.3, 9.7, "B", 0.25)
 
 
+NEVER = 10**9
+
+
 def slow_profiles(conns, walks, targets, stops, times):
     """Earliest arrival by exhaustive search over states, for each stop and time."""
     conns = sorted(conns, key=lambda c: (c[3], c[4]))
@@ -74,9 +79,9 @@ def slow_profiles(conns, walks, targets, stops, times):
     def ride(i, seen):
         """The earliest end after taking connection i."""
         trip, _, b, _, arr, *_ = conns[i]
-        best = profile.NEVER
+        best = NEVER
         for t in targets:
-            best = min(best, arr if b == t else profile.NEVER, *(arr + s for a, z, s in walks if a == b and z == t), profile.NEVER)
+            best = min(best, arr if b == t else NEVER, *(arr + s for a, z, s in walks if a == b and z == t), NEVER)
         for j, c in enumerate(conns):
             if j in seen:
                 continue
@@ -89,7 +94,7 @@ def slow_profiles(conns, walks, targets, stops, times):
     out = {}
     for stop in stops:
         for t in times:
-            best = profile.NEVER
+            best = NEVER
             for i, c in enumerate(conns):
                 if c[1] == stop and c[3] >= t or any(a == stop and z == c[1] and c[3] - s >= t for a, z, s in walks):
                     best = min(best, ride(i, {i}))
@@ -111,17 +116,37 @@ def test_profile_scan_equals_exhaustive_search(seed):
             conns.append((trip, here, there, t, t + run, f"L{trip}", trip == 1))
             here, t = there, t + run + rng.randrange(1, 90)
     walks = [("a", "b", 120), ("b", "a", 120)]
-    found = profile.scan(conns, walks, ["e"])
-    slow = slow_profiles(conns, walks, ["e"], stops, range(0, 1200, 60))
-    for (stop, t), end in slow.items():
-        assert (found[stop].next(t)[0] if stop in found else profile.NEVER) == end
+    found = profile.scan(conns, walks, {"to e": ["e"], "to c or d": ["c", "d"], "nowhere": ["z"]})
+    for dest, goals in (("to e", ["e"]), ("to c or d", ["c", "d"]), ("nowhere", ["z"])):
+        for (stop, t), end in slow_profiles(conns, walks, goals, stops, range(0, 1200, 60)).items():
+            assert min((arr for dep, arr, *_ in found.get((dest, stop), []) if dep >= t), default=NEVER) == end
+    for own in found.values():  # none is dominated
+        assert all(a[0] < b[0] and a[1] < b[1] for a, b in itertools.pairwise(own))
 
 
 def test_profile_ties_prefer_the_path_without_projects():
     conns = [(1, "a", "t", 100, 200, "P", True), (2, "a", "t", 100, 200, "N", False)]
-    assert profile.scan(conns, [], ["t"])["a"].next(0)[0] == 200
+    assert profile.scan(conns, [], {"t": ["t"]})["t", "a"] == [(100, 200, "P", True)]  # of equal departures the first
     through = [(1, "a", "b", 0, 100, "L", False), (1, "b", "t", 160, 300, "L", False), (2, "b", "t", 160, 300, "P", True)]
-    assert profile.scan(through, [], ["t"])["a"].next(0) == (300, "L", False)
+    assert profile.scan(through, [], {"t": ["t"]})["t", "a"] == [(0, 300, "L", False)]
+    change = [(1, "a", "b", 0, 100, "L", False), (2, "b", "t", 160, 300, "P", True), (3, "b", "t", 159, 200, "N", False)]
+    assert profile.scan(change, [], {"t": ["t"]})["t", "a"] == [(0, 300, "L", True)]  # a change takes a minute
+
+
+def test_profiles_of_many_destinations_and_scenarios(spark, monkeypatch):
+    monkeypatch.setattr(profile, "BLOCK", 2)
+    rng = random.Random(9)
+    rows = [(s, f"t{i}", 0, f"s{rng.randrange(6)}", f"s{rng.randrange(6)}", (t := rng.randrange(2000)), t + rng.randrange(60, 500), f"L{i % 3}", i % 4 == 0) for s in ("now", "then") for i in range(60)]
+    conns = spark.createDataFrame(rows, "scenario string, trip string, seq int, from_stop string, to_stop string, dep long, arr long, line string, proj boolean")
+    walks = spark.createDataFrame([("s0", "s1", 90), ("s1", "s0", 90)], "from_stop string, to_stop string, secs int")
+    goals = spark.createDataFrame([(f"d{k}", f"s{k}") for k in range(6)] + [("d0", "s5")], "dest string, stop string")
+    got = {(r["scenario"], r["dest"], r["stop"], r["dep"], r["arr"], r["line"], r["proj"]) for r in profile.profiles(conns, walks, goals, ["scenario"]).collect()}
+    want = set()
+    for s in ("now", "then"):
+        own = sorted(((r[1], *r[3:]) for r in rows if r[0] == s), key=lambda r: r[0])
+        for (dest, stop), deps in profile.scan(own, [("s0", "s1", 90), ("s1", "s0", 90)], {f"d{k}": [f"s{k}"] + ["s5"] * (k == 0) for k in range(6)}).items():
+            want |= {(s, dest, stop, *x) for x in deps}
+    assert got == want and want
 
 
 def test_way_rules(spark):
@@ -171,8 +196,117 @@ def test_polygons(spark):
     r = df.select(spatial.area(F.col("p")).alias("a"), spatial.share_in_view(F.col("p"), 5, 0, 20, 3).alias("s"), spatial.share_in_view(F.col("p"), 20, 20, 30, 30).alias("n")).first()
     assert (r.a, r.s, r.n) == (96.0, 0.15, 0.0)
     shape = [(0, 0), (10, 0), (10, 2), (2, 2), (2, 10), (0, 10)]
-    x, y = spatial.label_point(shape)
-    assert x < 2 and y < 2.1 or y < 2
+    x, y = spatial.label_point([shape], 0.01)
+    assert math.dist((x, y), (math.sqrt(2) / (1 + math.sqrt(2)) * 2, math.sqrt(2) / (1 + math.sqrt(2)) * 2)) < 0.1 or (x <= 1.3 and y <= 1.3)
+    # a hole with more vertices than its square, and a small part beside it
+    hole = [(4 + math.cos(a), 5 + math.sin(a)) for a in (k * math.tau / 12 for k in range(12))]
+    x, y = spatial.label_point([[(0, 0), (10, 0), (10, 10), (0, 10)], hole, [(20, 0), (21, 0), (21, 1)]], 0.01)
+    assert math.dist((x, y), (4, 5)) > 2.5 and 0 < x < 10 and spatial.label_point([[(0, 0), (200, 0), (200, 200), (0, 200)]]) == (100.0, 100.0)
+
+
+def test_points_on_a_boundary_are_not_inside(spark):
+    square = spark.createDataFrame([("Z", 0.0, 0.0, 10.0, 10.0)], "code string, left double, bottom double, right double, top double").withColumn("polygon", spatial.rectangle(*(F.col(c) for c in ("left", "bottom", "right", "top"))))
+    points = spark.createDataFrame([(1, 5.0, 5.0), (2, 0.0, 5.0), (3, 10.0, 5.0), (4, 5.0, 0.0), (5, 5.0, 10.0), (6, 0.0, 0.0), (7, None, 1.0), (8, 1e-9, 5.0)], "i int, x double, y double")
+    assert sorted(r["i"] for r in spatial.points_in_zones(points, square, "x", "y", "polygon").collect()) == [1, 8]
+
+
+def test_points_in_many_zones_equal_a_plain_search(spark):
+    rng = random.Random(2)
+    zones = [(i, *(lambda x, y, w: (x, y, x + w, y + w))(rng.randrange(-50, 300), rng.randrange(-50, 300), rng.choice((1, 5, 20, 400)))) for i in range(60)]
+    points = [(i, float(rng.randrange(-60, 320)), float(rng.randrange(-60, 320))) for i in range(300)]
+    z = spark.createDataFrame(zones, "z long, left long, bottom long, right long, top long").withColumn("polygon", spatial.rectangle(*(F.col(c) for c in ("left", "bottom", "right", "top"))))
+    p = spark.createDataFrame(points, "i long, x double, y double")
+    got = {(r["i"], r["z"]) for r in spatial.points_in_zones(p, z, "x", "y", "polygon").collect()}
+    assert got == {(i, k) for i, x, y in points for k, a, b, c, d in zones if a < x < c and b < y < d}
+    plan = spatial.points_in_zones(p, z, "x", "y", "polygon")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, ((" in plan and "__bx" in plan
+
+
+def test_neighbourhoods_second_chance_fallback_and_abandonment(spark):
+    # zone 2 lies within zone 1's units but has most of unit b; zone 3 has nothing of its own
+    overlaps = [(1, "a", 10), (1, "b", 6), (2, "b", 5), (1, "c", 9), (3, "c", 2)]
+    assert spatial.second_chances({"a": 1, "b": 1, "c": 1}, overlaps, {"a": 10, "b": 10, "c": 10}) == {"a": 1, "b": 2, "c": 1}
+    assert spatial.second_chances({"b": 1}, [(1, "b", 6), (2, "b", 5)], {"b": 10}) == {"b": 1}  # its owner keeps none else
+    strip = lambda name, a, b: [(0, c, name) for c in range(a, b)]
+    units = spark.createDataFrame(strip(1, 0, 10) + strip(2, 10, 20) + strip(3, 20, 26), "row long, col long, unit long")
+    zones = spark.createDataFrame(strip(1, 0, 10) + strip(2, 10, 19) + strip(3, 19, 40), "row long, col long, zone long")
+    out = spatial.neighbourhoods(units, zones, "unit", "zone")
+    assert {(r["unit"], r["zone"], r["fits"], r["abandoned"]) for r in out.collect()} == {(1, 1, True, False), (2, 2, True, False), (3, 3, False, False)}
+    cells = {(r["col"], r["zone"]) for r in spatial.rebuilt_cells(units, zones, out, "unit", "zone", 20.0).collect()}
+    assert cells == {(c, 1) for c in range(10)} | {(c, 2) for c in range(10, 20)} | {(c, 3) for c in range(20, 40)}
+    far = spark.createDataFrame(strip(1, 0, 10) + strip(2, 10, 13) + strip(3, 13, 60), "row long, col long, zone long")
+    worse = spatial.neighbourhoods(units, far, "unit", "zone")
+    assert {r["abandoned"] for r in worse.collect()} == {True}
+    assert spatial.rebuilt_cells(units, far, worse, "unit", "zone", 20.0).count() == 60
+    two = spatial.neighbourhoods(units.withColumn("c", F.lit("x")).union(units.withColumn("c", F.lit("y"))), zones.withColumn("c", F.lit("x")), "unit", "zone", ("c",))
+    assert {r["c"] for r in two.collect()} == {"x"}
+
+
+def test_opening_drops_slivers(spark):
+    cells = [(r, c, 1) for r in range(10) for c in range(10)] + [(4, c, 1) for c in range(10, 30)]
+    zones = spark.createDataFrame(cells, "row long, col long, zone long")
+    units = spark.createDataFrame([(50, 50, 7)], "row long, col long, unit long")
+    owners = spark.createDataFrame([(7, 1, False, False)], "unit long, zone long, fits boolean, abandoned boolean")
+    out = {(r["row"], r["col"]) for r in spatial.rebuilt_cells(units, zones, owners, "unit", "zone", 4.0).collect()}
+    assert (5, 5) in out and not any(c > 12 for _, c in out)
+
+
+def test_boundary_pieces(spark):
+    z = spark.createDataFrame([(1, 0.0, 100.0), (2, 101.0, 200.0), (3, 300.0, 400.0)], "z int, left double, right double").withColumn("polygon", spatial.rectangle(F.col("left"), F.lit(0.0), F.col("right"), F.lit(100.0)))
+    rows = spatial.boundary_pieces(z, "z", "polygon").collect()
+    # only the edge that zones 1 and 2 share but for a metre, once
+    assert {r["z"] for r in rows} == {1} and all(r["x"] >= 97 for r in rows) and 95 < sum(math.dist((r["x"], r["y"]), (r["x2"], r["y2"])) for r in rows) < 110
+
+
+def test_clip_and_drawing(spark):
+    df = spark.createDataFrame([(1,)], "i int").select(spatial.rectangle(F.lit(0), F.lit(0), F.lit(10), F.lit(10)).alias("p"), spatial.rectangle(F.lit(20), F.lit(0), F.lit(30), F.lit(10)).alias("q"), F.expr("array(named_struct('x',5D,'y',-5D),named_struct('x',15D,'y',5D),named_struct('x',5D,'y',15D),named_struct('x',-5D,'y',5D))").alias("c"))
+    r = df.select(spatial.area(spatial.clipped_to(F.col("p"), F.col("c"))).alias("a"), F.size(spatial.clipped_to(F.col("q"), F.col("c"))).alias("n"), F.size(spatial.drawn(F.col("q"), F.array("p", "p"))).alias("d")).first()
+    assert abs(r["a"] - 100.0) < 1e-9 and r["n"] == 0 and r["d"] == 3
+    half = df.select(spatial.area(spatial.clipped_to(F.col("p"), F.expr("array(named_struct('x',0D,'y',0D),named_struct('x',10D,'y',0D),named_struct('x',10D,'y',10D))"))).alias("a")).first()
+    assert abs(half["a"] - 50.0) < 1e-9
+
+
+def test_nearest_of_points_without_coordinates(spark):
+    left = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 0.0), (3, float("nan"), 1.0), (None, 1.0, 1.0), (5, 1e6, 0.0)], "i long, x double, y double")
+    right = spark.createDataFrame([(7, 3.0, 4.0), (8, None, None)], "j long, u double, v double")
+    got = {r.i: (r.j, r.d2) for r in spatial.nearest(left, right, ("x", "y"), ("u", "v"), "i", "j", 2).collect()}
+    assert got == {1: (7, 25.0), 5: (7, (1e6 - 3) ** 2 + 16)}
+    assert spatial.nearest(left, right.filter("j = 8"), ("x", "y"), ("u", "v"), "i", "j", 2).count() == 0
+
+
+def test_next_departure_takes_time_in_proportion(spark):
+    def seconds(n):
+        began = time.perf_counter()
+        samples = spark.range(n).select(F.lit("s").alias("stop"), F.col("id").alias("t"))
+        deps = spark.range(0, n, 7).select(F.lit("s").alias("stop"), F.col("id").alias("dep"), (F.col("id") + 5).alias("arr"))
+        out = timetable.next_departure(samples, deps, ["stop"], "t", "dep", ["arr"])
+        assert out.filter("dep < t OR dep - t > 6 OR arr <> dep + 5").count() == 0 and out.filter("dep IS NULL").count() <= 7
+        return time.perf_counter() - began
+
+    seconds(1000)
+    small, large = seconds(50_000), seconds(200_000)
+    assert large < 6 * small + 3
+
+
+def test_departures_of_varying_headway(spark):
+    cases = [(first, last, peak, h, o) for first in (-100.5, 0.0, 55.0, 130.0, 500.0) for last in (90.0, 400.0) for peak in ((60, 200), (0, 0), (300, 290)) for h, o in ((10, 25), (7, 40))]
+    for first, last, peak, h, o in cases:
+        want, t = [], first
+        while t <= last:
+            want.append(t)
+            t += h if peak[0] <= t <= peak[1] else o
+        got = spark.range(1).select(timetable.departures(F.lit(first), F.lit(last), peak, F.lit(h), F.lit(o)).alias("d")).first()["d"]
+        assert got == want, (first, last, peak, h, o)
+
+
+def test_projected_lines_take_their_own_statistics_first(spark):
+    sections_ = spark.createDataFrame([("T1", "tram", ["a", "b"], [500.0]), ("15", "métro", ["a", "b"], [1000.0]), ("T9", "tram", ["a", "b"], [500.0])], "label string, mode string, stops array<string>, metres array<double>")
+    own = spark.createDataFrame([("T1", 18.0, 300.0, 600.0)], "line string, speed_kmh double, headway double, off_peak double")
+    usual = spark.createDataFrame([("15", 36.0, 120.0, 240.0), ("tram", 9.0, 360.0, 700.0)], "of string, speed_kmh double, headway double, off_peak double")
+    got = {r["label"]: (r["runs"], r["headway"], r["off_peak"]) for r in timetable.projected_lines(sections_, own, usual).collect()}
+    assert got == {"T1": ([100.0], 300.0, 600.0), "15": ([100.0], 120.0, 240.0), "T9": ([200.0], 360.0, 700.0)}
+    conns = timetable.estimated_timetable(timetable.projected_lines(sections_, own, usual), (0, 1000), (0, 500), 7)
+    assert conns.count() == conns.select("trip").distinct().count() > 10 and conns.agg(F.min("trip")).first()[0] == 7
 
 
 def test_points_and_places(spark):
@@ -186,7 +320,15 @@ def test_points_and_places(spark):
     got = {r.i: r.j for r in spatial.nearest(left, right, ("x", "y"), ("u", "v"), "i", "j", 2).collect()}
     assert got == {p[0]: min(b, key=lambda q: d2(p, q))[0] for p in a}
     points = [(1, 4.0, 0, 2, False), (2, 9.0, 0, 3, False), (3, 100.0, 10, 0, True), (4, 400.0, 20, 0, False), (5, 10000.0, 100, 0, False)]
-    assert spatial.nearest_places(points, 2, 2, 15) == [[1, 2, 3], [4]] and spatial.nearest_places(points, 2, 2, 5, preferred=5) == [[5], [1, 2]]
+    df = spark.createDataFrame([("k", p[0], float(p[1]), float(p[2]), float(p[3]), p[4], p[0] == 5) for p in points], "k string, id long, d2 double, x double, y double, project boolean, pinned boolean")
+
+    def places(*how):
+        out = {}
+        for r in spatial.nearest_places(df, "k", *how).orderBy("place", "rank").collect():
+            out.setdefault(r["place"], []).append(r["id"])
+        return list(out.values())
+
+    assert places(2, 2, 15) == [[1, 2, 3], [4]] and places(2, 2, 5, "pinned") == [[5], [1, 2]]
 
 
 def test_colours_majority_and_fill(spark):
@@ -216,15 +358,27 @@ def test_contour_of_a_disc(spark):
 
 
 def test_sections():
-    a = ([("s1", 0, 0), ("s2", 10, 0)], [10.0], "op1")
-    b = ([("s3", 30, 0), ("s2", 10, 0)], [20.0], "op2")
-    far, near = ([("s9", 9000, 0), ("s8", 9100, 0)], [100.0], "op3"), ([("s5", 500, 0), ("s6", 600, 0)], [100.0], "op1")
+    a = sections.Section((("s1", 0, 0), ("s2", 10, 0)), (10.0,), "op1")
+    b = sections.Section((("s3", 30, 0), ("s2", 10, 0)), (20.0,), "op2")
+    far, near = sections.Section((("s9", 9000, 0), ("s8", 9100, 0)), (100.0,), "op3"), sections.Section((("s5", 500, 0), ("s6", 600, 0)), (100.0,), "op1")
     (one,) = sections.joined([a, b], True)
-    assert [s[0] for s in one[0]] == ["s1", "s2", "s3"] and one[1] == [10.0, 20.0]
-    assert len(sections.joined([a, far], True)) == 2 and len(sections.joined([a, near], False)) == 1 and len(sections.joined([a, ([*near[0]], near[1], "op9")], False)) == 2
+    assert [s[0] for s in one.stops] == ["s1", "s2", "s3"] and one.metres == (10.0, 20.0)
+    assert len(sections.joined([a, far], True)) == 2 and len(sections.joined([a, near], False)) == 1 and len(sections.joined([a, sections.Section(near.stops, near.metres, "op9")], False)) == 2
+    lone, one = sections.joined([far, a, near, b], True)  # shared ends first, then the gaps from the narrowest on
+    assert lone == far and [s[0] for s in one.stops] == ["s1", "s2", "s3", "s5", "s6"] and one.metres == (10.0, 20.0, 470 * 1.15, 100.0)
     stops = [("b", 10.0, 5.0, False), ("a", 0.0, 0.0, False), ("c", 30.0, -5.0, True)]
-    assert sections.ordered(stops, [(0, 0), (100, 0)]) == ([("a", 0.0, 0.0), ("b", 10.0, 5.0), ("c", 30.0, -5.0)], [10.0, 20.0])
-    assert [s[0] for s in sections.ordered(stops, None)[0]] == ["c", "b", "a"]
+    on = sections.ordered(stops, [(0, 0), (100, 0)])
+    assert [s[0] for s in on.stops] == ["a", "b", "c"] and on.metres == (10.0, 20.0)
+    assert [s[0] for s in sections.ordered(stops, None).stops] == ["c", "b", "a"]
+    assert [s[0] for s in sections.ordered(stops, [(0, 0), (5, 0)] * 2 + [(0, 9000)]).stops][0] in "abc"
+
+
+def test_stops_go_along_a_track_that_is_drawn(spark):
+    rows = [("tram", "9", "op", None, s, x, y, False) for s, x, y in (("a", 0.0, 0.0), ("b", 0.0, 100.0), ("c", 90.0, 100.0), ("d", 90.0, 0.0))]
+    stops = spark.createDataFrame(rows, "mode string, line string, operation string, phase string, stop string, x double, y double, terminus boolean")
+    tracks = spark.createDataFrame([("tram", "9", "op", None, [(90.0, 0.0), (90.0, 100.0), (0.0, 100.0), (0.0, 0.0)])], "mode string, line string, operation string, phase string, points array<struct<x:double,y:double>>")
+    assert [(r["stop"], r["metres"]) for r in sections.routes(stops, tracks).orderBy("pos").collect()] == [("d", 100.0), ("c", 90.0), ("b", 100.0), ("a", None)]
+    assert [r["metres"] for r in sections.routes(stops).orderBy("pos").collect()][:1] != [100.0]
 
 
 def test_rebuild_rules(spark):
@@ -233,7 +387,14 @@ def test_rebuild_rules(spark):
     files = spark.createDataFrame([("osm", "A", "2024-01-01"), ("osm", "B", "2023-12-31"), ("dvf", None, "2000-01-01"), ("airparif", "A", "2024-06-01")], "source string, code string, mtime string").withColumn("mtime", F.col("mtime").cast("timestamp"))
     codes = spark.createDataFrame([("A",), ("B",), ("C",)], "code string")
     pending = spark.createDataFrame([("C", None), ("B", ["air"])], "code string, groups array<string>")
-    got = {r["code"]: r["groups"] for r in catalog.stale_groups(files, codes, now, pending, 182).collect()}
+    report = catalog.stale_groups(files, codes, now, pending, 182).collect()
+    got = {r["code"]: r["groups"] for r in report}
+    assert {r["code"]: r["reasons"] for r in report} == {"B": ["osm", "pending"], "C": ["pending"]}
+    only = files.filter("code = 'B'").withColumn("source", F.lit("quartiers"))
+    assert [tuple(r) for r in catalog.stale_groups(only, codes, now, None, 182).collect()] == [("B", [], ["quartiers"])]
+    paths = spark.createDataFrame([("osm", None, (0, 1), "t01"), ("osm", None, (5, 5), "t55"), ("airparif", "A", None, "air"), ("idfm", None, None, "stations")], "source string, code string, tile struct<i:int,j:int>, path string")
+    touched = spark.createDataFrame([("A", 0, 1), ("B", 0, 2)], "code string, i int, j int")
+    assert sorted(tuple(r)[:3] for r in catalog.dependencies(codes.filter("code < 'C'"), touched, paths).collect()) == [("A", "airparif", "air"), ("A", "idfm", "stations"), ("A", "osm", "t01"), ("B", "idfm", "stations")]
     assert got == {"B": ["air", "transport"], "C": sorted(catalog.FORMATS)}  # a file exactly at the cut-off isn't stale
     shared = files.union(spark.createDataFrame([("communes", None, "2000-01-01")], "source string, code string, mtime string").withColumn("mtime", F.col("mtime").cast("timestamp")))
     assert all(r["groups"] == sorted(catalog.FORMATS) for r in catalog.stale_groups(shared, codes, now, None, 182).collect())

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from livgrid.jobs import Rebuild
 from livgrid.operators import raster, schedule, spatial
-from livgrid.sources import readers
+from livgrid.sources import readers, sinks
 
 
 def member(spark, name, rows):
@@ -74,8 +74,39 @@ def test_rebuild_goes_on_where_it_broke_off(spark, tmp_path):
     now = F.lit("2024-01-01").cast("timestamp")
     codes = spark.createDataFrame([("A",), ("B",)], "code string")
     assert [tuple(r) for r in job.plan(files, codes, now).collect()] == [("A", ["destinations", "transport"])]
-    with pytest.raises(OSError):
-        job.run()
+    assert job.run() == {"A": "no disk"}
     fresh = files.withColumn("mtime", now)
-    assert job.plan(fresh, codes, now).count() == 1 and job.run() == 1 and job.run() == 0
+    assert job.plan(fresh, codes, now).count() == 1 and job.run() == {} and job.pending().count() == 0
     assert calls[1] == {"A": ["destinations", "transport"]} and spark.read.parquet(f"file://{tmp_path}/layers").count() == 1
+
+
+def test_places_leave_the_list_one_by_one(spark, tmp_path):
+    def build(todo):
+        codes = [r["code"] for r in todo.collect()]
+        if "B" in codes:
+            raise ValueError("damaged")
+        return todo.select("code", F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit("no2").alias("layer"), F.lit(1).alias("value"))
+
+    job = Rebuild(spark, f"file://{tmp_path}", build)
+    files = spark.createDataFrame([("airparif", c, "2020-01-01") for c in "ABC"], "source string, code string, mtime string").withColumn("mtime", F.col("mtime").cast("timestamp"))
+    job.plan(files, spark.createDataFrame([("A",)], "code string"), F.lit("2024-01-01").cast("timestamp"))
+    assert job.run() == {"B": "damaged"} and [tuple(r) for r in job.pending().collect()] == [("B", ["air"])]
+    assert {r["code"] for r in spark.read.parquet(f"file://{tmp_path}/layers").collect()} == {"A", "C"}
+    there = spark.createDataFrame([("A", "air"), ("A", "bruit"), ("C", "air"), ("B", "air")], "code string, layer_group string")
+    for _ in range(2):
+        assert {r["code"]: r["groups"] for r in job.backfill("bruit", there).collect()} == {"B": ["air", "bruit"], "C": ["bruit"]}
+
+
+def test_a_swap_that_breaks_off_loses_nothing(spark, tmp_path):
+    at = f"file://{tmp_path}/t"
+    one = spark.createDataFrame([(1,)], "i int")
+    sinks.swap(one, at)
+    sinks.swap(one.withColumn("i", F.lit(2)), at)
+    assert spark.read.parquet(at).first()[0] == 2 and not (tmp_path / "t.old").exists() and not (tmp_path / "t.new").exists()
+    (tmp_path / "t").rename(tmp_path / "t.old")  # between the two renames, with a new table that is whole
+    one.withColumn("i", F.lit(3)).write.parquet(at + ".new")
+    assert sinks.settled(spark, at) and spark.read.parquet(at).first()[0] == 3 and not (tmp_path / "t.old").exists()
+    (tmp_path / "t").rename(tmp_path / "t.old")  # and with one that isn't
+    (tmp_path / "t.new").mkdir()
+    assert sinks.settled(spark, at) and spark.read.parquet(at).first()[0] == 3
+    assert not sinks.settled(spark, f"file://{tmp_path}/none")
