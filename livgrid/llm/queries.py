@@ -99,7 +99,8 @@ k AS (SELECT doc_id, n, w, row_number() OVER (PARTITION BY array_to_string(w, '
 SELECT doc_id, CAST(coalesce(sum(len(w)) FILTER (NOT late), 0) AS BIGINT) AS n_words, coalesce(string_agg(array_to_string(w, ' '), ' ' ORDER BY n) FILTER (NOT late), '') AS words FROM k GROUP BY doc_id HAVING bool_or(late)""",
     "op9_embedding_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+k AS (SELECT *, len(e) AS size FROM v WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM k a JOIN k b ON a.label = b.label AND a.size = b.size AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
 r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
 c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT c.a AS vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, c.a = c.component_id AS kept FROM c LEFT JOIN n ON n.a = c.a""",
@@ -109,7 +110,8 @@ w AS (SELECT side, id, list_filter(regexp_split_to_array(translate(coalesce(text
 s AS (SELECT side, id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [] END)) AS sh FROM w),
 n AS (SELECT id, count(*) AS n_item FROM s WHERE side = 1 GROUP BY id)
 SELECT d.id AS doc_id, b.id AS item_id, CAST(count(*) AS BIGINT) AS n_common, CAST(any_value(n_item) AS BIGINT) AS n_item
-FROM s d JOIN s b ON d.sh = b.sh AND d.side = 0 AND b.side = 1 JOIN n ON n.id = b.id GROUP BY d.id, b.id HAVING 100 * count(*) >= 80 * any_value(n_item)""",
+FROM s d JOIN s b ON d.sh = b.sh AND d.side = 0 AND b.side = 1 JOIN n ON n.id = b.id GROUP BY d.id, b.id HAVING 100 * count(*) >= 80 * any_value(n_item)
+UNION ALL SELECT d.id, b.id, CAST(1 AS BIGINT), CAST(1 AS BIGINT) FROM w d, w b WHERE d.side = 0 AND b.side = 1 AND len(b.w) BETWEEN 1 AND 4 AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(b.w, ' ') || ' ')""",
     "op6_jaccard_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
