@@ -17,6 +17,17 @@ def seconds_of_day(clock: Column) -> Column:
     return part(0) * 3600 + part(1) * 60 + part(2)
 
 
+def iso_date(moment: Column) -> Column:
+    """The day (YYYY-MM-DD) of a timestamp in UTC, null-safe."""
+    return F.date_format(F.to_utc_timestamp(moment, F.current_timezone()), "yyyy-MM-dd")
+
+
+def epoch_date(seconds: Column, zone: str) -> Column:
+    """The local day of seconds since 1970, null-safe."""
+    at = F.timestamp_seconds(seconds)
+    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), F.to_utc_timestamp(at, F.current_timezone()).cast("timestamp_ntz")), "yyyy-MM-dd")
+
+
 def service_day(downloaded: Column, day: str = "TU") -> Column:
     """The first such weekday strictly after a date."""
     return F.next_day(downloaded, day)

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from livgrid.operators.written import Written
 
+#: Margin around a place and size of a cell, in Mercator metres.
+GRID_MARGIN_M, CELL_M = 300.0, 15.0
 RING = "array<struct<x:double,y:double>>"
 
 
@@ -197,11 +199,20 @@ def rasterize(zones: DataFrame, polygon: str, value: str, order: str, cell: floa
     return cells.groupBy("row", "col").agg(F.max_by(value, order).alias(value))
 
 
-def cell_at(x: Column, y: Column, left: float, top: float, cell: float) -> Column:
+def cell_at(x: Column, y: Column, left: float | Column, top: float | Column, cell: float) -> Column:
     """Row and column of a point on a grid whose rows go south."""
     return F.struct(F.floor((top - y) / cell).alias("row"), F.floor((x - left) / cell).alias("col"))
 
 
+def cell_lookup(points: DataFrame, grids: DataFrame, mask: DataFrame, point_id: str, x: str, y: str) -> DataFrame:
+    """point_id, code, row, col: the cell of a municipality that each point is in: of the grids (code, grid_left, grid_top, left, bottom, right, top) whose box
+    holds it, those whose mask (code, row, col) has the cell; the first code of several."""
+    at = cell_at(F.col(x), F.col(y), F.col("grid_left"), F.col("grid_top"), CELL_M)
+    found = _met(points, grids, x, y, 0.0).select(point_id, "code", at.alias("c")).select(point_id, "code", F.col("c.row").alias("row"), F.col("c.col").alias("col"))
+    found = found.join(mask.select("code", "row", "col"), ["code", "row", "col"])
+    return found.groupBy(point_id).agg(F.min(F.struct("code", "row", "col")).alias("m")).select(point_id, "m.code", "m.row", "m.col")
+
+
 def overlap(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
     """By pair of pieces of two cell tables (row, col, id): the cells in common, and of either."""
     both = a.join(b, ["row", "col"]).groupBy(a_id, b_id).agg(F.count("*").alias("common"))
@@ -404,10 +415,6 @@ def within_buffer(points: DataFrame, zones: DataFrame, x: str, y: str, polygon:
     return _met(points, zones, x, y, radius).filter(distance2(F.col(polygon), F.col(x).cast("double"), F.col(y).cast("double")) <= radius * radius)
 
 
-#: Margin around a place and size of a cell, in Mercator metres.
-GRID_MARGIN_M, CELL_M = 300.0, 15.0
-
-
 def grid_of(places: DataFrame) -> DataFrame:
     """places (left, bottom, right, top in Mercator metres) with their grid: grid_left, grid_top, width, height."""
     left, top = F.col("left") - GRID_MARGIN_M, F.col("top") + GRID_MARGIN_M

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from livgrid.functions import numbers, text
 from livgrid.operators.prices import SALES_SCHEMA
-from livgrid.operators.stations import LINE_CODE, entry_accesses
+from livgrid.operators.stations import LINE_CODE, entry_accesses, is_project_stop
 
 #: Members of a timetable archive and the columns that are read of each.
 GTFS = {
@@ -52,6 +53,25 @@ def point(geometry: Column) -> Column:
     return F.struct(F.get(at, F.lit(0)).alias("x"), F.get(at, F.lit(1)).alias("y"))
 
 
+def project_stops(spark: SparkSession, path: str) -> DataFrame:
+    """mode, line, operation, phase, stop (a projected station's identifier), nom, terminus, x, y of the stops of projected metro and tram lines."""
+    df = features(spark, path, "mode:string,indice:string,nom_arret:string,id_operati:string,phase:string,terminus:string")
+    df = df.filter(F.coalesce(is_project_stop(F.col("mode"), F.col("indice")), F.lit(False))).withColumn("p", point(F.col("geometry")))
+    terminus = F.coalesce(F.lower("terminus").isin("1", "true", "oui"), F.lit(False))
+    return df.select("mode", F.col("indice").alias("line"), F.col("id_operati").alias("operation"), "phase", text.project_station(F.col("mode"), F.col("indice"), F.col("nom_arret")).alias("stop"), F.col("nom_arret").alias("nom"), terminus.alias("terminus"), "p.x", "p.y")
+
+
+def project_tracks(spark: SparkSession, path: str) -> DataFrame:
+    """mode, line, operation, phase, date (of the opening expected, null if none), points of the drawn projected lines; of a MultiLineString the longest line."""
+    df = features(spark, path, "mode:string,indice:string,id_operati:string,phase:string,mes_estime:string")
+    df = df.filter(F.coalesce(is_project_stop(F.col("mode"), F.col("indice")), F.lit(False)))
+    one = F.array(F.from_json(F.col("geometry.coordinates"), "array<array<double>>"))
+    lines = F.when(F.col("geometry.type") == "LineString", one).when(F.col("geometry.type") == "MultiLineString", F.from_json(F.col("geometry.coordinates"), "array<array<array<double>>>"))
+    longest = F.array_max(F.transform(lines, lambda x: F.struct(F.size(x).alias("n"), x.alias("x"))))["x"]
+    points = F.transform(longest, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
+    return df.select("mode", F.col("indice").alias("line"), F.col("id_operati").alias("operation"), "phase", numbers.iso_date(F.col("mes_estime").try_cast("timestamp")).alias("date"), points.alias("points"))
+
+
 def communes(spark: SparkSession, paths: list[str]) -> DataFrame:
     """code, nom, codeDepartement, population, polygon and its box, of contour files by department."""
     df = features(spark, paths, "code:string,nom:string,codeDepartement:string,population:bigint").withColumn("polygon", rings(F.col("geometry"))).drop("geometry")
@@ -122,8 +142,10 @@ def streets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """nodes (id, lon, lat) and ways (id, nodes, tags) of tiles of elements; what two tiles hold counts once."""
     df = spark.read.schema("elements array<struct<type:string,id:bigint,lat:double,lon:double,nodes:array<bigint>,tags:map<string,string>>>").option("multiLine", True).json(path)
     e = df.select(F.explode("elements").alias("e")).select("e.*")
-    nodes = e.filter("type = 'node'").groupBy("id").agg(F.first("lon").alias("lon"), F.first("lat").alias("lat"))
-    ways = e.filter("type = 'way'").groupBy("id").agg(F.first(F.struct("nodes", "tags")).alias("w")).select("id", "w.nodes", "w.tags")
+    # of elements that differ the least counts, whatever the order of the tiles
+    nodes = e.filter("type = 'node'").groupBy("id").agg(F.min(F.struct("lon", "lat")).alias("n")).select("id", "n.lon", "n.lat")
+    order = F.struct("nodes", F.array_sort(F.map_entries("tags")).alias("tags"))
+    ways = e.filter("type = 'way'").groupBy("id").agg(F.min_by(F.struct("nodes", "tags"), order).alias("w")).select("id", "w.nodes", "w.tags")
     return nodes, ways
 
 
