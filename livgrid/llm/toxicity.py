@@ -175,8 +175,11 @@ def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
     y = y.filter(draw <= F.when(F.col("toxic") == 1, share(1, MOST_POSITIVE)).otherwise(share(0, MOST_NEGATIVE)))
     # the sample's ids are bounded by the two parameters, whatever the corpus: broadcast them, and no text is shuffled
-    texts = documents.select("doc_id", "text").join(F.broadcast(y), "doc_id")
-    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").cast("int").alias("toxic")).select("text", "toxic")
+    texts = documents.select("doc_id", "text").join(F.broadcast(y), "doc_id").select("doc_id", "text", F.col("toxic").cast("int"))
+    rows, ids = texts.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if rows > ids:  # ids of several rows: the aggregation would change nothing else
+        texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
+    return texts.select("text", "toxic")
 
 
 def learn(documents: DataFrame, labels: DataFrame) -> Lexicon:
