@@ -21,11 +21,13 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; a null text is an empty one, of no tokens."""
     coder = bpe.encoder(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), coder)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; null and empty texts are scored as texts without words, a null doc_id is held out."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = toxicity.learn(documents, table(spark, sf_dir, "labels"))
     scored = toxicity.score(documents, lexicon)
@@ -33,15 +35,18 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each vector; those that can't be compared, and those without a label, are their own component."""
     return embedding_dedup.links(table(spark, sf_dir, "embeddings"), Work(spark, "vectors"), 0.93)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; null and empty texts have no spans (the digest is that of nothing)."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return secret_scan.digest_rows(secret_scan.scan(documents, Work(spark, "secrets")))
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document with its text rewritten; a null text stays null."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.replace(documents, Work(spark, "pii"), PII_KEY).select("doc_id", "text", F.size("entities").cast("bigint").alias("n_entities"), "entities")
 
@@ -60,19 +65,23 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each page; null and empty pages, and those without text outside links, give an empty text."""
     return html_text.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 def op7_arc_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each page; a null page is an empty payload, and pages of less than 100 bytes are responses all."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return arc_warc.archive_and_read(pages, Work(spark, "warc")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and item that it holds; null and empty items are in none."""
     return decontaminate.contained(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; those without words are their own component."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_join.join(documents, Work(spark, "jaccard"), jaccard_join.Measure(4, 85))
 

@@ -137,3 +137,18 @@ def test_outlines_never_rule_out_a_link():
                 assert not J.may_link(measure, [J.outline(a), J.outline(b)], [1, 1]).any()
     far = [J.outline(rng.integers(1, 1 << 62, 600, dtype=np.uint64)) for _ in range(50)]
     assert not J.may_link(J.Measure(5, 80), far, list(range(50))).any()
+
+
+def test_long_texts_and_rows_that_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 8)
+    rng = random.Random(12)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    rows = [(i, " ".join(long[: 60_000 - 300 * i])) for i in range(6)] + [(10 + i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(30_000))) for i in range(3)]
+    rows += [(20, "a b c d e f g"), (20, "other words of the same id here"), (21, "other words of the same id here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in J.join(df, Work(spark, "t")).collect()}
+    assert all(c == (0 if i < 6 else 20 if i >= 20 else i) for (i, _), c in got.items())
+    groups = {}
+    for r in J.grouped(df, Work(spark, "t")).collect():
+        groups.setdefault(r["component"], set()).add((r["doc_id"], r["n_shingles"]))
+    assert sorted(sorted(g) for g in groups.values() if any(i >= 20 for i, _ in g)) == [[(20, 4)], [(20, 4), (21, 4)]] and len(groups) == 6
