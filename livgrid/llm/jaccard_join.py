@@ -46,8 +46,8 @@ from livgrid.llm.wordhash import mix
 
 #: Sets of a block, and how many shingles count as a set there: larger sets count as several, so that a block's memory is bounded (some 16 MB).
 BLOCK, SET_SHINGLES = 512, 4_096
-#: Members of one centre that a task verifies; ids that are broadcast at most (some 20 MB).
-STAR, BROADCAST_IDS = 5_000, 250_000
+#: Members of one centre that a task verifies (more where there would be over STARS tasks); ids that are broadcast at most (some 20 MB).
+STAR, STARS, BROADCAST_IDS = 400, 1_000_000, 250_000
 SEEDS = 4
 #: Sets whose keys a task has listed already and doesn't list again.
 REMEMBERED = 500_000
@@ -501,7 +501,8 @@ def grouped(docs: DataFrame, work: Work, measure: Measure = Measure(), doc_id: s
     postings = work.write(rows.mapInArrow(_lists, "key long, d long, centre long"), "lists")
 
     chosen = work.write(postings.filter("d <> centre").groupBy("d").agg(F.min("centre").alias("centre")), "chosen")
-    salts = work.write(chosen.groupBy("centre").agg(F.ceil(F.count("*") / STAR).alias("salts")), "stars")
+    most = max(STAR, chosen.count() // STARS)
+    salts = work.write(chosen.groupBy("centre").agg(F.ceil(F.count("*") / most).alias("salts")), "stars")
     star = lambda salt: F.xxhash64("centre", salt)
     member = chosen.join(salts, "centre").select("d", star(F.pmod(F.xxhash64("d", F.lit(2)), F.col("salts"))).alias("star"), F.lit(False).alias("own"))
     own = salts.select(F.col("centre").alias("d"), F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1), star)).alias("star"), F.lit(True).alias("own"))
