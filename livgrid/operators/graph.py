@@ -13,6 +13,9 @@ from livgrid.operators.written import Written
 #: Layers of results that are kept apart before they are written as one.
 LAYERS = 8
 
+#: Edges of a group that one task searches with a heap, and nodes of a front that are sent to every task.
+HEAP_EDGES, FRONT = 500_000, 200_000
+
 #: Speeds in km/h, kinds of way, cut-offs.
 WALK_KMH, BIKE_KMH, BIKE_SLOW_KMH = 4.5, 15.0, 6.0
 NO_WALK = ("motorway", "motorway_link", "trunk", "trunk_link", "construction", "proposed", "raceway", "bus_guideway", "abandoned", "razed")
@@ -110,14 +113,26 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, limit: float) -> DataFr
     way gets shorter by going on."""
     tables = Written(edges.sparkSession, "paths")
     edges = tables.cut(edges.filter((F.col("sec") >= 0) & (F.col("sec") <= limit)).select("src", "dst", "sec"))
-    start = sources.filter(F.col("cost") <= limit).groupBy("node").agg(F.min(F.struct(F.col("cost").alias("dist"), "source")).alias("b"))
+    return _relaxed(tables, edges, sources, [], limit)
+
+
+def _relaxed(tables: Written, edges: DataFrame, sources: DataFrame, by: list[str], limit: float) -> DataFrame:
+    """The same over written edges, for every group (`by`) at once: by, node, dist, source."""
+    keys = [*by, "node"]
+    start = sources.filter(F.col("cost") <= limit).groupBy(*keys).agg(F.min(F.struct(F.col("cost").alias("dist"), "source")).alias("b"))
     front = tables.cut(start)
-    best = _Layers(tables, front, ["node"])
-    while not front.isEmpty():
-        offers = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.struct((F.col("b.dist") + F.col("sec")).alias("dist"), F.col("b.source").alias("source")).alias("b"))
+    best = _Layers(tables, front, keys)
+    out = edges.select(*(F.col(k).alias(f"__{k}") for k in by), "src", "dst", "sec")
+    same = F.col("node") == F.col("src")
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    while (n := front.limit(FRONT + 1).count()) > 0:
+        # a front that each task can hold spares the edges a shuffle
+        met = (F.broadcast(front) if n <= FRONT else front).join(out, same)
+        offers = met.select(*by, F.col("dst").alias("node"), F.struct((F.col("b.dist") + F.col("sec")).alias("dist"), F.col("b.source").alias("source")).alias("b"))
         front = tables.cut(best.better(offers.filter(F.col("b.dist") <= limit)))
         best.add(front)
-    return best.least().select("node", "b.dist", "b.source")
+    return best.least().select(*keys, "b.dist", "b.source")
 
 
 def heap_paths(edges: list[tuple], sources: list[tuple], limit: float) -> dict:
@@ -139,9 +154,26 @@ def heap_paths(edges: list[tuple], sources: list[tuple], limit: float) -> dict:
     return out
 
 
-def grouped_paths(edges: DataFrame, sources: DataFrame, by: list[str], limit: float) -> DataFrame:
-    """by, node, dist, source: one heap search a group (a municipality, mode and network), each in its own task."""
-    both = edges.select(*by, F.col("src").alias("a"), F.col("dst").alias("b"), F.col("sec").cast("double").alias("w"), F.lit(0).alias("kind")).union(sources.select(*by, F.col("node").alias("a"), F.col("source").alias("b"), F.col("cost").cast("double").alias("w"), F.lit(1).alias("kind")))
+def grouped_paths(edges: DataFrame, sources: DataFrame, by: list[str], limit: float, most: int = HEAP_EDGES) -> DataFrame:
+    """by, node, dist, source: one heap search a group (a municipality, mode and network), each in its own task, over edges and costs of 0 or more. Groups of
+    more than `most` edges within the limit don't fit a task; they are relaxed by rounds, all of them together."""
+    tables = Written(edges.sparkSession, "groups")
+    edges = tables.cut(edges.filter((F.col("sec") >= 0) & (F.col("sec") <= limit)).select(*by, "src", "dst", F.col("sec").cast("double").alias("sec")))
+    sources = sources.select(*by, "node", F.col("cost").cast("double").alias("cost"), "source")
+    large = tables.cut(edges.groupBy(*by).agg(F.count("*").alias("__n")).filter(F.col("__n") > most).select(*(F.col(k).alias(f"__{k}") for k in by)))
+    if large.isEmpty():
+        return _heaped(edges, sources, by, limit)
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    pick = lambda df, how: df.join(large, same, how)
+    rounds = _relaxed(tables, edges, pick(sources, "left_semi"), by, limit)
+    return rounds.union(_heaped(pick(edges, "left_anti"), pick(sources, "left_anti"), by, limit))
+
+
+def _heaped(edges: DataFrame, sources: DataFrame, by: list[str], limit: float) -> DataFrame:
+    """by, node, dist, source: by a heap search a group."""
+    both = edges.select(*by, F.col("src").alias("a"), F.col("dst").alias("b"), F.col("sec").alias("w"), F.lit(0).alias("kind")).union(sources.select(*by, F.col("node").alias("a"), F.col("source").alias("b"), F.col("cost").alias("w"), F.lit(1).alias("kind")))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         part = lambda k: list(rows.loc[rows["kind"] == k, ["a", "b", "w"]].itertuples(index=False, name=None))

@@ -327,6 +327,18 @@ def test_long_lines_have_each_hop_once(spark):
     # the same line is ten times longer and has six times the departures: by stops before each hop it would be some six hundred times the work
     assert seconds(2000) < 60
 
+def test_groups_beyond_a_task_are_relaxed_by_rounds(spark):
+    rng = random.Random(3)
+    edges = [(g, rng.randrange(40), rng.randrange(40), float(rng.randrange(0, 9))) for g, n in (("a", 200), ("b", 12), (None, 150)) for _ in range(n)] + [("a", 1, 2, 99.0), ("b", 0, 3, 40.0)]
+    sources = [(g, n, c, s) for g in ("a", "b", None, "c") for n, c, s in ((0, 0.0, 7), (0, 0.0, 4), (5, 2.0, 9), (6, 41.0, 1))]
+    df = spark.createDataFrame(edges, "g string, src long, dst long, sec double")
+    start = spark.createDataFrame(sources, "g string, node long, cost double, source long")
+    want = {(g, n, *v) for g in ("a", "b", None, "c") for n, v in graph.heap_paths([e[1:] for e in edges if e[0] == g], [s[1:] for s in sources if s[0] == g], 20.0).items()}
+    # 13 edges of b are few enough for a task, those of the two others aren't; then all are, then only a group without edges is
+    for most in (20, 1000, 0):
+        got = graph.grouped_paths(df, start, ["g"], 20.0, most)
+        assert {(r["g"], r["node"], r["dist"], r["source"]) for r in got.collect()} == want and got.count() == len(want)
+
 def test_points_and_places(spark):
     rng = random.Random(1)
     a = [(i, rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(80)]
